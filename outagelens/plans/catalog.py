@@ -48,3 +48,4 @@ def query(name: str, sql: str | None = None, dbl: tuple[str, ...] = ()):
 # Import the modules that register entries (order = catalog order).
 from . import catalog_aggregates  # noqa: E402,F401
 from . import catalog_joins  # noqa: E402,F401
+from . import catalog_features  # noqa: E402,F401
