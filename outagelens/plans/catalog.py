@@ -49,3 +49,4 @@ def query(name: str, sql: str | None = None, dbl: tuple[str, ...] = ()):
 from . import catalog_aggregates  # noqa: E402,F401
 from . import catalog_joins  # noqa: E402,F401
 from . import catalog_features  # noqa: E402,F401
+from . import catalog_evaluation  # noqa: E402,F401
