@@ -44,12 +44,14 @@ def cumulative_at_or_above(counts: DataFrame) -> DataFrame:
 def roc_auc(df: DataFrame, label: str = "target", prob: str = "p") -> DataFrame:
     """Exact ROC-AUC with ties counted as one half (rank-sum); 0 when only one class is present."""
     c = cumulative_at_or_above(score_counts(df, label, prob))
-    # negatives strictly below a score = N - fp(score)
-    tot = c.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    n_total = tot.select("N").scalar()
-    p_total = tot.select("P").scalar()
-    s = c.agg(F.sum(F.col("pos") * ((n_total - F.col("fp")) + 0.5 * F.col("neg"))).alias("_s"))
-    auc = F.when((p_total > 0) & (n_total > 0), F.col("_s") / (p_total * n_total)).otherwise(F.lit(0.0))
+    # negatives strictly below a score = N - fp(score), so
+    # sum(pos * (N - fp + neg / 2)) = N * P - sum(pos * fp) + sum(pos * neg) / 2
+    s = c.agg(F.sum("pos").cast("double").alias("P"), F.sum("neg").cast("double").alias("N"),
+              F.sum(F.col("pos") * F.col("fp")).cast("double").alias("S1"),
+              F.sum(F.col("pos") * F.col("neg")).cast("double").alias("S2"))
+    auc = F.when((F.col("P") > 0) & (F.col("N") > 0),
+                 (F.col("N") * F.col("P") - F.col("S1") + 0.5 * F.col("S2")) / (F.col("P") * F.col("N"))
+                 ).otherwise(F.lit(0.0))
     return s.select(auc.cast("double").alias("roc_auc"))
 
 

@@ -50,3 +50,4 @@ from . import catalog_aggregates  # noqa: E402,F401
 from . import catalog_joins  # noqa: E402,F401
 from . import catalog_features  # noqa: E402,F401
 from . import catalog_evaluation  # noqa: E402,F401
+from . import catalog_models  # noqa: E402,F401
