@@ -27,34 +27,42 @@ IMPORTANCE_CATEGORIES = {
 }
 
 
-def _first_by_time(col: str, time_col: str) -> F.Column:
-    """Deterministic replacement for FIRST(): value of the earliest row (tie: smallest value)."""
-    return F.min_by(F.col(col), F.struct(F.col(time_col), F.col(col)))
+# -- A1 / A2 / A3 ----------------------------------------------------------------------------
+def _county_rollup(outages: DataFrame, time_col: str, measures: dict[str, F.Column]) -> DataFrame:
+    """Two-phase county aggregate that keeps the heavy pass on HashAggregate.
+
+    Phase 1 groups by (county, name, state) with numeric buffers only, so the
+    full scan is hash-aggregated map-side; phase 2 folds the (few) name/state
+    variants of a county and picks the earliest one's name and state
+    (a deterministic FIRST). ``measures`` are partial sums/counts combined in
+    phase 2 by summing.
+    """
+    p1 = outages.groupBy("county_fips", "county_name", "state").agg(
+        F.min(time_col).alias("_first"), F.count(F.lit(1)).alias("_n"), *[e.alias(k) for k, e in measures.items()])
+    order = F.struct(F.col("_first"), F.col("county_name"), F.col("state"))
+    return p1.groupBy("county_fips").agg(
+        F.min_by(F.struct("county_name", "state"), order).alias("_cs"),
+        F.sum("_n").alias("outage_count"), *[F.sum(k).alias(k) for k in measures],
+    ).select("county_fips", "_cs.county_name", "_cs.state", "outage_count", *measures)
 
 
-# -- A1 / A2 ----------------------------------------------------------------
 def by_county(outages: DataFrame, year: int | None = None, time_col: str = "start_time") -> DataFrame:
     """county -> first name, first state, count. ``outages`` is the S1 view."""
     df = outages if year is None else outages.filter(year_range(time_col, year))
-    return df.groupBy("county_fips").agg(
-        _first_by_time("county_name", time_col).alias("county_name"),
-        _first_by_time("state", time_col).alias("state"),
-        F.count(F.lit(1)).alias("outage_count"),
-    )
+    return _county_rollup(df, time_col, {})
 
 
-# -- A3 -----------------------------------------------------------------------
 def hotspots(outages: DataFrame) -> DataFrame:
     """county -> count, customer-hours, mean duration; by impact, descending."""
+    r = _county_rollup(outages, "start_time", {
+        "_ch": F.sum(F.col("max_customers") * F.col("duration_hours")),
+        "_sd": F.sum("duration_hours"),
+        "_nd": F.count("duration_hours"),
+    })
     return (
-        outages.groupBy("county_fips")
-        .agg(
-            _first_by_time("county_name", "start_time").alias("county_name"),
-            _first_by_time("state", "start_time").alias("state"),
-            F.count(F.lit(1)).alias("outage_count"),
-            F.round(F.sum(F.col("max_customers") * F.col("duration_hours"))).alias("customer_hours"),
-            F.round(F.avg("duration_hours"), 2).alias("avg_duration_hours"),
-        )
+        r.select("county_fips", "county_name", "state", "outage_count",
+                 F.round(F.col("_ch")).alias("customer_hours"),
+                 F.round(F.col("_sd") / F.col("_nd"), 2).alias("avg_duration_hours"))
         .orderBy(F.col("customer_hours").desc(), F.col("county_fips"))
     )
 

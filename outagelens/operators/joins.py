@@ -91,11 +91,13 @@ def with_future_event(cands: DataFrame, events: DataFrame, key: str = "county_fi
 def county_lookup(outages: DataFrame, key: str = "county_fips", ts: str = "event_time") -> DataFrame:
     """One (name, state) per county: the earliest event's (ties: smallest name).
 
-    A grouped ``min_by`` combines per task before the shuffle, so a hot county
-    never has to be gathered in one place.
+    The full scan is a hash aggregate on (county, name, state); only the few
+    variants per county are folded by ``min_by``, so a hot county never has to
+    be gathered or sorted in one place.
     """
-    order = F.struct(F.col(ts), F.col("county_name"), F.col("state"))
-    return outages.groupBy(key).agg(
+    p1 = outages.groupBy(key, "county_name", "state").agg(F.min(ts).alias("_first"))  # hash aggregate
+    order = F.struct(F.col("_first"), F.col("county_name"), F.col("state"))
+    return p1.groupBy(key).agg(
         F.min_by(F.struct("county_name", "state"), order).alias("_m")
     ).select(key, "_m.county_name", "_m.state")
 
