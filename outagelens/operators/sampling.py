@@ -11,6 +11,7 @@ ordered together.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -191,3 +192,159 @@ def negatives(outages: DataFrame, n: int, windows: Sequence[int], seed: int = 42
     first = ok.groupBy("slot").agg(F.min_by(F.struct(key, "prediction_time", "window_hours"), "attempt").alias("r"))
     return first.select(F.col(f"r.{key}").alias(key), "r.prediction_time", "r.window_hours",
                         F.lit(0).alias("target"))
+
+
+# -- B7 / B9 / B10 / B11: synthetic minority rows over exact neighbours -----------------------
+def _indexed(df: DataFrame, seed: int) -> DataFrame:
+    return hash_rank(df, [], ["id"], seed, out="idx")
+
+
+def _interpolate(spark, bases: DataFrame, nbrs: DataFrame, feats: DataFrame, n_synth, seed: int,
+                 k: int, label_value: int, salt: str) -> DataFrame:
+    """Synthetic row j: base = bases[hash(j) mod n], neighbour = one of its k, x + u (nn - x)."""
+    nb = bases.count()
+    if n_synth <= 0 or nb == 0:
+        return spark.createDataFrame([], "features array<double>, target int")
+    j = spark.range(int(n_synth)).withColumnRenamed("id", "j")
+    j = j.select("j", F.pmod(row_hash(["j"], seed, salt + "b"), F.lit(nb)).alias("idx"),
+                 (F.pmod(row_hash(["j"], seed, salt + "n"), F.lit(k)) + 1).cast("int").alias("rank"),
+                 hash_uniform(["j"], seed, salt + "g").alias("gap"))
+    j = j.join(bases.select("idx", "id", F.col("features").alias("x")), "idx")
+    kmax = nbrs.groupBy("id").agg(F.max("rank").alias("_kmax"))
+    j = j.join(kmax, "id").withColumn("rank", F.pmod(F.col("rank") - 1, F.col("_kmax")) + 1)
+    j = j.join(nbrs.select("id", "rank", "nn_id"), ["id", "rank"])
+    j = j.join(feats.select(F.col("id").alias("nn_id"), F.col("features").alias("z")), "nn_id")
+    synth = F.zip_with("x", "z", lambda a, b: a + F.col("gap") * (b - a))
+    return j.select(synth.alias("features"), F.lit(label_value).alias("target"))
+
+
+def _counts(df: DataFrame, label: str):
+    c = {r[label]: r["n"] for r in class_counts(df, label).collect()}  # two rows
+    minority = min(c, key=lambda v: (c[v], v))
+    majority = max(c, key=lambda v: (c[v], -v))
+    return c, minority, majority
+
+
+def smote(df: DataFrame, features_col: str = "features", label: str = "target", ratio: float = 0.33,
+          k: int = 5, seed: int = 42, id_col: str = "id") -> DataFrame:
+    """SMOTE: add ``floor(ratio * n_major) - n_minor`` interpolated minority rows.
+
+    Input rows carry a unique ``id`` and a ``features`` array; neighbours are
+    the exact k nearest minority rows (``knn``). Output: original rows plus
+    synthetic rows (``is_synthetic = 1``, id NULL).
+    """
+    from .neighbors import knn
+
+    spark = df.sparkSession
+    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(features_col).alias("features"),
+                     F.col(label).cast("int").alias("target"))
+    c, mino, majo = _counts(base, "target")
+    n_synth = int(math.floor(ratio * c[majo])) - c[mino]
+    minority = base.filter(F.col("target") == mino)
+    nbrs = knn(minority, minority, k, seed=seed)
+    synth = _interpolate(spark, _indexed(minority, seed), nbrs, minority, n_synth, seed, k, mino, "smote")
+    return _combine(base, synth)
+
+
+def _combine(base: DataFrame, synth: DataFrame) -> DataFrame:
+    return (base.withColumn("is_synthetic", F.lit(0))
+            .unionByName(synth.withColumn("id", F.lit(None).cast("long")).withColumn("is_synthetic", F.lit(1))))
+
+
+def adasyn(df: DataFrame, features_col: str = "features", label: str = "target", ratio: float = 0.33,
+           k: int = 5, seed: int = 42, id_col: str = "id") -> DataFrame:
+    """ADASYN: synthetic count per minority row proportional to the majority share of its
+    k nearest neighbours over all rows; neighbours for interpolation come from the minority."""
+    from .neighbors import knn
+
+    spark = df.sparkSession
+    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(features_col).alias("features"),
+                     F.col(label).cast("int").alias("target"))
+    c, mino, majo = _counts(base, "target")
+    g = int(math.floor(ratio * c[majo])) - c[mino]
+    if g <= 0:
+        return _combine(base, spark.createDataFrame([], "features array<double>, target int"))
+    minority = base.filter(F.col("target") == mino)
+    nn_all = knn(minority, base, k, seed=seed)
+    share = (nn_all.join(base.select(F.col("id").alias("nn_id"), F.col("target").alias("nt")), "nn_id")
+             .groupBy("id").agg((F.count_if(F.col("nt") != mino) / F.lit(float(k))).alias("r")))
+    total = share.agg(F.sum("r")).scalar()
+    per = share.withColumn("g", F.rint(F.col("r") / total * F.lit(float(g))).cast("long")).filter("g > 0")
+    nbrs = knn(minority, minority, k, seed=seed)
+    kmax = nbrs.groupBy("id").agg(F.max("rank").alias("_kmax"))
+    rows = per.join(kmax, "id").select("id", "_kmax", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j"))
+    rows = rows.select("id", "j", (F.pmod(row_hash(["id", "j"], seed, "adn"), F.col("_kmax")) + 1).cast("int")
+                       .alias("rank"), hash_uniform(["id", "j"], seed, "adg").alias("gap"))
+    rows = rows.join(minority.select("id", F.col("features").alias("x")), "id")
+    rows = rows.join(nbrs.select("id", "rank", "nn_id"), ["id", "rank"])
+    rows = rows.join(minority.select(F.col("id").alias("nn_id"), F.col("features").alias("z")), "nn_id")
+    synth = rows.select(F.zip_with("x", "z", lambda a, b: a + F.col("gap") * (b - a)).alias("features"),
+                        F.lit(mino).alias("target"))
+    return _combine(base, synth)
+
+
+def borderline_smote(df: DataFrame, features_col: str = "features", label: str = "target", ratio: float = 0.33,
+                     k: int = 5, m: int = 10, seed: int = 42, id_col: str = "id") -> DataFrame:
+    """Borderline-SMOTE-1: only minority rows in danger (m/2 <= majority neighbours < m) are bases."""
+    from .neighbors import knn
+
+    spark = df.sparkSession
+    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(features_col).alias("features"),
+                     F.col(label).cast("int").alias("target"))
+    c, mino, majo = _counts(base, "target")
+    n_synth = int(math.floor(ratio * c[majo])) - c[mino]
+    minority = base.filter(F.col("target") == mino)
+    nn_all = knn(minority, base, m, seed=seed)
+    maj = (nn_all.join(base.select(F.col("id").alias("nn_id"), F.col("target").alias("nt")), "nn_id")
+           .groupBy("id").agg(F.count_if(F.col("nt") != mino).alias("n_maj")))
+    danger = maj.filter((F.col("n_maj") >= m / 2.0) & (F.col("n_maj") < m)).select("id")
+    bases = minority.join(danger, "id", "left_semi")
+    nbrs = knn(bases, minority, k, seed=seed)
+    synth = _interpolate(spark, _indexed(bases, seed), nbrs, minority, n_synth, seed, k, mino, "border")
+    return _combine(base, synth)
+
+
+def drop_tomek(df: DataFrame, label: str = "target", seed: int = 42) -> DataFrame:
+    """Remove both rows of every Tomek link (mutual nearest neighbours of opposite class).
+
+    ``df`` has ``features``, ``target`` and may hold synthetic rows without id;
+    every row gets a stable id from its content first.
+    """
+    from .neighbors import knn
+
+    x = df.withColumn("_rid", F.coalesce(F.col("id"), -1 - row_hash([F.col("features").cast("string"),
+                                                                      F.col(label)], seed, "tomek")))
+    pts = x.select(F.col("_rid").alias("id"), "features", F.col(label).alias("t"))
+    nn = knn(pts, pts, 1, seed=seed).select("id", "nn_id")
+    mutual = nn.alias("a").join(nn.alias("b"), (F.col("a.id") == F.col("b.nn_id")) & (F.col("a.nn_id") == F.col("b.id")))
+    lab = pts.select("id", "t")
+    links = (mutual.select(F.col("a.id").alias("id"), F.col("a.nn_id").alias("nn_id"))
+             .join(lab, "id").join(lab.select(F.col("id").alias("nn_id"), F.col("t").alias("nt")), "nn_id")
+             .filter(F.col("t") != F.col("nt")).select("id"))
+    return x.join(links, x._rid == links.id, "left_anti").drop("_rid")
+
+
+def smote_tomek(df: DataFrame, features_col: str = "features", label: str = "target", ratio: float = 0.33,
+                k: int = 5, seed: int = 42, id_col: str = "id") -> DataFrame:
+    return drop_tomek(smote(df, features_col, label, ratio, k, seed, id_col), "target", seed)
+
+
+def balance(df: DataFrame, features_col: str = "features", label: str = "target", path: str = "warning",
+            seed: int = 42, id_col: str = "id") -> DataFrame:
+    """The two reference balancing recipes behind the B8 guard.
+
+    ``path='warning'``: SMOTE to .5 then undersample to .75 (skipped when
+    fewer than 6 minority rows or already at ratio >= .4).
+    ``path='daily'``: undersample to 1:10 then SMOTE to .33.
+    """
+    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(features_col).alias("features"),
+                     F.col(label).cast("int").alias("target"))
+    if path == "warning":
+        if not needs_balancing(base, "target"):
+            return base.withColumn("is_synthetic", F.lit(0))
+        up = smote(base, ratio=0.5, seed=seed)
+        keyed = up.withColumn("_k", F.coalesce(F.col("id"), -1 - row_hash([F.col("features").cast("string")],
+                                                                           seed, "bal")))
+        return undersample(keyed, "target", 0.75, seed, key=["_k"]).drop("_k")
+    down = undersample(base, "target", 0.1, seed, key=["id"])
+    return smote(down, ratio=0.33, seed=seed)

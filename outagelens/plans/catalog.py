@@ -52,3 +52,4 @@ from . import catalog_features  # noqa: E402,F401
 from . import catalog_evaluation  # noqa: E402,F401
 from . import catalog_models  # noqa: E402,F401
 from . import catalog_io  # noqa: E402,F401
+from . import catalog_resampling  # noqa: E402,F401
