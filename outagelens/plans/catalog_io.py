@@ -138,3 +138,26 @@ def p30(spark, sf):
     n = o1(spark, sf).agg(F.count(F.lit(1)).cast("double").alias("n"))
     return n.select(P.pct_change(F.lit(0.0), F.lit(5.0)).alias("guarded_zero"),
                     P.pct_change(F.col("n"), F.lit(2.0)).alias("change"))
+
+
+@query("s13_backup_copy", "SELECT * FROM o1")
+def s13(spark, sf):
+    primary, backup = scratch_path(spark, "s13_primary"), scratch_path(spark, "s13_backup")
+    S.write_backup(o1(spark, sf), primary, backup)
+    return spark.read.parquet(backup)
+
+
+@query("s14_model_roundtrip")
+def s14(spark, sf):
+    """Fit, save, load: the loaded pipeline scores the same probabilities (rows = disagreements, expect 0)."""
+    from . import models as M
+    from .catalog_features import daily
+    from .daily_features import DAILY_FEATURES
+
+    d = M.materialize(daily(spark, sf))
+    m = M.fit(d, DAILY_FEATURES, "random_forest", M.SMALL_PARAMS["random_forest"], name="rf")
+    path = scratch_path(spark, "s14_model")
+    M.save_model(m, path)
+    a = M.probability(m, d, "rf").select("county_fips", "date", "p_rf")
+    b = M.probability(M.load_model(path), d, "rf").select("county_fips", "date", F.col("p_rf").alias("p2"))
+    return a.join(b, ["county_fips", "date"]).filter(F.col("p_rf") != F.col("p2"))

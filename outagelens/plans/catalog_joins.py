@@ -191,3 +191,30 @@ SELECT count(*) AS counties_monitored, count(*) FILTER (WHERE coalesce(outage_pr
        coalesce(min(model_used), 'Existing ML model') AS model_name FROM f""")
 def a30(spark, sf):
     return A.warning_kpis(W.latest_per_key(fx.predictions_ev(spark, sf)), 0.8, window_hours=24)
+
+
+@query("j06_county_day_grid", """
+WITH counties AS (SELECT DISTINCT county_fips FROM oraw),
+ext AS (SELECT min(date) AS lo, max(date) AS hi FROM oraw)
+SELECT county_fips, CAST(d AS DATE) AS date FROM counties, ext,
+       generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY) AS t(d)""")
+def j06(spark, sf):
+    from .catalog_aggregates import oraw
+    from .daily_features import county_day_grid
+
+    o = oraw(spark, sf)
+    return county_day_grid(o.select("county_fips").distinct(), o.agg(F.min("date")).scalar(),
+                           o.agg(F.max("date")).scalar())
+
+
+@query("j11_predictions_with_truth", """
+WITH p AS (SELECT county_fips, CAST(prediction_time AS DATE) AS date, max(outage_probability) AS outage_probability
+           FROM pev GROUP BY 1, 2),
+t AS (SELECT DISTINCT county_fips, date, 1 AS target FROM oraw)
+SELECT p.county_fips, p.date, p.outage_probability, t.target FROM p JOIN t USING (county_fips, date)""")
+def j11(spark, sf):
+    from .catalog_aggregates import oraw
+
+    preds = (fx.predictions_ev(spark, sf).groupBy("county_fips", F.to_date("prediction_time").alias("date"))
+             .agg(F.max("outage_probability").alias("outage_probability")))
+    return J.predictions_with_truth(preds, A.outage_days(oraw(spark, sf)))
