@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .sampling import row_hash
 
 _QUERY_BLOCK = 1024
@@ -53,6 +54,7 @@ def knn(query: DataFrame, data: DataFrame, k: int, id_col: str = "id", feat: str
     a row is never its own neighbour (same id).
     """
     spark = query.sparkSession
+    ship_package(spark)
     q = query.select(F.col(id_col).cast("long").alias("id"), F.col(feat).alias("f"))
     d = data.select(F.col(id_col).cast("long").alias("id"), F.col(feat).alias("f"))
     n = d.count()
