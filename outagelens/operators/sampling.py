@@ -157,39 +157,52 @@ def indexed_keys(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 
 
 def negatives(outages: DataFrame, n: int, windows: Sequence[int], seed: int = 42, oversample: int = 20,
-              key: str = "county_fips", ts: str = "event_time", max_window_hours: int | None = None) -> DataFrame:
+              key: str = "county_fips", ts: str = "event_time", max_window_hours: int | None = None,
+              first_round: int = 3) -> DataFrame:
     """``n`` negative rows: hash-picked county, whole hour and window with no outage in ``[t, t+w)``.
 
-    Slot ``i`` draws up to ``oversample`` attempts; the first attempt that
-    passes the anti join fills it (the reference retries up to 20 times).
-    ``spark.range`` generates the attempts on the executors.
+    Slot ``i`` has up to ``oversample`` attempts (the reference retries up to
+    20 times); the first attempt that passes the anti join fills it. Attempts
+    are evaluated in two rounds with the same result: the first
+    ``first_round`` attempts for every slot, then the remaining attempts only
+    for the slots still empty. ``spark.range`` generates attempts on the
+    executors.
     """
     from .joins import without_future_event
 
     spark = outages.sparkSession
     max_w = int(max_window_hours or max(windows))
     counties = indexed_keys(outages, key, seed)
-    n_counties = counties.agg(F.count(F.lit(1))).scalar()
-    bounds = outages.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
-    lo = bounds.select("lo").scalar()
-    hi = bounds.select("hi").scalar()
-    total_hours = F.greatest(F.lit(1), F.floor(
-        (F.unix_micros(hi) - F.lit(max_w * _US_PER_HOUR) - F.unix_micros(lo)) / F.lit(_US_PER_HOUR)).cast("long"))
+    # three scalars in one aggregate; they enter the plan as literals
+    st = outages.agg(F.count_distinct(key).alias("n"), F.unix_micros(F.min(ts)).alias("lo"),
+                     F.unix_micros(F.max(ts)).alias("hi")).first()
+    n_counties = F.lit(max(int(st["n"] or 0), 1))
+    lo_us = int(st["lo"] or 0)
+    total_hours = F.lit(max(1, (int(st["hi"] or 0) - max_w * _US_PER_HOUR - lo_us) // _US_PER_HOUR))
+    lo = F.timestamp_micros(F.lit(lo_us))
     win = F.array(*[F.lit(int(w)) for w in windows])
-    att = spark.range(0, int(n) * int(oversample)).select(
-        (F.col("id") / oversample).cast("long").alias("slot"), (F.col("id") % oversample).alias("attempt"))
-    att = att.select(
-        "slot", "attempt",
-        F.pmod(row_hash(["slot", "attempt"], seed, "county"), n_counties).alias("idx"),
-        F.timestamp_micros(F.unix_micros(lo) + F.pmod(row_hash(["slot", "attempt"], seed, "hour"), total_hours)
-                           * F.lit(_US_PER_HOUR)).alias("prediction_time"),
-        F.element_at(win, (F.pmod(row_hash(["slot", "attempt"], seed, "window"), F.lit(len(windows))) + 1)
-                     .cast("int")).alias("window_hours"),
-    )
-    att = att.join(counties, "idx", "inner").drop("idx")
-    ok = without_future_event(att, outages, key=key, ts="prediction_time", window_col="window_hours",
-                              event_ts=ts, max_window_hours=max_w)
-    first = ok.groupBy("slot").agg(F.min_by(F.struct(key, "prediction_time", "window_hours"), "attempt").alias("r"))
+
+    def attempts(slots: DataFrame, a0: int, a1: int) -> DataFrame:
+        att = slots.select("slot", F.explode(F.sequence(F.lit(a0), F.lit(a1 - 1))).alias("attempt"))
+        att = att.select(
+            "slot", "attempt",
+            F.pmod(row_hash(["slot", "attempt"], seed, "county"), n_counties).alias("idx"),
+            F.timestamp_micros(F.unix_micros(lo) + F.pmod(row_hash(["slot", "attempt"], seed, "hour"), total_hours)
+                               * F.lit(_US_PER_HOUR)).alias("prediction_time"),
+            F.element_at(win, (F.pmod(row_hash(["slot", "attempt"], seed, "window"), F.lit(len(windows))) + 1)
+                         .cast("int")).alias("window_hours"),
+        ).join(counties, "idx", "inner").drop("idx")
+        ok = without_future_event(att, outages, key=key, ts="prediction_time", window_col="window_hours",
+                                  event_ts=ts, max_window_hours=max_w)
+        return ok.groupBy("slot").agg(
+            F.min_by(F.struct(key, "prediction_time", "window_hours"), "attempt").alias("r"))
+
+    slots = spark.range(0, int(n)).withColumnRenamed("id", "slot")
+    split = max(1, min(int(first_round), int(oversample)))
+    first = attempts(slots, 0, split)
+    if split < oversample:
+        rest = attempts(slots.join(first.select("slot"), "slot", "left_anti"), split, int(oversample))
+        first = first.unionByName(rest)
     return first.select(F.col(f"r.{key}").alias(key), "r.prediction_time", "r.window_hours",
                         F.lit(0).alias("target"))
 

@@ -108,8 +108,8 @@ TRAIL_DBL = ("recent_customers_affected_24h", "recent_customers_affected_72h", "
 
 
 def trailing_features(cands, outages, weather, chunk_hours=None):
-    x = W.trailing(cands, outages, W.WARNING_OUTAGE_TRAILS, chunk_hours=chunk_hours)
-    return W.trailing(x, weather, W.WARNING_WEATHER_TRAILS, chunk_hours=chunk_hours)
+    return W.trailing_multi(cands, [(outages, W.WARNING_OUTAGE_TRAILS), (weather, W.WARNING_WEATHER_TRAILS)],
+                            chunk_hours=chunk_hours)
 
 
 @query("w05_trailing", _trail_sql(), dbl=TRAIL_DBL)

@@ -18,6 +18,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark import StorageLevel
 
 from ..functions import columns as P
 from ..operators import aggregates as A
@@ -46,16 +47,35 @@ def county_day_grid(counties: DataFrame, start, end) -> DataFrame:
     return counties.withColumn("date", F.explode(F.sequence(start, end, F.expr("INTERVAL 1 DAY"))))
 
 
-def _history_as_of(grid: DataFrame, outages_raw: DataFrame) -> DataFrame:
-    """History features from days strictly before each grid date (no look-ahead).
+def outage_daily(outages_raw: DataFrame) -> DataFrame:
+    """One row per (county, day) with outages: the only pass over the outage table.
 
-    Outages are first reduced to one row per (county, day); the running
-    window then spans at most the number of days per county.
+    History (A16), the target (A19) and the date range (A20) are all derived
+    from these partial sums, so the feature plan scans outages once.
     """
-    daily = outages_raw.groupBy("county_fips", "date").agg(
+    return outages_raw.groupBy("county_fips", "date").agg(
+        F.count("event_began").alias("_n"),
         F.count("max_customers").alias("_nc"), F.sum("max_customers").alias("_sc"),
-        F.max("max_customers").alias("_mx"), F.count("duration_hours").alias("_nd"),
-        F.sum("duration_hours").alias("_sd"), F.count("event_began").alias("_n"))
+        F.max("max_customers").alias("_mx"),
+        F.count("duration_hours").alias("_nd"), F.sum("duration_hours").alias("_sd"))
+
+
+def _history_from_daily(daily: DataFrame) -> DataFrame:
+    """A16 from the daily partial sums (same values as ``county_history``)."""
+    return daily.groupBy("county_fips").agg(
+        F.try_divide(F.sum("_sc"), F.sum("_nc")).alias("avg_customers_affected"),
+        F.max("_mx").alias("max_customers_ever"),
+        F.try_divide(F.sum("_sd"), F.sum("_nd")).alias("avg_duration_hours"),
+        F.sum("_n").cast("long").alias("total_historical_outages"),
+        F.min("date").alias("_first_day"), F.max("date").alias("_last_day"))
+
+
+def _history_as_of(grid: DataFrame, daily: DataFrame) -> DataFrame:
+    """History features from days strictly before each grid date (no look-ahead).
+
+    The running window spans at most the number of days per county (the
+    daily table has one row per county and day).
+    """
     g = grid.join(daily, ["county_fips", "date"], "left")
     w = Window.partitionBy("county_fips").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     return g.withColumns({
@@ -74,35 +94,48 @@ def daily_features(outages_raw: DataFrame, weather_raw: DataFrame, population: D
     Defaults build the whole grid (all counties x all days). ``sample_counties``
     reproduces the reference's county sample reproducibly (hash order);
     ``as_of=True`` computes history from earlier days only.
+
+    The outage table is read once (``outage_daily``, persisted with disk
+    spill); the date range, median and 75th percentiles are computed as a few
+    scalars from the county table (one row per county) and enter the plan as
+    literals, so no statistic rescans the outages.
     """
-    counties = outages_raw.select("county_fips").distinct()
+    daily = outage_daily(outages_raw).persist(StorageLevel.MEMORY_AND_DISK)
+    ct = _history_from_daily(daily)
     if sample_counties:
-        counties = sample_keys(counties, "county_fips", sample_counties, seed)
-    lo = F.lit(start) if start is not None else outages_raw.agg(F.min("date")).scalar()
-    hi = F.lit(end) if end is not None else outages_raw.agg(F.max("date")).scalar()
-    n_days = F.datediff(hi, lo) + 1
-
-    ct = counties
-    if not as_of:
-        ct = ct.join(A.county_history(outages_raw), "county_fips", "left").fillna(0, subset=HISTORY_COLS)
+        ct = ct.join(sample_keys(ct, "county_fips", sample_counties, seed), "county_fips", "left_semi")
     ct = ct.join(population.select("county_fips", "latest_population"), "county_fips", "left")
-    # Median over grid rows == frequency-weighted median over counties.
-    med = ct.agg(F.percentile("latest_population", F.lit(0.5), n_days)).scalar()
-    ct = ct.withColumn("latest_population", F.coalesce(F.col("latest_population"), med))
-    # 75th percentile flags, same weighting.
-    q_pop = ct.agg(F.percentile("latest_population", F.lit(0.75), n_days)).scalar()
-    ct = ct.withColumn("high_population_density", (F.col("latest_population") > q_pop).cast("int"))
+    ct = ct.persist(StorageLevel.MEMORY_AND_DISK)
+
+    r = ct.agg(F.min("_first_day").alias("lo"), F.max("_last_day").alias("hi")).first()
+    lo, hi = start or r["lo"], end or r["hi"]
+    if lo is None or hi is None:
+        lo = hi = dt.date(1970, 1, 1)
+    n_days = (hi - lo).days + 1
+    ct = ct.drop("_first_day", "_last_day")
+    if not as_of:
+        ct = ct.fillna(0, subset=HISTORY_COLS)
+    else:
+        ct = ct.drop(*HISTORY_COLS)
+    # Grid quantiles == quantiles over counties, each weighted by n_days.
+    freq = F.lit(max(n_days, 1))
+    s1 = ct.agg(F.percentile("latest_population", F.lit(0.5), freq).alias("med"),
+                *([] if as_of else [F.percentile("total_historical_outages", F.lit(0.75), freq).alias("q_out")])
+                ).first()
+    med = s1["med"]
+    ct = ct.withColumn("latest_population", F.coalesce(F.col("latest_population"), F.lit(med).cast("double")))
+    q_pop = ct.agg(F.percentile("latest_population", F.lit(0.75), freq)).first()[0]
+    ct = ct.withColumn("high_population_density", (F.col("latest_population") > F.lit(q_pop)).cast("int"))
     if not as_of:
-        q_out = ct.agg(F.percentile("total_historical_outages", F.lit(0.75), n_days)).scalar()
-        ct = ct.withColumn("high_risk_county", (F.col("total_historical_outages") > q_out).cast("int"))
+        ct = ct.withColumn("high_risk_county", (F.col("total_historical_outages") > F.lit(s1["q_out"])).cast("int"))
 
-    grid = county_day_grid(ct, lo, hi)
+    grid = county_day_grid(ct, F.lit(lo), F.lit(hi))
     if as_of:
-        grid = _history_as_of(grid, outages_raw).fillna(0, subset=HISTORY_COLS)
+        grid = _history_as_of(grid, daily).fillna(0, subset=HISTORY_COLS)
         q_out = grid.agg(F.percentile("total_historical_outages", F.lit(0.75))).scalar()
         grid = grid.withColumn("high_risk_county", (F.col("total_historical_outages") > q_out).cast("int"))
 
-    days = A.outage_days(outages_raw)
+    days = daily.select("county_fips", "date", F.lit(1).alias("target"))
     grid = grid.join(days, ["county_fips", "date"], "left").withColumn(
         "target", F.coalesce(F.col("target"), F.lit(0)).cast("int"))
     grid = grid.join(A.weather_by_day(weather_raw), ["county_fips", "date"], "left").fillna(0, subset=WEATHER_COLS)
