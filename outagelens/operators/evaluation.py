@@ -9,6 +9,7 @@ bucket. The result is exact (not binned like ``numBins``).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ def score_counts(df: DataFrame, label: str = "target", prob: str = "p") -> DataF
 
 def cumulative_at_or_above(counts: DataFrame) -> DataFrame:
     """Add ``tp``/``fp``: positives/negatives with score >= this score (W7), exactly."""
-    x = counts.withColumn("_bk", _score_bucket(F.col("score")))
+    x = counts.withColumn("_bk", _score_bucket(F.col("score"))).persist(StorageLevel.MEMORY_AND_DISK)
     hist = x.groupBy("_bk").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     above = Window.orderBy(F.col("_bk").desc()).rowsBetween(Window.unboundedPreceding, -1)  # <= 65,536 rows
     hist = hist.select("_bk", F.coalesce(F.sum("_bp").over(above), F.lit(0)).alias("_op"),
@@ -87,8 +88,8 @@ def confusion(df: DataFrame, label: str = "target", pred: str = "pred") -> DataF
 # -- E4-E7 --------------------------------------------------------------------------------
 def pr_curve(df: DataFrame, label: str = "target", prob: str = "p") -> DataFrame:
     """One point per distinct score (threshold) plus the end point (precision 1, recall 0, no threshold)."""
-    c = cumulative_at_or_above(score_counts(df, label, prob))
-    p_total = c.agg(F.sum("pos")).scalar()
+    c = cumulative_at_or_above(score_counts(df, label, prob)).persist(StorageLevel.MEMORY_AND_DISK)
+    p_total = F.lit(c.agg(F.sum("pos")).first()[0] or 0)
     tp, fp = F.col("tp").cast("double"), F.col("fp").cast("double")
     pts = c.select(
         F.col("score").alias("threshold"),

@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +42,7 @@ def hash_rank(df: DataFrame, part: Sequence[str], key: Sequence[str], seed: int,
     """
     h = row_hash(list(key), seed, "rank")
     x = df.withColumn("_h", h).withColumn("_bk", F.shiftright(F.col("_h"), _HASH_BITS - _BUCKET_BITS))
+    x = x.persist(StorageLevel.MEMORY_AND_DISK)  # read twice (histogram, ranks): compute the input once
     hist = x.groupBy(*part, "_bk").agg(F.count(F.lit(1)).alias("_cnt"))
     cw = Window.partitionBy(*part).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("_off", F.coalesce(F.sum("_cnt").over(cw), F.lit(0))).drop("_cnt")
@@ -102,11 +104,12 @@ def undersample(df: DataFrame, label: str = "target", ratio: float = 0.1, seed:
     Majority rows are chosen by hash rank, so the count is exact.
     """
     key = list(key or df.columns)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)  # counted, ranked and filtered: compute once
     counts = class_counts(df, label)
-    n_min = counts.agg(F.min("n")).scalar()
-    keep = F.least(F.col("_n"), F.floor(n_min / F.lit(float(ratio))))
+    n_min = counts.agg(F.min("n")).first()[0]
+    keep = F.least(F.col("_n"), F.floor(F.lit(float(n_min)) / F.lit(float(ratio))))
     ranked = hash_rank(df, [label], key, seed).join(F.broadcast(counts.withColumnRenamed("n", "_n")), label)
-    is_minor = F.col("_n") == n_min
+    is_minor = F.col("_n") == F.lit(n_min)
     return ranked.filter(is_minor | (F.col("_rank") < keep)).drop("_rank", "_n")
 
 
