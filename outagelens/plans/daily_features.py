@@ -38,6 +38,7 @@ DAILY_FEATURES = [
 # The 16 base features used by the sampling studies (F2).
 BASE_FEATURES = DAILY_FEATURES[:16]
 
+GRID_ROWS_PER_PARTITION = 1_000_000
 HISTORY_COLS = ["avg_customers_affected", "max_customers_ever", "avg_duration_hours", "total_historical_outages"]
 WEATHER_COLS = ["weather_event_count", "total_property_damage", "avg_magnitude", "total_injuries", "total_deaths"]
 
@@ -107,7 +108,8 @@ def daily_features(outages_raw: DataFrame, weather_raw: DataFrame, population: D
     ct = ct.join(population.select("county_fips", "latest_population"), "county_fips", "left")
     ct = ct.persist(StorageLevel.MEMORY_AND_DISK)
 
-    r = ct.agg(F.min("_first_day").alias("lo"), F.max("_last_day").alias("hi")).first()
+    r = ct.agg(F.min("_first_day").alias("lo"), F.max("_last_day").alias("hi"),
+               F.count(F.lit(1)).alias("n")).first()
     lo, hi = start or r["lo"], end or r["hi"]
     if lo is None or hi is None:
         lo = hi = dt.date(1970, 1, 1)
@@ -129,7 +131,9 @@ def daily_features(outages_raw: DataFrame, weather_raw: DataFrame, population: D
     if not as_of:
         ct = ct.withColumn("high_risk_county", (F.col("total_historical_outages") > F.lit(s1["q_out"])).cast("int"))
 
-    grid = county_day_grid(ct, F.lit(lo), F.lit(hi))
+    # spread the county rows so the day explode is generated by many tasks (~1M grid rows each)
+    parts = max(1, -(-int(r["n"] or 0) * max(n_days, 1) // GRID_ROWS_PER_PARTITION))
+    grid = county_day_grid(ct.repartition(parts, "county_fips"), F.lit(lo), F.lit(hi))
     if as_of:
         grid = _history_as_of(grid, daily).fillna(0, subset=HISTORY_COLS)
         q_out = grid.agg(F.percentile("total_historical_outages", F.lit(0.75))).scalar()
