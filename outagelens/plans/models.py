@@ -217,6 +217,20 @@ def metadata_row(metrics_table: DataFrame, imp: DataFrame, version: str, best: s
         imp_map.scalar().alias("feature_importances"))
 
 
+def importances_from_metadata(metadata: DataFrame, version: str) -> DataFrame:
+    """The stored ``feature_importances`` map of one version as rows, largest first."""
+    row = metadata.filter(F.col("model_version") == version)
+    return (row.select(F.explode("feature_importances").alias("feature", "importance"))
+            .orderBy(F.col("importance").desc(), F.col("feature")))
+
+
+def save_metadata(metadata: DataFrame, path: str) -> None:
+    """M10 + S11: replace only this version's metadata row(s)."""
+    from ..sources.sinks import replace_keyed
+
+    replace_keyed(metadata, path, "model_version")
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     """Persist a fitted pipeline (the assembler keeps the feature order)."""
     model.write().overwrite().save(path)

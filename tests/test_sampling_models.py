@@ -56,3 +56,41 @@ def test_model_save_load_same_scores(spark, tmp_path):  # M1, S14
     assert abs(imp - 1.0) < 1e-9
     auc = M.evaluate(M.probability(m, df, "rf"), "p_rf").first().roc_auc
     assert auc > 0.5
+
+
+def test_knn_equals_brute_force(spark):  # exactness of the pivot kNN with many small cells
+    import numpy as np
+
+    from outagelens.operators.neighbors import knn
+
+    rng = np.random.default_rng(7)
+    pts = rng.normal(size=(300, 4))
+    pts[:100] *= 0.01  # a dense cluster
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(pts)], "id long, features array<double>")
+    got = {(r.id, r.rank): r.nn_id for r in knn(df, df, 3, cell_size=10, sample_size=50).collect()}
+    d = np.sqrt(((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    for i in range(len(pts)):
+        order = np.lexsort((np.arange(len(pts)), d[i]))[:3]
+        assert [got[(i, r + 1)] for r in range(3)] == list(order)
+
+
+def test_smote_rows_lie_on_segments(spark):  # B7 invariant
+    from outagelens.operators import sampling as S
+
+    rows = [(0, [0.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [3.0, 0.0], 1)] + \
+           [(10 + i, [5.0 + i, 5.0], 0) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, features array<double>, target int")
+    out = S.smote(df, ratio=0.5, k=1).filter("is_synthetic = 1").collect()
+    assert len(out) == 15 - 3
+    for r in out:
+        x, y = r.features
+        assert y == 0.0 and 0.0 <= x <= 3.0 and r.target == 1
+
+
+def test_daily_as_of_has_no_lookahead(spark):  # A16 option
+    from outagelens.plans.catalog import QUERIES
+
+    d = QUERIES["f01_daily_features_as_of"](spark, SF_SMALL)
+    first = d.orderBy("date").select("date").first().date
+    assert d.filter(F.col("date") == first).agg(F.max("total_historical_outages")).first()[0] == 0
