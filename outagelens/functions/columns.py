@@ -72,17 +72,17 @@ def to_time(c: str | Column) -> Column:
 def time_column(df: DataFrame, candidates: Sequence[str], per_row: bool = False) -> Column:
     """The reference picks the first *column* holding any value.
 
-    ``per_row=False`` reproduces that with one global count (a single small
-    aggregate job); ``per_row=True`` coalesces row by row instead.
+    ``per_row=False`` reproduces that with an existence probe per candidate
+    (``isEmpty`` = LIMIT 1, which stops at the first non-null value instead of
+    scanning the table); ``per_row=True`` coalesces row by row instead.
     """
     present = [c for c in candidates if c in df.columns]
     if not present:
         return F.lit(None).cast("timestamp")
     if per_row:
         return F.coalesce(*[to_time(c) for c in present])
-    counts = df.agg(*[F.count(to_time(c)).alias(f"n{i}") for i, c in enumerate(present)]).first()
-    for i, c in enumerate(present):
-        if counts[f"n{i}"] > 0:
+    for c in present:
+        if not df.select(to_time(c).alias("_t")).filter(F.col("_t").isNotNull()).isEmpty():
             return to_time(c)
     return F.lit(None).cast("timestamp")
 

@@ -369,7 +369,7 @@ def a26t(spark, sf):
 
 @query("a27_map_kpis", """
 WITH b AS (SELECT county_fips, count(*) AS outage_count FROM o1 GROUP BY county_fips)
-SELECT count(*) AS counties, coalesce(sum(outage_count), 0) AS total_outages,
+SELECT count(*) AS counties, CAST(coalesce(sum(outage_count), 0) AS BIGINT) AS total_outages,
        coalesce(max(outage_count), 0) AS max_in_one_county FROM b""")
 def a27(spark, sf):
     return A.map_kpis(A.by_county(o1(spark, sf)))

@@ -20,7 +20,7 @@ sev AS (
   SELECT lpad(CAST(user_id AS VARCHAR), 5, '0') AS county_fips, n_name AS state,
          CASE WHEN k % 5 <> 0 THEN 'C' ELSE 'Z' END AS cz_type, ts AS begin_date,
          'storm_' || CAST(k % 9 AS VARCHAR) AS event_type, value AS damage_property,
-         CAST(k AS DOUBLE) / 10.0 AS magnitude, CAST(k % 3 AS DOUBLE) AS injuries, 0.0 AS deaths
+         CAST(k AS DOUBLE) / 10.0 AS magnitude, CAST(k % 3 AS DOUBLE) AS injuries, CAST(0.0 AS DOUBLE) AS deaths
   FROM ev JOIN dim ON user_id = c_custkey WHERE ev.event_type IN ('click', 'view')),
 ocal AS (
   SELECT lpad(CAST(o_custkey AS VARCHAR), 5, '0') AS county_fips, c_name AS county_name, n_name AS state,
