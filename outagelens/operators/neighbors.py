@@ -26,25 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
 from .sampling import row_hash
 
 _QUERY_BLOCK = 1024
 
 
-def _dist_to(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    # |a-b|^2 = |a|^2 + |b|^2 - 2ab would lose precision; use the direct form in blocks.
-    out = np.empty((points.shape[0], pivots.shape[0]))
-    for j in range(pivots.shape[0]):
-        d = points - pivots[j]
-        out[:, j] = np.sqrt(np.einsum("ij,ij->i", d, d))
-    return out
-
-
-def _stack(col: pd.Series) -> np.ndarray:
-    return np.vstack([np.asarray(v, dtype=np.float64) for v in col]) if len(col) else np.zeros((0, 0))
-
-
 def knn(query: DataFrame, data: DataFrame, k: int, id_col: str = "id", feat: str = "features",
         exclude_self: bool = True, cell_size: int = 2000, max_pivots: int = 1024, sample_size: int = 4096,
         seed: int = 42) -> DataFrame:
@@ -54,7 +40,20 @@ def knn(query: DataFrame, data: DataFrame, k: int, id_col: str = "id", feat: str
     a row is never its own neighbour (same id).
     """
     spark = query.sparkSession
-    ship_package(spark)
+    block = _QUERY_BLOCK
+
+    # Helpers are local so the Arrow-batched steps pickle by value: workers need numpy
+    # and pandas only, not this package.
+    def _dist_to(points, pivots):
+        out = np.empty((points.shape[0], pivots.shape[0]))
+        for j in range(pivots.shape[0]):
+            d = points - pivots[j]
+            out[:, j] = np.sqrt(np.einsum("ij,ij->i", d, d))
+        return out
+
+    def _stack(col):
+        return np.vstack([np.asarray(v, dtype=np.float64) for v in col]) if len(col) else np.zeros((0, 0))
+
     q = query.select(F.col(id_col).cast("long").alias("id"), F.col(feat).alias("f"))
     d = data.select(F.col(id_col).cast("long").alias("id"), F.col(feat).alias("f"))
     n = d.count()
@@ -113,8 +112,8 @@ def knn(query: DataFrame, data: DataFrame, k: int, id_col: str = "id", feat: str
         dx, did = dx[order0], did[order0]
         out = []
         qx_all, qid_all = _stack(qs["f"]), qs["id"].to_numpy()
-        for s in range(0, len(qs), _QUERY_BLOCK):
-            qx, qid = qx_all[s:s + _QUERY_BLOCK], qid_all[s:s + _QUERY_BLOCK]
+        for s in range(0, len(qs), block):
+            qx, qid = qx_all[s:s + block], qid_all[s:s + block]
             diff = qx[:, None, :] - dx[None, :, :]
             dist = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
             if exclude_self:

@@ -66,32 +66,3 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     checkpoint_dir(spark)
     return spark
 
-
-def ship_package(spark: SparkSession) -> None:
-    """Make ``outagelens`` importable by Python workers (Arrow-batched steps pickle by reference).
-
-    Equivalent to ``--py-files``: the package is zipped once per driver and
-    distributed with ``addPyFile``. Clusters that install the package on every
-    executor can skip this (it is idempotent and cheap).
-    """
-    sc = spark.sparkContext
-    if getattr(sc, "_outagelens_shipped", False):
-        return
-    import io
-    import zipfile
-
-    pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    root = os.path.dirname(pkg_dir)
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
-        for dirpath, _dirs, files in os.walk(pkg_dir):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(dirpath, f)
-                    zf.write(full, os.path.relpath(full, root))
-    out_dir = tempfile.mkdtemp(prefix="outagelens-pyfiles-")  # driver-side source of addPyFile only
-    path = os.path.join(out_dir, "outagelens.zip")
-    with open(path, "wb") as fh:
-        fh.write(buf.getvalue())
-    sc.addPyFile(path)
-    sc._outagelens_shipped = True
