@@ -345,8 +345,17 @@ def score_profile(df: DataFrame, p: str = "p", label: str = "target") -> DataFra
 # -- A26 / A27 ------------------------------------------------------------------------------
 def state_period(outages: DataFrame, state: str, start: _dt.datetime, end: _dt.datetime,
                  compat_bounds: bool = False, time_col: str = "start_time") -> DataFrame:
-    """Equality + time range. Default half-open ``[start, end)``; ``compat_bounds`` closes the end."""
-    return outages.filter((F.col("state") == state) & time_between(time_col, start, end, closed_end=compat_bounds))
+    """Equality + time range. Default half-open ``[start, end)``; ``compat_bounds`` closes the end.
+
+    Rows carry the study's defaults: missing county name 'Unknown', missing
+    customers / duration 0.
+    """
+    rows = outages.filter((F.col("state") == state) & time_between(time_col, start, end, closed_end=compat_bounds))
+    return rows.withColumns({
+        "county_name": F.coalesce(F.col("county_name"), F.lit("Unknown")),
+        "max_customers": F.coalesce(F.col("max_customers").cast("double"), F.lit(0.0)),
+        "duration_hours": F.coalesce(F.col("duration_hours").cast("double"), F.lit(0.0)),
+    })
 
 
 def period_kpis(period: DataFrame) -> DataFrame:

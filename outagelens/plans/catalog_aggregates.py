@@ -347,7 +347,9 @@ def a25(spark, sf):
 
 
 PERIOD = ("NATION_3", dt.datetime(1996, 2, 1), dt.datetime(1996, 3, 1))
-PERIOD_SQL = """SELECT * FROM ocal WHERE state = 'NATION_3'
+PERIOD_SQL = """SELECT * REPLACE (coalesce(county_name, 'Unknown') AS county_name,
+                   coalesce(max_customers, 0.0) AS max_customers, coalesce(duration_hours, 0.0) AS duration_hours)
+FROM ocal WHERE state = 'NATION_3'
   AND start_time >= TIMESTAMP '1996-02-01' AND start_time < TIMESTAMP '1996-03-01'"""
 
 
