@@ -70,10 +70,9 @@ def knn(query: DataFrame, data: DataFrame, k: int, id_col: str = "id", feat: str
     if n <= sample_size:  # the sample is the whole data set: bound is exact but still valid
         pass
 
-    pv = spark.sparkContext.broadcast(pivots)
-
+    # pivots (<= max_pivots x dims) and per-cell reach travel inside the task closures
     def assign(it):
-        p = pv.value
+        p = pivots
         for b in it:
             x = _stack(b["f"])
             dist = _dist_to(x, p) if len(b) else np.zeros((0, p.shape[0]))
@@ -86,10 +85,8 @@ def knn(query: DataFrame, data: DataFrame, k: int, id_col: str = "id", feat: str
     reach = np.full(pivots.shape[0], -1.0)
     for r in radius:
         reach[r.cell] = 2.0 * r.u + dk[r.cell]
-    rb = spark.sparkContext.broadcast(reach)
-
     def replicate(it):
-        p, lim = pv.value, rb.value
+        p, lim = pivots, reach
         for b in it:
             if not len(b):
                 continue
