@@ -105,3 +105,26 @@ def test_metrics_zero_division(spark):  # E1 with one class
     assert (r.precision, r.recall, r.f1, r.roc_auc, r.accuracy) == (0.0, 0.0, 0.0, 0.0, 1.0)
     cells = {(c.actual, c.predicted): c.n for c in E.confusion(df).collect()}
     assert cells == {(0, 0): 2, (0, 1): 0, (1, 0): 0, (1, 1): 0}
+
+
+def test_null_keys_grouping_rules(spark):  # N4: null type is a group in A6, dropped in A12
+    o = spark.createDataFrame([("S", None, 1.0, 2.0), ("S", "a", 3.0, None), ("S", None, None, 4.0)],
+                              "state string, event_type string, max_customers double, duration_hours double")
+    by_type = {r.event_type: (r["count"], r.avg_customers, r.avg_duration) for r in A.by_event_type(o).collect()}
+    assert by_type == {None: (2, 1.0, 3.0), "a": (1, 3.0, None)}
+    top = A.top_event_types(o, k=10).collect()
+    assert [(r.state, r.event_type, r["count"]) for r in top] == [("S", "a", 1)]
+
+
+def test_region_dimension_with_unassigned_state(spark):  # A7: a state in no region is not counted
+    o = spark.createDataFrame([("Texas", 5.0), ("District of Columbia", 7.0)], "state string, max_customers double")
+    regions = spark.createDataFrame([("Texas", "Southwest"), ("Maine", "Northeast")], "state string, region string")
+    got = {r.region: (r.outage_count, r.total_customers_affected) for r in A.by_region(o, regions).collect()}
+    assert got == {"Southwest": (1, 5.0), "Northeast": (0, 0.0)}
+
+
+def test_sum_of_nothing_is_zero(spark):  # N3
+    w = spark.createDataFrame([("01001", None, None, None, None)],
+                              "county_fips string, damage_property double, injuries double, deaths double, x double")
+    r = A.county_weather_profile(w).first()
+    assert (r.weather_event_count, r.avg_damage, r.total_injuries, r.total_deaths) == (1, None, 0.0, 0.0)
