@@ -267,25 +267,45 @@ def _combine(base: DataFrame, synth: DataFrame) -> DataFrame:
             .unionByName(synth.withColumn("id", F.lit(None).cast("long")).withColumn("is_synthetic", F.lit(1))))
 
 
+def _base(df: DataFrame, features_col: str, label: str, id_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(features_col).alias("features"),
+                     F.col(label).cast("int").alias("target"))
+
+
+def majority_neighbours(base: DataFrame, minority_label: int, k: int, seed: int = 42) -> DataFrame:
+    """Per minority row: how many of its ``k`` nearest rows (any class, exact) are not minority."""
+    from .neighbors import knn
+
+    minority = base.filter(F.col("target") == minority_label)
+    nn_all = knn(minority, base, k, seed=seed)
+    return (nn_all.join(base.select(F.col("id").alias("nn_id"), F.col("target").alias("nt")), "nn_id")
+            .groupBy("id").agg(F.count_if(F.col("nt") != minority_label).alias("n_maj")))
+
+
+def adasyn_allocation(df: DataFrame, features_col: str = "features", label: str = "target", ratio: float = 0.33,
+                      k: int = 5, seed: int = 42, id_col: str = "id") -> DataFrame:
+    """ADASYN weights: ``r = majority share of the k neighbours``; ``g = rint(r / sum(r) * G)``
+    with ``G = floor(ratio * n_major) - n_minor`` (half-to-even rounding, as numpy's rint)."""
+    base = _base(df, features_col, label, id_col)
+    c, mino, majo = _counts(base, "target")
+    g = int(math.floor(ratio * c[majo])) - c[mino]
+    share = majority_neighbours(base, mino, k, seed).select("id", (F.col("n_maj") / F.lit(float(k))).alias("r"))
+    total = share.agg(F.sum("r")).first()[0] or 0.0
+    if g <= 0 or total == 0:
+        return share.withColumn("g", F.lit(0).cast("long"))
+    return share.withColumn("g", F.rint(F.col("r") / F.lit(float(total)) * F.lit(float(g))).cast("long"))
+
+
 def adasyn(df: DataFrame, features_col: str = "features", label: str = "target", ratio: float = 0.33,
            k: int = 5, seed: int = 42, id_col: str = "id") -> DataFrame:
     """ADASYN: synthetic count per minority row proportional to the majority share of its
     k nearest neighbours over all rows; neighbours for interpolation come from the minority."""
     from .neighbors import knn
 
-    spark = df.sparkSession
-    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(features_col).alias("features"),
-                     F.col(label).cast("int").alias("target"))
-    c, mino, majo = _counts(base, "target")
-    g = int(math.floor(ratio * c[majo])) - c[mino]
-    if g <= 0:
-        return _combine(base, spark.createDataFrame([], "features array<double>, target int"))
+    base = _base(df, features_col, label, id_col)
+    _c, mino, _majo = _counts(base, "target")
+    per = adasyn_allocation(df, features_col, label, ratio, k, seed, id_col).filter("g > 0")
     minority = base.filter(F.col("target") == mino)
-    nn_all = knn(minority, base, k, seed=seed)
-    share = (nn_all.join(base.select(F.col("id").alias("nn_id"), F.col("target").alias("nt")), "nn_id")
-             .groupBy("id").agg((F.count_if(F.col("nt") != mino) / F.lit(float(k))).alias("r")))
-    total = share.agg(F.sum("r")).scalar()
-    per = share.withColumn("g", F.rint(F.col("r") / total * F.lit(float(g))).cast("long")).filter("g > 0")
     nbrs = knn(minority, minority, k, seed=seed)
     kmax = nbrs.groupBy("id").agg(F.max("rank").alias("_kmax"))
     rows = per.join(kmax, "id").select("id", "_kmax", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j"))
@@ -299,21 +319,26 @@ def adasyn(df: DataFrame, features_col: str = "features", label: str = "target",
     return _combine(base, synth)
 
 
+def borderline_danger(df: DataFrame, features_col: str = "features", label: str = "target", m: int = 10,
+                      seed: int = 42, id_col: str = "id") -> DataFrame:
+    """Borderline-SMOTE-1 'danger' flags: ``m/2 <= majority among m neighbours < m``."""
+    base = _base(df, features_col, label, id_col)
+    _c, mino, _majo = _counts(base, "target")
+    maj = majority_neighbours(base, mino, m, seed)
+    return maj.withColumn("danger", (F.col("n_maj") >= m / 2.0) & (F.col("n_maj") < m))
+
+
 def borderline_smote(df: DataFrame, features_col: str = "features", label: str = "target", ratio: float = 0.33,
                      k: int = 5, m: int = 10, seed: int = 42, id_col: str = "id") -> DataFrame:
-    """Borderline-SMOTE-1: only minority rows in danger (m/2 <= majority neighbours < m) are bases."""
+    """Borderline-SMOTE-1: only minority rows in danger are interpolation bases."""
     from .neighbors import knn
 
     spark = df.sparkSession
-    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(features_col).alias("features"),
-                     F.col(label).cast("int").alias("target"))
+    base = _base(df, features_col, label, id_col)
     c, mino, majo = _counts(base, "target")
     n_synth = int(math.floor(ratio * c[majo])) - c[mino]
     minority = base.filter(F.col("target") == mino)
-    nn_all = knn(minority, base, m, seed=seed)
-    maj = (nn_all.join(base.select(F.col("id").alias("nn_id"), F.col("target").alias("nt")), "nn_id")
-           .groupBy("id").agg(F.count_if(F.col("nt") != mino).alias("n_maj")))
-    danger = maj.filter((F.col("n_maj") >= m / 2.0) & (F.col("n_maj") < m)).select("id")
+    danger = borderline_danger(df, features_col, label, m, seed, id_col).filter("danger").select("id")
     bases = minority.join(danger, "id", "left_semi")
     nbrs = knn(bases, minority, k, seed=seed)
     synth = _interpolate(spark, _indexed(bases, seed), nbrs, minority, n_synth, seed, k, mino, "border")

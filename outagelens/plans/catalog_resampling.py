@@ -79,3 +79,26 @@ def b08(spark, sf):
     """Guard + SMOTE(.5) + undersample(.75) on the vectors (rows-only)."""
     s = B.balance(vecs(spark, sf), path="warning")
     return s.groupBy("target", "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _nn_all_sql(k):
+    return f"""
+WITH {VEC_SQL},
+pairs AS (SELECT a.id, b.id AS nn_id, b.target AS nt, list_distance(a.f, b.f) AS dist FROM m a JOIN v b ON a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nn_id) AS rank FROM pairs),
+nm AS (SELECT id, count(*) FILTER (WHERE nt <> 1) AS n_maj FROM r WHERE rank <= {k} GROUP BY id)"""
+
+
+@query("b09_adasyn_allocation", _nn_all_sql(5) + """,
+c AS (SELECT count(*) FILTER (WHERE target = 1) AS n1, count(*) FILTER (WHERE target = 0) AS n0 FROM v),
+s AS (SELECT id, n_maj / 5.0 AS r FROM nm)
+SELECT id, r, CAST(round_even(r / (SELECT sum(r) FROM s) * (SELECT floor(0.33 * n0) - n1 FROM c), 0) AS BIGINT) AS g
+FROM s""", dbl=("r",))
+def b09a(spark, sf):
+    return B.adasyn_allocation(vecs(spark, sf), ratio=0.33, k=5)
+
+
+@query("b10_borderline_danger", _nn_all_sql(10) + """
+SELECT id, n_maj, n_maj >= 5.0 AND n_maj < 10 AS danger FROM nm""")
+def b10d(spark, sf):
+    return B.borderline_danger(vecs(spark, sf), m=10)
