@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import active_warning, clamp01, label_or_key, risk_label
 
+# Fixed values that must equal the reference's: alert status and message formats.
+WARNING_STATUS = "%s Outage Warning"
+NO_WARNING_STATUS = "No Active Warning"
+MESSAGE = "Hey %s! %s is %s your selected warning threshold for the next %d hours."
+
 
 def warning_rows(preds: DataFrame, threshold: float, window_hours: int | None = None,
                  state: str | None = None, top: int | None = 15) -> DataFrame:
@@ -34,12 +39,10 @@ def alert_rows(latest: DataFrame, threshold: float, user_name: str = "there") ->
     risk = risk_label("probability")
     place = F.format_string("%s, %s", F.col("county_name"), F.col("state"))
     side = F.when(warn, F.lit("above")).otherwise(F.lit("below"))
-    message = F.format_string(
-        "Hey %s! %s is %s your selected warning threshold for the next %d hours.",
-        F.lit(user_name), place, side, F.col("window_hours"))
+    message = F.format_string(MESSAGE, F.lit(user_name), place, side, F.col("window_hours"))
     return df.select(
         "county_fips", "county_name", "state", "window_hours", "prediction_time", "probability",
         risk.alias("risk_level"), warn.alias("is_warning"),
-        F.when(warn, F.concat(risk, F.lit(" Outage Warning"))).otherwise(F.lit("No Active Warning")).alias("status"),
+        F.when(warn, F.format_string(WARNING_STATUS, risk)).otherwise(F.lit(NO_WARNING_STATUS)).alias("status"),
         message.alias("message"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..sources import fixtures as fx
 from ..sources import loaders as L
-from .catalog import query
+from .registry import query
 
 
 def o1(spark, sf):

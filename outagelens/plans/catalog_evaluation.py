@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as E
 from ..operators import sampling as B
 from ..sources import fixtures as fx
-from .catalog import query
+from .registry import query
 
 
 def scored(spark, sf):

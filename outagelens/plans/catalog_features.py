@@ -11,7 +11,7 @@ from ..sources import fixtures as fx
 from ..sources import loaders as L
 from . import daily_features as D
 from . import warning_features as WF
-from .catalog import query
+from .registry import query
 from .catalog_aggregates import oraw, popl, wraw
 
 F1_SQL = """

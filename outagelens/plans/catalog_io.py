@@ -13,7 +13,7 @@ from ..operators import windows as W
 from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..sources import sinks as S
-from .catalog import query
+from .registry import query
 from .catalog_aggregates import o1, oraw
 from .catalog_joins import LATEST_SQL
 

@@ -10,7 +10,7 @@ from ..operators import joins as J
 from ..operators import windows as W
 from ..sources import fixtures as fx
 from ..sources import loaders as L
-from .catalog import query
+from .registry import query
 from .catalog_aggregates import o1, s1
 
 

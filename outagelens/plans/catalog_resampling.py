@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import sampling as B
 from ..operators.neighbors import knn
 from ..sources import fixtures as fx
-from .catalog import query
+from .registry import query
 
 VEC_SQL = """v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS f, CAST(label = 0 AS INTEGER) AS target
                    FROM embeddings),
