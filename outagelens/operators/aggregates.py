@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import pct_change, time_between, year_range
+from ..functions.columns import optional_equals, pct_change, time_between, year_range
 
 # Fixed values that must equal the reference's: importance categories.
 IMPORTANCE_CATEGORIES = {
@@ -404,8 +404,7 @@ def warning_kpis(preds: DataFrame, threshold: float, window_hours: int | None =
     df = preds
     if window_hours is not None:
         df = df.filter(F.col("window_hours") == window_hours)
-    if state is not None and state != "ALL":
-        df = df.filter(F.col("state") == state)
+    df = df.filter(optional_equals("state", state))
     p = F.coalesce(F.col("outage_probability"), F.lit(0.0))
     return df.agg(
         F.count(F.lit(1)).alias("counties_monitored"),

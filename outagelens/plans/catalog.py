@@ -8,5 +8,6 @@ from . import (  # noqa: F401
     catalog_joins,
     catalog_models,
     catalog_resampling,
+    catalog_streaming,
 )
 from .registry import ORACLE, QUERIES  # noqa: F401
