@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from outagelens.operators import aggregates as A
 from outagelens.operators import evaluation as E
