@@ -256,6 +256,8 @@ def smote(df: DataFrame, features_col: str = "features", label: str = "target",
                      F.col(label).cast("int").alias("target"))
     c, mino, majo = _counts(base, "target")
     n_synth = int(math.floor(ratio * c[majo])) - c[mino]
+    if n_synth <= 0:  # already at or past the requested ratio
+        return _combine(base, spark.createDataFrame([], "features array<double>, target int"))
     minority = base.filter(F.col("target") == mino)
     nbrs = knn(minority, minority, k, seed=seed)
     synth = _interpolate(spark, _indexed(minority, seed), nbrs, minority, n_synth, seed, k, mino, "smote")
@@ -337,6 +339,8 @@ def borderline_smote(df: DataFrame, features_col: str = "features", label: str =
     base = _base(df, features_col, label, id_col)
     c, mino, majo = _counts(base, "target")
     n_synth = int(math.floor(ratio * c[majo])) - c[mino]
+    if n_synth <= 0:
+        return _combine(base, spark.createDataFrame([], "features array<double>, target int"))
     minority = base.filter(F.col("target") == mino)
     danger = borderline_danger(df, features_col, label, m, seed, id_col).filter("danger").select("id")
     bases = minority.join(danger, "id", "left_semi")

@@ -231,6 +231,20 @@ def save_metadata(metadata: DataFrame, path: str) -> None:
     replace_keyed(metadata, path, "model_version")
 
 
+def to_vectors(df: DataFrame, features: Sequence[str], key: Sequence[str], label: str = "target",
+               seed: int = 42) -> DataFrame:
+    """(id, features array<double>, target) for the kNN-based resamplers; id is a hash of the key."""
+    return df.select(row_hash(list(key), seed, "vec").alias("id"),
+                     F.array(*[F.col(c).cast("double") for c in features]).alias("features"),
+                     F.col(label).cast("int").alias("target"))
+
+
+def from_vectors(df: DataFrame, features: Sequence[str], label: str = "target") -> DataFrame:
+    """Inverse of ``to_vectors``: one column per feature (synthetic rows included)."""
+    return df.select(*[F.col("features")[i].alias(c) for i, c in enumerate(features)],
+                     F.col(label).alias(label), "is_synthetic")
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     """Persist a fitted pipeline (the assembler keeps the feature order)."""
     model.write().overwrite().save(path)
