@@ -75,7 +75,8 @@ def j07b(spark, sf):
     return J.with_future_event(_probe_cands(spark, sf), L.warning_outages(fx.outages_ev(spark, sf)))
 
 
-def _trail_sql():
+def _trail_ctes():
+    """``fo`` / ``fw``: per probe (event_id), the trailing outage / weather aggregates."""
     o = ", ".join([
         "count(o.event_time) FILTER (WHERE o.event_time >= c.prediction_time - INTERVAL 24 HOURS) AS recent_outage_count_24h",
         "count(o.event_time) FILTER (WHERE o.event_time >= c.prediction_time - INTERVAL 72 HOURS) AS recent_outage_count_72h",
@@ -91,14 +92,18 @@ def _trail_sql():
         "coalesce(sum(w.damage_property) FILTER (WHERE w.event_time >= c.prediction_time - INTERVAL 72 HOURS), 0.0) AS total_property_damage_72h",
         "coalesce(avg(w.magnitude) FILTER (WHERE w.event_time >= c.prediction_time - INTERVAL 72 HOURS), 0.0) AS avg_weather_magnitude_72h",
     ])
-    return f"""
-WITH {PROBE_SQL},
-fo AS (SELECT c.event_id, {o} FROM cands c LEFT JOIN wo o ON o.county_fips = c.county_fips
+    return f"""fo AS (SELECT c.event_id, {o} FROM cands c LEFT JOIN wo o ON o.county_fips = c.county_fips
         AND o.event_time >= c.prediction_time - INTERVAL 168 HOURS AND o.event_time < c.prediction_time
        GROUP BY c.event_id),
 fw AS (SELECT c.event_id, {w} FROM cands c LEFT JOIN ww w ON w.county_fips = c.county_fips
         AND w.event_time >= c.prediction_time - INTERVAL 168 HOURS AND w.event_time < c.prediction_time
-       GROUP BY c.event_id)
+       GROUP BY c.event_id)"""
+
+
+def _trail_sql():
+    return f"""
+WITH {PROBE_SQL},
+{_trail_ctes()}
 SELECT cands.*, fo.* EXCLUDE (event_id), fw.* EXCLUDE (event_id)
 FROM cands JOIN fo USING (event_id) JOIN fw USING (event_id)"""
 
@@ -218,3 +223,31 @@ def j11(spark, sf):
     preds = (fx.predictions_ev(spark, sf).groupBy("county_fips", F.to_date("prediction_time").alias("date"))
              .agg(F.max("outage_probability").alias("outage_probability")))
     return J.predictions_with_truth(preds, A.outage_days(oraw(spark, sf)))
+
+
+@query("f03_features_on_probes", f"""
+WITH {PROBE_SQL},
+lk AS (SELECT county_fips, arg_min(county_name, event_began) AS county_name, arg_min(state, event_began) AS state
+       FROM oev WHERE event_began IS NOT NULL GROUP BY county_fips),
+{_trail_ctes()},
+lab AS (SELECT c.event_id, CASE WHEN EXISTS (
+          SELECT 1 FROM wo WHERE wo.county_fips = c.county_fips AND wo.event_time >= c.prediction_time
+           AND wo.event_time < c.prediction_time + to_hours(c.window_hours)) THEN 1 ELSE 0 END AS target FROM cands c)
+SELECT c.county_fips, lk.county_name, lk.state, c.prediction_time, c.window_hours,
+       CAST(hour(c.prediction_time) AS INTEGER) AS hour, CAST(isodow(c.prediction_time) - 1 AS INTEGER) AS day_of_week,
+       CAST(month(c.prediction_time) AS INTEGER) AS month, CAST(isodow(c.prediction_time) >= 6 AS INTEGER) AS is_weekend,
+       fo.* EXCLUDE (event_id), fw.* EXCLUDE (event_id),
+       coalesce(popl.latest_population, 0.0) AS latest_population, lab.target
+FROM cands c JOIN fo USING (event_id) JOIN fw USING (event_id) JOIN lab USING (event_id)
+LEFT JOIN lk ON lk.county_fips = c.county_fips LEFT JOIN popl ON popl.county_fips = c.county_fips""", dbl=TRAIL_DBL)
+def f03p(spark, sf):
+    """F3 feature assembly on deterministic probe rows, labelled by the next-window rule."""
+    from .warning_features import META, WARNING_FEATURES, features_for
+
+    o = L.warning_outages(fx.outages_ev(spark, sf))
+    w = L.warning_weather(fx.storms_ev(spark, sf))
+    p = L.population_lookup(fx.population(spark, sf))
+    probes = _probe_cands(spark, sf)
+    pos = J.with_future_event(probes, o).withColumn("target", F.lit(1))
+    neg = J.without_future_event(probes, o).withColumn("target", F.lit(0))
+    return features_for(pos.unionByName(neg).drop("event_id"), o, w, p).select(*META, *WARNING_FEATURES, "target")
