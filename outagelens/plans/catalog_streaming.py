@@ -4,6 +4,7 @@ derived from the given tables."""
 from __future__ import annotations
 
 import itertools
+import uuid
 
 from ..session import scratch_path
 from ..sources import fixtures as fx
@@ -26,8 +27,11 @@ def st01(spark, sf):
     src = scratch_path(spark, "st01_outage_files")
     S.replace_table(fx.outages_ev(spark, sf), src)
     name = f"st01_trailing_{next(_RUN)}"
+    # stream state lives in the shared checkpoint dir; a fresh location per run so nothing is resumed
+    ckpt = scratch_path(spark, f"st01_stream_state/{uuid.uuid4().hex}")
     q = (ST.trailing_counts(ST.outage_stream(spark, src), hours=24, slide="1 hour", watermark_hours=168)
-         .writeStream.outputMode("complete").format("memory").queryName(name).start())
+         .writeStream.outputMode("complete").format("memory").queryName(name)
+         .option("checkpointLocation", ckpt).start())
     try:
         q.processAllAvailable()
     finally:
