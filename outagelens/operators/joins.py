@@ -26,18 +26,25 @@ def _bucket(ts: str | F.Column, width_us: int) -> F.Column:
 
 
 # -- J1 -----------------------------------------------------------------------------------
-def storm_pairs(outages: DataFrame, storms: DataFrame, days: int = 7, key: str = "county_fips") -> DataFrame:
+def storm_pairs(outages: DataFrame, storms: DataFrame, days: int = 7, key: str = "county_fips",
+                bucket_hours: int | None = None) -> DataFrame:
     """Outage/storm pairs with ``storm_time`` in ``[start_time - days, start_time]`` (both ends closed).
 
-    The storm row is copied to its own bucket and the next one (the window
-    can reach at most one bucket forward), the outage row stays in its bucket.
+    Rows are keyed by ``(county, time bucket)``. The outage stays in its own
+    bucket; the storm is copied to every bucket its window can reach
+    (``[s, s + days]``): its own and the next with the default bucket width
+    of ``days``, more with a finer ``bucket_hours``. A finer width splits a hot
+    county-week over many tasks at the cost of more storm copies; the result
+    is the same.
     """
-    width = days * 24 * _US_PER_HOUR
+    width = int(bucket_hours or days * 24) * _US_PER_HOUR
+    span = days * 24 * _US_PER_HOUR
     o = outages.select(F.col(key).alias("county_fips"), "start_time",
                        _bucket("start_time", width).alias("_b"))
     s = storms.select(F.col(key).alias("_skey"), "storm_time", "storm_event_type",
-                      _bucket("storm_time", width).alias("_sb"))
-    s = s.withColumn("_b", F.explode(F.array(F.col("_sb"), F.col("_sb") + 1)))
+                      F.unix_micros("storm_time").alias("_st"))
+    last = F.floor((F.col("_st") + F.lit(span)) / F.lit(width)).cast("long")
+    s = s.withColumn("_b", F.explode(F.sequence(_bucket("storm_time", width), last)))
     cond = [
         o.county_fips == s._skey,
         o._b == s._b,
@@ -47,10 +54,10 @@ def storm_pairs(outages: DataFrame, storms: DataFrame, days: int = 7, key: str =
     return o.join(s, cond, "inner").select("storm_event_type", "county_fips", "start_time", "storm_time")
 
 
-def storm_lift(outages: DataFrame, storms: DataFrame, days: int = 7) -> DataFrame:
+def storm_lift(outages: DataFrame, storms: DataFrame, days: int = 7, bucket_hours: int | None = None) -> DataFrame:
     """Storm type -> pairings and distinct counties, busiest first."""
     return (
-        storm_pairs(outages, storms, days)
+        storm_pairs(outages, storms, days, bucket_hours=bucket_hours)
         .groupBy("storm_event_type")
         .agg(F.count(F.lit(1)).alias("pairings"), F.count_distinct("county_fips").alias("counties_seen"))
         .orderBy(F.col("pairings").desc(), F.col("storm_event_type"))
@@ -60,21 +67,26 @@ def storm_lift(outages: DataFrame, storms: DataFrame, days: int = 7) -> DataFram
 # -- J7 -----------------------------------------------------------------------------------
 def without_future_event(cands: DataFrame, events: DataFrame, key: str = "county_fips",
                          ts: str = "prediction_time", window_col: str = "window_hours",
-                         event_ts: str = "event_time", max_window_hours: int = max(WINDOWS_HOURS)) -> DataFrame:
+                         event_ts: str = "event_time", max_window_hours: int = max(WINDOWS_HOURS),
+                         bucket_hours: int | None = None) -> DataFrame:
     """Candidates with no event in ``[ts, ts + window_hours)`` for their key (left anti).
 
-    Events are copied to their own bucket and the previous one (bucket width =
-    the longest window), each candidate probes only its own bucket.
+    Events are copied to every bucket whose candidates can reach them (their own
+    and the previous one at the default width = the longest window; more with a
+    finer ``bucket_hours``); each candidate probes only its own bucket.
     """
-    return _future_join(cands, events, key, ts, window_col, event_ts, max_window_hours, "left_anti")
+    return _future_join(cands, events, key, ts, window_col, event_ts, max_window_hours, "left_anti", bucket_hours)
 
 
-def _future_join(cands, events, key, ts, window_col, event_ts, max_window_hours, how):
-    width = int(max_window_hours) * _US_PER_HOUR
+def _future_join(cands, events, key, ts, window_col, event_ts, max_window_hours, how, bucket_hours=None):
+    width = int(bucket_hours or max_window_hours) * _US_PER_HOUR
+    span = int(max_window_hours) * _US_PER_HOUR
     c = cands.withColumn("_b", _bucket(ts, width))
     e = events.select(F.col(key).alias("_ekey"), F.col(event_ts).alias("_et"),
-                      _bucket(event_ts, width).alias("_eb"))
-    e = e.withColumn("_b", F.explode(F.array(F.col("_eb"), F.col("_eb") - 1)))
+                      F.unix_micros(F.col(event_ts)).alias("_eu"))
+    # a candidate at t reaches events in [t, t + span): t in (e - span, e]
+    first = F.floor((F.col("_eu") - F.lit(span) + F.lit(1)) / F.lit(width)).cast("long")
+    e = e.withColumn("_b", F.explode(F.sequence(first, _bucket("_et", width))))
     end = F.timestamp_add("HOUR", F.col(window_col), F.col(ts))
     cond = [c[key] == e._ekey, c._b == e._b, e._et >= c[ts], e._et < end]
     return c.join(e, cond, how).drop("_b")
@@ -82,9 +94,10 @@ def _future_join(cands, events, key, ts, window_col, event_ts, max_window_hours,
 
 def with_future_event(cands: DataFrame, events: DataFrame, key: str = "county_fips",
                       ts: str = "prediction_time", window_col: str = "window_hours",
-                      event_ts: str = "event_time", max_window_hours: int = max(WINDOWS_HOURS)) -> DataFrame:
+                      event_ts: str = "event_time", max_window_hours: int = max(WINDOWS_HOURS),
+                      bucket_hours: int | None = None) -> DataFrame:
     """The complement of ``without_future_event`` (left semi), for label checks."""
-    return _future_join(cands, events, key, ts, window_col, event_ts, max_window_hours, "left_semi")
+    return _future_join(cands, events, key, ts, window_col, event_ts, max_window_hours, "left_semi", bucket_hours)
 
 
 # -- J9 / W4 --------------------------------------------------------------------------------

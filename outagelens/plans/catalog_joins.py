@@ -251,3 +251,22 @@ def f03p(spark, sf):
     pos = J.with_future_event(probes, o).withColumn("target", F.lit(1))
     neg = J.without_future_event(probes, o).withColumn("target", F.lit(0))
     return features_for(pos.unionByName(neg).drop("event_id"), o, w, p).select(*META, *WARNING_FEATURES, "target")
+
+
+@query("j01_storm_pairs_fine_buckets", """
+SELECT s.storm_event_type, o.county_fips, o.start_time, s.storm_time
+FROM o1 o JOIN s1 s ON o.county_fips = s.county_fips
+ AND s.storm_time <= o.start_time AND s.storm_time >= o.start_time - INTERVAL 7 DAYS""")
+def j01f(spark, sf):
+    """J1 with 6-hour buckets (storms copied to 29 buckets): the layout for a hot county-week."""
+    return J.storm_pairs(o1(spark, sf), s1(spark, sf), days=7, bucket_hours=6)
+
+
+@query("j07_without_future_event_fine_buckets", f"""
+WITH {PROBE_SQL}
+SELECT * FROM cands c WHERE NOT EXISTS (
+  SELECT 1 FROM wo WHERE wo.county_fips = c.county_fips AND wo.event_time >= c.prediction_time
+   AND wo.event_time < c.prediction_time + to_hours(c.window_hours))""")
+def j07f(spark, sf):
+    """J7 with 1-hour buckets (events copied to 24-25 buckets)."""
+    return J.without_future_event(_probe_cands(spark, sf), L.warning_outages(fx.outages_ev(spark, sf)), bucket_hours=1)

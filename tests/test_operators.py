@@ -127,3 +127,19 @@ def test_sum_of_nothing_is_zero(spark):  # N3
                               "county_fips string, damage_property double, injuries double, deaths double, x double")
     r = A.county_weather_profile(w).first()
     assert (r.weather_event_count, r.avg_damage, r.total_injuries, r.total_deaths) == (1, None, 0.0, 0.0)
+
+
+def test_finer_buckets_same_result(spark):  # J1 / J7 hot-bucket split option
+    from tests.conftest import SF_SMALL
+    from outagelens.plans.catalog_aggregates import o1, s1
+    from outagelens.plans.catalog_joins import _probe_cands
+    from outagelens.sources import fixtures as fx
+    from outagelens.sources import loaders as L
+
+    a = J.storm_pairs(o1(spark, SF_SMALL), s1(spark, SF_SMALL))
+    b = J.storm_pairs(o1(spark, SF_SMALL), s1(spark, SF_SMALL), bucket_hours=5)
+    assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
+    o = L.warning_outages(fx.outages_ev(spark, SF_SMALL))
+    c = _probe_cands(spark, SF_SMALL)
+    x, y = J.without_future_event(c, o), J.without_future_event(c, o, bucket_hours=1)
+    assert x.count() == y.count() and x.exceptAll(y).count() == 0
