@@ -2,10 +2,11 @@
 
 Interval joins never pair rows on the county key alone: a county holding a
 third of all events would put every candidate pair into one task. Both sides
-are keyed by ``(county, time bucket)`` where the bucket width equals the
-interval length, so each side's row meets only the rows of its own or the
-adjacent bucket and the residual condition keeps the result exact. AQE skew
-handling then splits any bucket that is still large.
+are keyed by ``(county, time bucket)``. One side stays in its own bucket, the
+other is copied to every bucket its interval can reach (by default the bucket
+width equals the interval length, so that is two buckets), and the residual
+condition keeps the result exact. AQE skew handling splits any bucket that is
+still large; a finer ``bucket_hours`` splits a hot county-week further.
 """
 
 from __future__ import annotations
