@@ -23,7 +23,8 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sampling import row_hash
@@ -33,12 +34,66 @@ _QUERY_BLOCK = 1024
 
 def knn(query: DataFrame, data: DataFrame, k: int, id_col: str = "id", feat: str = "features",
         exclude_self: bool = True, cell_size: int = 2000, max_pivots: int = 1024, sample_size: int = 4096,
-        seed: int = 42) -> DataFrame:
+        seed: int = 42, dedupe_heavy: bool = True) -> DataFrame:
     """(id, nn_id, dist, rank): the ``k`` nearest ``data`` rows of each ``query`` row.
 
     Euclidean distance; ties broken by the neighbour id. With ``exclude_self``
     a row is never its own neighbour (same id).
+
+    Heavy duplicates (``dedupe_heavy``, for queries drawn from ``data`` with
+    ``exclude_self``): a vector present at least ``k + 1`` times answers its
+    own rows directly (the other copies with the smallest ids, distance 0),
+    and only its ``k + 1`` smallest ids take part in the cell search; no other
+    query can use more of them. A third of all rows on one point therefore
+    never lands in one cell.
     """
+    if dedupe_heavy and exclude_self:
+        return _knn_with_heavy(query, data, k, id_col, feat, cell_size, max_pivots, sample_size, seed)
+    return _knn_cells(query, data, k, id_col, feat, exclude_self, cell_size, max_pivots, sample_size, seed)
+
+
+def _smallest_ids(rows: DataFrame, n: int) -> DataFrame:
+    """Per vector ``f``, its ``n`` smallest ids as (f, id, pos); ``n`` grouped-min passes (hash aggregates)."""
+    picked = None
+    rest = rows
+    for pos in range(1, n + 1):
+        step = rest.groupBy("f").agg(F.min("id").alias("id")).withColumn("pos", F.lit(pos))
+        picked = step if picked is None else picked.unionByName(step)
+        rest = rest.join(step.select("id"), "id", "left_anti")
+    return picked
+
+
+def _knn_with_heavy(query, data, k, id_col, feat, cell_size, max_pivots, sample_size, seed):
+    d = data.select(F.col(id_col).cast("long").alias("id"), F.col(feat).alias("f")).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    mult = d.groupBy("f").agg(F.count(F.lit(1)).alias("_m"))
+    heavy_vecs = mult.filter(F.col("_m") >= k + 1).select("f")
+    if heavy_vecs.isEmpty():
+        d.unpersist()
+        return _knn_cells(query, data, k, id_col, feat, True, cell_size, max_pivots, sample_size, seed)
+    heavy_rows = d.join(heavy_vecs, "f", "left_semi")
+    keep = _smallest_ids(heavy_rows, k + 1).persist(StorageLevel.MEMORY_AND_DISK)
+    light = d.join(heavy_vecs, "f", "left_anti")
+    reduced = light.unionByName(keep.select("id", "f"))
+    q = query.select(F.col(id_col).cast("long").alias("id"), F.col(feat).alias("f"))
+    q_heavy = q.join(heavy_vecs, "f", "left_semi")
+    q_light = q.join(heavy_vecs, "f", "left_anti")
+    # heavy queries: the k smallest other ids of their own vector, distance 0
+    cand = q_heavy.join(keep.withColumnRenamed("id", "nn_id"), "f").filter(F.col("id") != F.col("nn_id"))
+    # at most k + 1 candidates per query id, so this window is bounded
+    ranked = cand.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("pos")))
+    heavy_ans = ranked.filter(F.col("rank") <= k).select(
+        "id", "nn_id", F.lit(0.0).alias("dist"), F.col("rank").cast("int").alias("rank"))
+    light_ans = _knn_cells(q_light.withColumnRenamed("f", feat).withColumnRenamed("id", id_col),
+                           reduced.withColumnRenamed("f", feat).withColumnRenamed("id", id_col),
+                           k, id_col, feat, True, cell_size, max_pivots, sample_size, seed)
+    return light_ans.unionByName(heavy_ans)
+
+
+def _knn_cells(query: DataFrame, data: DataFrame, k: int, id_col: str = "id", feat: str = "features",
+               exclude_self: bool = True, cell_size: int = 2000, max_pivots: int = 1024, sample_size: int = 4096,
+               seed: int = 42) -> DataFrame:
+    """Pivot-cell search (see the module docstring)."""
     spark = query.sparkSession
     block = _QUERY_BLOCK
 

@@ -94,3 +94,23 @@ def test_daily_as_of_has_no_lookahead(spark):  # A16 option
     d = QUERIES["f01_daily_features_as_of"](spark, SF_SMALL)
     first = d.orderBy("date").select("date").first().date
     assert d.filter(F.col("date") == first).agg(F.max("total_historical_outages")).first()[0] == 0
+
+
+def test_knn_heavy_duplicates_equal_brute_force(spark):  # a third of the rows on one point
+    import numpy as np
+
+    from outagelens.operators.neighbors import knn
+
+    rng = np.random.default_rng(11)
+    pts = rng.normal(size=(240, 3))
+    pts[:80] = pts[0]          # 80 identical rows
+    pts[80:84] = pts[80]       # a light duplicate group (4 < k + 1)
+    ids = rng.permutation(1000)[:240]
+    df = spark.createDataFrame([(int(i), [float(v) for v in p]) for i, p in zip(ids, pts)],
+                               "id long, features array<double>")
+    got = {(r.id, r.rank): (r.nn_id, r.dist) for r in knn(df, df, 5, cell_size=20, sample_size=60).collect()}
+    d = np.sqrt(((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    for a in range(len(pts)):
+        order = np.lexsort((ids, d[a]))[:5]
+        assert [got[(int(ids[a]), r + 1)][0] for r in range(5)] == [int(ids[b]) for b in order]
