@@ -33,7 +33,7 @@ def wraw(spark, sf):
 
 
 def ocal_flat(spark, sf):
-    """Raw calendar outages, flattened (Mongo/pandas paths: nulls are kept)."""
+    """Raw calendar outages, flattened (document-store paths: nulls are kept)."""
     raw = fx.outages_cal(spark, sf)
     return raw.select(
         F.col("location.county_fips").alias("county_fips"),
