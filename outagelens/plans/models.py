@@ -113,12 +113,24 @@ def evaluate(scored: DataFrame, prob_col: str, label: str = "target", threshold:
     return E.metrics(x, "target", "pred", "p")
 
 
+def _parallel(jobs: Mapping, parallelism: int) -> dict:
+    """Run independent fits concurrently (as ``CrossValidator(parallelism=..)`` does); keys keep their order."""
+    if parallelism <= 1 or len(jobs) <= 1:
+        return {key: fn() for key, fn in jobs.items()}
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        futures = {key: pool.submit(fn) for key, fn in jobs.items()}
+        return {key: fut.result() for key, fut in futures.items()}
+
+
 def train_compare(train: DataFrame, test: DataFrame, features: Sequence[str], kinds: Sequence[str] = KINDS,
                   params: Mapping[str, Mapping] | None = None, label: str = "target", seed: int = 42,
-                  weight_col: str | None = None):
-    """Fit each kind, score the test rows once, return (models, metrics DataFrame)."""
+                  weight_col: str | None = None, parallelism: int = 3):
+    """Fit each kind (concurrently), score the test rows once, return (models, metrics DataFrame)."""
     params = params or FULL_PARAMS
-    models = {k: fit(train, features, k, params.get(k), label, weight_col, seed, name=k) for k in kinds}
+    models = _parallel({k: (lambda k=k: fit(train, features, k, params.get(k), label, weight_col, seed, name=k))
+                        for k in kinds}, parallelism)
     scored = test
     for k, m in models.items():
         scored = probability(m, scored, k)
@@ -161,22 +173,30 @@ def vote(scored: DataFrame, prob_cols: Sequence[str], weights: Sequence[float],
 
 # -- M3 ---------------------------------------------------------------------------------------
 def stack(train: DataFrame, features: Sequence[str], key: Sequence[str], kinds: Sequence[str] = KINDS,
-          params: Mapping[str, Mapping] | None = None, folds: int = 5, label: str = "target", seed: int = 42):
+          params: Mapping[str, Mapping] | None = None, folds: int = 5, label: str = "target", seed: int = 42,
+          parallelism: int = 4):
     """Stacking: out-of-fold base probabilities (hash folds) -> balanced logistic meta-learner.
 
     Returns ``(base_models, meta_model)``; bases are refit on all training rows.
+    The folds x kinds fits (and the final refits) are independent and run
+    ``parallelism`` at a time.
     """
     params = params or FULL_PARAMS
     t = materialize(train.withColumn("_fold", F.pmod(row_hash(list(key), seed, "fold"), F.lit(folds))))
+    fold_fits = _parallel({
+        (f, k): (lambda f=f, k=k: fit(t.filter(F.col("_fold") != f), features, k, params.get(k), label, None,
+                                      seed, name=k))
+        for f in range(folds) for k in kinds}, parallelism)
     oof = None
     for f in range(folds):
-        fit_rows, hold = t.filter(F.col("_fold") != f), t.filter(F.col("_fold") == f)
+        hold = t.filter(F.col("_fold") == f)
         for k in kinds:
-            hold = probability(fit(fit_rows, features, k, params.get(k), label, None, seed, name=k), hold, k)
+            hold = probability(fold_fits[(f, k)], hold, k)
         oof = hold if oof is None else oof.unionByName(hold)
     oof = materialize(class_weights(oof, label, "_w"))
     meta = fit(oof, [f"p_{k}" for k in kinds], "logistic", {"maxIter": 1000}, label, "_w", seed, name="meta")
-    bases = {k: fit(t, features, k, params.get(k), label, None, seed, name=k) for k in kinds}
+    bases = _parallel({k: (lambda k=k: fit(t, features, k, params.get(k), label, None, seed, name=k))
+                       for k in kinds}, parallelism)
     return bases, meta
 
 
