@@ -12,3 +12,16 @@ def test_contract_shapes():
     qs, sql = E.queries(), E.oracle_sql()
     assert len(qs) > 80
     assert set(sql) <= set(qs)
+
+
+def test_oracle_sql_plans_in_duckdb():
+    import duckdb
+
+    from tests.conftest import SF_SMALL
+
+    con = duckdb.connect()
+    for t in ("region nation customer supplier part orders lineitem events documents embeddings "
+              "pages benchmark labels conversations").split():
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
+    for name, sql in E.oracle_sql().items():
+        con.execute("EXPLAIN " + sql)  # raises on any syntax / binding error
