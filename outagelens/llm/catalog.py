@@ -67,3 +67,33 @@ def op10(spark, sf):
     from .mixing import mix
 
     return mix(documents(spark, sf)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op5_quality_model")
+def op5(spark, sf):
+    from .quality_model import quality_scores
+
+    return quality_scores(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+#: Key of the registered query's pseudonyms; a user passes an own secret.
+PII_KEY = "registered query"
+
+
+@query("op8_pii")
+def op8(spark, sf):
+    from .pii import pseudonyms
+
+    return pseudonyms(documents(spark, sf), PII_KEY)
+
+
+@query("op9_bpe")
+def op9(spark, sf):
+    import public_tokenizers
+
+    from . import bpe
+
+    docs = documents(spark, sf)
+    shared = bpe.load(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.decode(bpe.encode(docs, shared), shared).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
