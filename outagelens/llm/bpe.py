@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-#: Words remembered by a worker; beyond this the memory starts anew (results don't depend on it).
-REMEMBERED_WORDS = 1 << 20
+#: Words remembered by a worker in each of two generations (results don't depend on it), and texts handled at a time.
+REMEMBERED_WORDS = 150_000
+ROWS = 256
 
 
 def byte_letters() -> dict[int, str]:
@@ -86,6 +87,7 @@ class Bpe:
         self.words_with_recent = regex.compile(older, regex.V1).findall
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, word: str) -> list[int]:
         """Ids of one pre-token: the neighbours of least rank are joined first, the leftmost of equal rank first."""
@@ -143,13 +145,11 @@ class Bpe:
                 out.append(self.special[part])
                 continue
             words = self.split(part)
-            new = set(words).difference(known)
-            if len(known) + len(new) > REMEMBERED_WORDS:
-                known.clear()
-                new = set(words)
-            for w in new:
-                known[w] = array("I", self.merge(w)).tobytes()
+            for w in set(words).difference(known):
+                known[w] = self.older.get(w) or array("I", self.merge(w)).tobytes()
             out.append(b"".join(map(known.__getitem__, words)))
+        if len(known) > REMEMBERED_WORDS:
+            self.older, self.known = known, {}
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -166,35 +166,42 @@ def _tables(shared) -> Bpe:
     return store[key]
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def load(df: DataFrame, path: str):
     """Broadcast the tokenizer file at ``path`` (fixed size, a few MB)."""
     with open(path, "rb") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers).
+def encode(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """One row per input row: doc_id, the columns to carry, n_tokens, ids (little-endian unsigned 32-bit integers).
 
     Null texts count as empty and have no ids. Repeated rows are encoded row by row; extra columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    carry = carry or []
+    rows = docs.select(text_of(text_col).alias("text"), F.col(id_col).alias("doc_id"), *carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _tables(shared)
-        for batch in batches:
-            ids = [bpe.encode(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        for batch in _small(batches):
+            ids = [bpe.encode(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                                             [*batch.schema.names[1:], "n_tokens", "ids"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    return rows.mapInArrow(run, f"{fields}, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, shared) -> DataFrame:
     """Adds ``decoded`` (string) to the rows of :func:`encode`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _tables(shared)
-        for batch in batches:
+        for batch in _small(batches):
             texts = [bpe.decode(x or b"") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 

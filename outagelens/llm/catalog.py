@@ -97,3 +97,19 @@ def op9(spark, sf):
     shared = bpe.load(docs, public_tokenizers.path("word_bpe_49k.json"))
     return bpe.decode(bpe.encode(docs, shared), shared).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op7_jaccard_join")
+def op7(spark, sf):
+    from .jaccard_join import near_duplicates
+
+    return near_duplicates(documents(spark, sf))
+
+
+@query("op1_suffix_dedup")
+def op1(spark, sf):
+    from .suffix_dedup import repeated_spans
+
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return repeated_spans(documents(spark, sf)).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")

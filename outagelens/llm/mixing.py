@@ -131,3 +131,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     out = out.select("r.doc_id", "r.source", "r.size", F.coalesce("g.taken", F.lit(0)).cast("long").alias("taken"))
     return (out.alias("o").join(plan.alias("p"), _same("o", "p", "source"))
             .select("o.doc_id", "o.source", "o.size", "p.source_size", "p.target", "o.taken"))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mixed documents (all columns of ``docs``): each as often as the mix takes it, taken / size rounded to whole copies."""
+    copies = F.round(F.col("taken") / F.col("size")).cast("int")
+    mixed = mix(docs, id_col, text_col, source_col, **options).filter("taken > 0")
+    counted = mixed.groupBy(F.col("doc_id").alias("__id")).agg(F.max(copies).alias("__copies")).filter("__copies > 0")
+    joined = docs.join(staged(counted, "mix_copies"), docs[id_col].eqNullSafe(F.col("__id")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

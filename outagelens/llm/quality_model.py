@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_of
+from .common import text_of
 
 #: Labelled rows that the fit uses at most (those with the smallest hash of their id).
 TRAIN_ROWS = 20_000
@@ -52,18 +52,6 @@ def statistics(text: str) -> list[float]:
             sum(c for c in trigrams.values() if c > 1) / n, counts[65:91].sum() / max(letters, 1)]
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and stats (array of double) of every row; null texts count as empty."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            stats = [statistics(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(stats, pa.list_(pa.float64()))], ["doc_id", "stats"])
-
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, stats array<double>")
-
-
 @dataclass
 class Trees:
     """All trees flattened: inner node k of tree t goes to child 2k+1 where the feature is at most the threshold, else 2k+2."""
@@ -131,33 +119,62 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Trees:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+          rows: int = TRAIN_ROWS) -> Trees:
     """Fit on at most ``rows`` labelled documents, none of them held out; rows without a label or id are left out."""
     lab = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
     lab = lab.filter(F.col("__id").isNotNull() & F.col("__y").isNotNull() & ~held_out(F.col("__id"))).dropDuplicates(["__id"])
-    # the ids are cut before their statistics are fetched
     chosen = lab.orderBy(F.xxhash64("__id"), "__id").limit(rows)
-    got = stats.join(chosen, stats.doc_id == F.col("__id")).select("doc_id", "stats", "__y").collect()
-    got = sorted(got, key=lambda r: (r["doc_id"], r["stats"]))
+    # at most ``rows`` ids are broadcast
+    texts = docs.select(F.col(id_col).alias("__doc"), text_of(text_col).alias("__text"))
+    texts = texts.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("__id", "__text", "__y")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stats = [statistics(t) for t in batch.column("__text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(stats, pa.list_(pa.float64())), batch.column("__y")], ["id", "stats", "y"])
+
+    got = texts.mapInArrow(measure, f"id {texts.schema['__id'].dataType.simpleString()}, stats array<double>, y int").collect()
+    got = sorted(got, key=lambda r: (r["id"], r["stats"]))[:rows]  # repeated ids bring more rows
     x = np.array([r["stats"] for r in got], np.float64).reshape(len(got), len(FEATURES))
-    return fit(x, np.array([r["__y"] for r in got], np.float64))
+    return fit(x, np.array([r["y"] for r in got], np.float64))
+
 
+def _scores(texts: pa.Array, model: Trees) -> np.ndarray:
+    parts = [np.zeros(0)]
+    for at in range(0, len(texts), 1024):
+        stats = [statistics(t or "") for t in texts.slice(at, 1024).to_pylist()]
+        parts.append(model.score(np.array(stats, np.float64)))
+    return np.concatenate(parts)
+
+
+def score(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and score of every row, from its whole text alone; null texts count as empty."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-def score(stats: DataFrame, model: Trees) -> DataFrame:
-    """doc_id and score of every row of :func:`document_statistics`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = batch.column("stats")
-            x = np.asarray(col.flatten()).reshape(len(col), len(FEATURES))
-            parts = [model.score(x[i : i + 4096]) for i in range(0, len(x), 4096)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate([np.zeros(0), *parts]))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(batch.column("text"), model))], ["doc_id", "score"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
-    return stats.mapInArrow(run, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double")
+
+def keep_good(docs: DataFrame, model: Trees, text_col: str = "text", at: float = PREDICT_AT) -> DataFrame:
+    """The rows of ``docs`` (all its columns) whose score is at least ``at``; one pass, no shuffle."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(place), model) >= at))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, held_out, score, predicted. The score uses the text alone."""
-    stats = staged(document_statistics(docs, id_col, text_col), "quality_stats")
-    scored = score(stats, train(stats, labels))
+    """One row per input row: doc_id, held_out, score, predicted. The score uses the text alone.
+
+    Null and empty texts are scored as texts without words; without labels every score is 0.5. Repeated rows are scored row by row.
+    """
+    scored = score(docs, train(docs, labels, id_col, text_col), id_col, text_col)
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"))
