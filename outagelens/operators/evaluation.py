@@ -1,23 +1,33 @@
 """E1-E10 (+ W7): exact binary-classifier evaluation as aggregations.
 
 Curves and AUC are computed from per-score counts. Cumulative sums over the
-sorted distinct scores never use one global window: scores are cut into
-65,536 value buckets, a prefix sum over the bucket histogram (bounded size)
-gives each bucket's offset, and the running sum is finished inside each
-bucket. The result is exact (not binned like ``numBins``).
+sorted distinct scores never use one global window: scores are cut into ranges
+at approximate quantiles of the distinct scores (a bounded number of cuts, wherever the
+scores lie), a prefix sum over the ranges' totals gives each range's offset, and the
+running sum is finished inside each range. The result is exact (not binned like ``numBins``).
 """
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_BUCKETS = 1 << 16
+#: Ranges into which ordered values are cut for a distributed running sum.
+_RANGES = 1024
 
 
-def _score_bucket(score: F.Column) -> F.Column:
-    return F.least(F.greatest(F.floor(score * _BUCKETS), F.lit(0)), F.lit(_BUCKETS - 1)).cast("int")
+def in_ranges(df: DataFrame, col: str, out: str = "_bk", ranges: int = _RANGES) -> DataFrame:
+    """Add the number of the value range of ``col`` (not null), in the order of the values; ranges hold about equally many rows."""
+    cuts = sorted(set(df.stat.approxQuantile(col, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
+    cuts = [c for c in cuts if c == c and abs(c) != float("inf")]
+    splits = [-float("inf"), *cuts, float("inf")]
+    if len(splits) < 3:
+        return df.withColumn(out, F.lit(0))
+    found = Bucketizer(splits=splits, inputCol="_range_of", outputCol="_range", handleInvalid="keep")
+    return (found.transform(df.withColumn("_range_of", F.col(col).cast("double")))
+            .withColumn(out, F.col("_range").cast("int")).drop("_range", "_range_of"))
 
 
 def score_counts(df: DataFrame, label: str = "target", prob: str = "p") -> DataFrame:
@@ -29,9 +39,10 @@ def score_counts(df: DataFrame, label: str = "target", prob: str = "p") -> DataF
 
 def cumulative_at_or_above(counts: DataFrame) -> DataFrame:
     """Add ``tp``/``fp``: positives/negatives with score >= this score (W7), exactly."""
-    x = counts.withColumn("_bk", _score_bucket(F.col("score"))).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+    x = in_ranges(counts, "score")
     hist = x.groupBy("_bk").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    above = Window.orderBy(F.col("_bk").desc()).rowsBetween(Window.unboundedPreceding, -1)  # <= 65,536 rows
+    above = Window.orderBy(F.col("_bk").desc()).rowsBetween(Window.unboundedPreceding, -1)  # <= 1,024 rows
     hist = hist.select("_bk", F.coalesce(F.sum("_bp").over(above), F.lit(0)).alias("_op"),
                        F.coalesce(F.sum("_bn").over(above), F.lit(0)).alias("_on"))
     inner = Window.partitionBy("_bk").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -48,8 +59,8 @@ def roc_auc(df: DataFrame, label: str = "target", prob: str = "p") -> DataFrame:
     # negatives strictly below a score = N - fp(score), so
     # sum(pos * (N - fp + neg / 2)) = N * P - sum(pos * fp) + sum(pos * neg) / 2
     s = c.agg(F.sum("pos").cast("double").alias("P"), F.sum("neg").cast("double").alias("N"),
-              F.sum(F.col("pos") * F.col("fp")).cast("double").alias("S1"),
-              F.sum(F.col("pos") * F.col("neg")).cast("double").alias("S2"))
+              F.sum(F.col("pos").cast("double") * F.col("fp")).alias("S1"),
+              F.sum(F.col("pos").cast("double") * F.col("neg")).alias("S2"))
     auc = F.when((F.col("P") > 0) & (F.col("N") > 0),
                  (F.col("N") * F.col("P") - F.col("S1") + 0.5 * F.col("S2")) / (F.col("P") * F.col("N"))
                  ).otherwise(F.lit(0.0))

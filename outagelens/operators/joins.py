@@ -56,11 +56,21 @@ def storm_pairs(outages: DataFrame, storms: DataFrame, days: int = 7, key: str =
 
 
 def storm_lift(outages: DataFrame, storms: DataFrame, days: int = 7, bucket_hours: int | None = None) -> DataFrame:
-    """Storm type -> pairings and distinct counties, busiest first."""
+    """Storm type -> pairings and distinct counties, busiest first.
+
+    Counted without building a pair: every storm takes the number of its county's outages in
+    ``[storm_time, storm_time + days]`` from running counts, which are then summed by type.
+    """
+    from .windows import Trail, trailing
+
+    end = F.col("storm_time") + F.expr(f"INTERVAL {int(days)} DAYS")
+    s = storms.filter(F.col("county_fips").isNotNull() & F.col("storm_time").isNotNull()).select(
+        "county_fips", "storm_event_type", end.alias("_end"))
+    o = outages.filter(F.col("county_fips").isNotNull() & F.col("start_time").isNotNull()).select("county_fips", "start_time")
+    n = trailing(s, o, [Trail("_n", "count", days * 24)], ts="_end", event_ts="start_time", chunk_hours=bucket_hours, closed_end=True)
     return (
-        storm_pairs(outages, storms, days, bucket_hours=bucket_hours)
-        .groupBy("storm_event_type")
-        .agg(F.count(F.lit(1)).alias("pairings"), F.count_distinct("county_fips").alias("counties_seen"))
+        n.filter(F.col("_n") > 0).groupBy("storm_event_type")
+        .agg(F.sum("_n").alias("pairings"), F.count_distinct("county_fips").alias("counties_seen"))
         .orderBy(F.col("pairings").desc(), F.col("storm_event_type"))
     )
 
@@ -68,19 +78,26 @@ def storm_lift(outages: DataFrame, storms: DataFrame, days: int = 7, bucket_hour
 # -- J7 -----------------------------------------------------------------------------------
 def without_future_event(cands: DataFrame, events: DataFrame, key: str = "county_fips",
                          ts: str = "prediction_time", window_col: str = "window_hours",
-                         event_ts: str = "event_time", max_window_hours: int = max(WINDOWS_HOURS),
+                         event_ts: str = "event_time", max_window_hours: int | None = None,
                          bucket_hours: int | None = None) -> DataFrame:
     """Candidates with no event in ``[ts, ts + window_hours)`` for their key (left anti).
 
-    Events are copied to every bucket whose candidates can reach them (their own
-    and the previous one at the default width = the longest window; more with a
-    finer ``bucket_hours``); each candidate probes only its own bucket.
+    Events are copied to every bucket whose candidates can reach them; each candidate probes only
+    its own bucket. The reach is the longest window among the candidates (one small aggregate), or
+    ``max_window_hours`` where the caller knows a bound; a candidate beyond that bound fails the query.
     """
     return _future_join(cands, events, key, ts, window_col, event_ts, max_window_hours, "left_anti", bucket_hours)
 
 
 def _future_join(cands, events, key, ts, window_col, event_ts, max_window_hours, how, bucket_hours=None):
-    width = int(bucket_hours or max_window_hours) * _US_PER_HOUR
+    if max_window_hours is None:
+        longest = cands.agg(F.max(F.ceil(window_col))).first()[0]
+        max_window_hours = max(1, int(longest or 1))
+    else:
+        held = F.col(window_col) <= F.lit(max_window_hours)
+        cands = cands.withColumn(window_col, F.when(held | F.col(window_col).isNull(), F.col(window_col)).otherwise(
+            F.raise_error(F.concat(F.lit(f"window beyond max_window_hours = {max_window_hours}: "), F.col(window_col).cast("string")))))
+    width = int(bucket_hours or min(max_window_hours, max(WINDOWS_HOURS))) * _US_PER_HOUR
     span = int(max_window_hours) * _US_PER_HOUR
     c = cands.withColumn("_b", _bucket(ts, width))
     e = events.select(F.col(key).alias("_ekey"), F.col(event_ts).alias("_et"),
@@ -95,7 +112,7 @@ def _future_join(cands, events, key, ts, window_col, event_ts, max_window_hours,
 
 def with_future_event(cands: DataFrame, events: DataFrame, key: str = "county_fips",
                       ts: str = "prediction_time", window_col: str = "window_hours",
-                      event_ts: str = "event_time", max_window_hours: int = max(WINDOWS_HOURS),
+                      event_ts: str = "event_time", max_window_hours: int | None = None,
                       bucket_hours: int | None = None) -> DataFrame:
     """The complement of ``without_future_event`` (left semi), for label checks."""
     return _future_join(cands, events, key, ts, window_col, event_ts, max_window_hours, "left_semi", bucket_hours)
@@ -128,13 +145,6 @@ def predictions_with_truth(preds: DataFrame, truth: DataFrame, keys: Sequence[st
     return preds.join(truth, list(keys), "inner")
 
 
-# -- J12 --------------------------------------------------------------------------------------
-def keep_top(df: DataFrame, key: str, measure: str, k: int) -> DataFrame:
-    from .aggregates import keep_top_keys
-
-    return df.join(keep_top_keys(df, key, measure, k), key, "left_semi")
-
-
 # -- J13 --------------------------------------------------------------------------------------
 def explode_windows(df: DataFrame, hours: Sequence[int] = WINDOWS_HOURS, col: str = "window_hours") -> DataFrame:
     return df.withColumn(col, F.explode(F.array(*[F.lit(int(h)) for h in hours])))

@@ -46,7 +46,8 @@ def hash_rank(df: DataFrame, part: Sequence[str], key: Sequence[str], seed: int,
     hist = x.groupBy(*part, "_bk").agg(F.count(F.lit(1)).alias("_cnt"))
     cw = Window.partitionBy(*part).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("_off", F.coalesce(F.sum("_cnt").over(cw), F.lit(0))).drop("_cnt")
-    x = x.join(hist, [*part, "_bk"], "inner")
+    on = [x[c].eqNullSafe(hist[c]) for c in part] + [x["_bk"] == hist["_bk"]]  # a null label is a class of its own
+    x = x.join(hist, on, "inner").drop(*[hist[c] for c in [*part, "_bk"]])
     inner = Window.partitionBy(*part, "_bk").orderBy("_h", *key)
     return x.withColumn(out, F.col("_off") + F.row_number().over(inner) - 1).drop("_h", "_bk", "_off")
 
@@ -66,6 +67,15 @@ def sample_rows(df: DataFrame, n: int | None, seed: int = 42, cols: Sequence[str
     return df.orderBy(row_hash(cols, seed, "rows"), *cols).limit(n)
 
 
+def _with_class(df: DataFrame, per_class: DataFrame, label: str) -> DataFrame:
+    """Adds the columns of a one-row-per-class table; rows without a label are a class of their own and stay.
+
+    The table is left to Spark's own size check, since nothing bounds the number of classes.
+    """
+    c = per_class.withColumnRenamed(label, "_class")
+    return df.join(c, df[label].eqNullSafe(c["_class"]), "inner").drop("_class")
+
+
 # -- B5 ----------------------------------------------------------------------------------
 def stratified_split(df: DataFrame, label: str, fractions: Sequence[float], seed: int = 42,
                      key: Sequence[str] | None = None, names: Sequence[str] | None = None,
@@ -80,7 +90,7 @@ def stratified_split(df: DataFrame, label: str, fractions: Sequence[float], seed
     ranked = hash_rank(df, [label], key, seed)
     # class sizes come from a grouped count, not from a window over the whole class
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ranked.join(F.broadcast(sizes), label, "inner")
+    ranked = _with_class(ranked, sizes, label)
     cum, expr = 0.0, None
     for i, f in enumerate(fractions[:-1]):
         cum += f
@@ -108,7 +118,7 @@ def undersample(df: DataFrame, label: str = "target", ratio: float = 0.1, seed:
     counts = class_counts(df, label)
     n_min = counts.agg(F.min("n")).first()[0]
     keep = F.least(F.col("_n"), F.floor(F.lit(float(n_min)) / F.lit(float(ratio))))
-    ranked = hash_rank(df, [label], key, seed).join(F.broadcast(counts.withColumnRenamed("n", "_n")), label)
+    ranked = _with_class(hash_rank(df, [label], key, seed), counts.withColumnRenamed("n", "_n"), label)
     is_minor = F.col("_n") == F.lit(n_min)
     return ranked.filter(is_minor | (F.col("_rank") < keep)).drop("_rank", "_n")
 
@@ -128,7 +138,7 @@ def class_weights(df: DataFrame, label: str = "target", out: str = "weight") ->
     total = counts.agg(F.sum("n")).scalar()
     k = counts.agg(F.count(F.lit(1))).scalar()
     w = counts.select(label, (total / (k * F.col("n"))).cast("double").alias(out))
-    return df.join(F.broadcast(w), label, "inner")
+    return _with_class(df, w, label)
 
 
 # -- B2 / B3 / B4: early-warning candidate rows --------------------------------------------

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
+_RUN_ID = uuid.uuid4().hex
+
 # Runtime-settable SQL options every operator relies on.
 _SQL_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -30,8 +33,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint directory named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is. Only where it is unset (local tests) a fresh scratch folder is
-    created and registered.
+    used as is. Only where it is unset on a local master (tests) a fresh scratch folder is
+    created and registered; on a cluster an unset folder is an error, since executors
+    don't share a machine's temporary folder.
     """
     try:
         sc = spark.sparkContext
@@ -42,6 +46,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"set spark.checkpoint.dir to a shared folder (master {master!r} is not local)")
     path = tempfile.mkdtemp(prefix="outagelens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if sc is not None:
         sc.setCheckpointDir(path)
@@ -50,9 +57,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path for an intermediate table under the shared checkpoint dir."""
+    """A path for an intermediate table under the shared checkpoint dir, of this process alone.
+
+    Two sessions that share the folder never write to each other's tables.
+    """
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tables/{name}"
+    return f"{base}/tables/{_RUN_ID}/{name}"
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "outagelens") -> SparkSession:
