@@ -1,20 +1,21 @@
-"""Exact k-nearest neighbours without an all-pairs join (pivot partitioning).
+"""Exact k-nearest neighbours without an all-pairs join (pivot partitioning, bounded groups).
 
-1. ``P`` pivots are drawn by hash from the data (``P`` grows with the data,
-   about ``cell_size`` points per pivot, capped by ``max_pivots``); a hash
-   sample gives, per pivot, an upper bound ``dk_i`` of its (k+1)-th nearest
-   data distance.
+1. ``P`` pivots are drawn by hash from the data (about ``cell_size`` points per pivot, at most
+   ``max_pivots``, since pivots travel through the driver); a hash sample gives, per pivot, an
+   upper bound ``dk_i`` of its (k+1)-th nearest data distance.
 2. Every query point joins the cell of its nearest pivot; ``U_i`` is the
    largest query-to-pivot distance in cell ``i`` (a grouped max).
 3. By the triangle inequality every query of cell ``i`` has its k nearest
    neighbours within ``U_i + dk_i``, so a data point ``s`` can only matter to
-   cell ``i`` if ``|s, p_i| <= 2 U_i + dk_i``; it is copied exactly to those
-   cells.
-4. Inside each cell an Arrow-batched numpy step computes the exact k nearest
-   among the copied data points (queries processed in blocks).
-
-The result equals brute force (checked against DuckDB), while the work per
-cell is bounded by the pivot density instead of by the size of any key group.
+   cell ``i`` if ``|s, p_i| <= 2 U_i + dk_i``; it is copied exactly to those cells. In many
+   dimensions this bound prunes little, and a cell may hold most of the data.
+4. So a cell is never one group: its data and its queries are dealt by hash into blocks of about
+   ``BLOCK_ROWS`` rows, and every (query block, data block) pair is one Python group. Each returns the k
+   nearest of its block for every query, and a ranked window merges them. Memory is bounded by the block, whatever the cell.
+5. In a group, distances come from ``|x|^2 + |y|^2 - 2xy`` in slices of queries; the finalists, with a
+   margin for rounding, are measured again exactly.
+
+The result equals brute force (checked against DuckDB). The work is queries times the data that the bound lets through.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 
 from .sampling import row_hash
 
-_QUERY_BLOCK = 1024
+#: Rows of a data or query block of a cell, about (dealt by hash).
+BLOCK_ROWS = 2048
+_QUERY_SLICE = 256
 
 
 def knn(query: DataFrame, data: DataFrame, k: int, id_col: str = "id", feat: str = "features",
@@ -53,14 +56,9 @@ def knn(query: DataFrame, data: DataFrame, k: int, id_col: str = "id", feat: str
 
 
 def _smallest_ids(rows: DataFrame, n: int) -> DataFrame:
-    """Per vector ``f``, its ``n`` smallest ids as (f, id, pos); ``n`` grouped-min passes (hash aggregates)."""
-    picked = None
-    rest = rows
-    for pos in range(1, n + 1):
-        step = rest.groupBy("f").agg(F.min("id").alias("id")).withColumn("pos", F.lit(pos))
-        picked = step if picked is None else picked.unionByName(step)
-        rest = rest.join(step.select("id"), "id", "left_anti")
-    return picked
+    """Per vector ``f``, its ``n`` smallest ids as (f, id, pos); Spark cuts each task's rows to ``n`` per vector before the shuffle."""
+    w = Window.partitionBy("f").orderBy("id")
+    return rows.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= n).select("f", "id", "pos")
 
 
 def _knn_with_heavy(query, data, k, id_col, feat, cell_size, max_pivots, sample_size, seed):
@@ -95,7 +93,7 @@ def _knn_cells(query: DataFrame, data: DataFrame, k: int, id_col: str = "id", fe
                seed: int = 42) -> DataFrame:
     """Pivot-cell search (see the module docstring)."""
     spark = query.sparkSession
-    block = _QUERY_BLOCK
+    step, rows_of_block = _QUERY_SLICE, BLOCK_ROWS
 
     # Helpers are local so the Arrow-batched steps pickle by value: workers need numpy
     # and pandas only, not this package.
@@ -122,8 +120,6 @@ def _knn_cells(query: DataFrame, data: DataFrame, k: int, id_col: str = "id", fe
     smp = np.vstack([np.asarray(r.f, dtype=np.float64) for r in smp_rows])
     kk = min(k + (1 if exclude_self else 0), smp.shape[0])
     dk = np.sort(_dist_to(smp, pivots), axis=0)[kk - 1]
-    if n <= sample_size:  # the sample is the whole data set: bound is exact but still valid
-        pass
 
     # pivots (<= max_pivots x dims) and per-cell reach travel inside the task closures
     def assign(it):
@@ -152,32 +148,47 @@ def _knn_cells(query: DataFrame, data: DataFrame, k: int, id_col: str = "id", fe
                                 "cell": cells.astype("int32")})
 
     dr = d.mapInPandas(replicate, "id long, f array<double>, cell int")
-    both = (qa.select("cell", "id", "f", F.lit(0).alias("role"))
-            .unionByName(dr.select("cell", "id", "f", F.lit(1).alias("role"))))
+    # blocks of bounded size: at most P counts of each side reach the driver
+    per_cell = {c: {r["cell"]: -(-r["count"] // rows_of_block) for r in x.groupBy("cell").count().collect()}
+                for c, x in (("q", qa), ("d", dr))}
+    cells = [(int(c), int(per_cell["q"][c]), int(per_cell["d"][c])) for c in per_cell["q"] if c in per_cell["d"]]
+    blocks = F.broadcast(spark.createDataFrame(cells or [], "cell int, nq long, nd long"))  # at most max_pivots rows
+    qb = F.pmod(F.xxhash64("id", F.lit("q")), F.col("nq"))
+    db = F.pmod(F.xxhash64("id", F.lit("d")), F.col("nd"))
+    qs = qa.join(blocks, "cell").withColumn("qb", qb).withColumn("db", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nd") - 1)))
+    ds = dr.join(blocks, "cell").withColumn("db", db).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)))
+    both = (qs.select("cell", "qb", "db", "id", "f", F.lit(0).alias("role"))
+            .unionByName(ds.select("cell", "qb", "db", "id", "f", F.lit(1).alias("role"))))
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         qs, ds = pdf[pdf.role == 0], pdf[pdf.role == 1]
         if qs.empty or ds.empty:
-            return pd.DataFrame({"id": [], "nn_id": [], "dist": [], "rank": []})
+            return pd.DataFrame({"id": [], "nn_id": [], "dist": []})
         dx, did = _stack(ds["f"]), ds["id"].to_numpy()
         order0 = np.argsort(did, kind="stable")
         dx, did = dx[order0], did[order0]
+        d2 = np.einsum("ij,ij->i", dx, dx)
         out = []
         qx_all, qid_all = _stack(qs["f"]), qs["id"].to_numpy()
-        for s in range(0, len(qs), block):
-            qx, qid = qx_all[s:s + block], qid_all[s:s + block]
-            diff = qx[:, None, :] - dx[None, :, :]
-            dist = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+        for s in range(0, len(qs), step):
+            qx, qid = qx_all[s:s + step], qid_all[s:s + step]
+            q2 = np.einsum("ij,ij->i", qx, qx)
+            near = q2[:, None] + d2[None, :] - 2.0 * (qx @ dx.T)
             if exclude_self:
-                dist[qid[:, None] == did[None, :]] = np.inf
-            kq = min(k, dist.shape[1])
-            # stable sort on distance keeps the id order for ties
-            idx = np.argsort(dist, axis=1, kind="stable")[:, :kq]
-            dsel = np.take_along_axis(dist, idx, axis=1)
-            ok = np.isfinite(dsel)
-            rr, cc = np.nonzero(ok)
-            out.append(pd.DataFrame({"id": qid[rr], "nn_id": did[idx[rr, cc]], "dist": dsel[rr, cc],
-                                     "rank": (cc + 1).astype("int32")}))
-        return pd.concat(out, ignore_index=True)
-
-    return both.groupBy("cell").applyInPandas(local, "id long, nn_id long, dist double, rank int")
+                near[qid[:, None] == did[None, :]] = np.inf
+            kq = min(k, near.shape[1])
+            kth = np.partition(near, kq - 1, axis=1)[:, kq - 1]
+            margin = 1e-9 * (q2 + d2.max()) + 1e-12
+            for i in range(len(qid)):
+                at = np.flatnonzero((near[i] <= kth[i] + margin[i]) & np.isfinite(near[i]))
+                diff = qx[i] - dx[at]
+                dist = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+                # a stable sort on distance keeps the id order for ties
+                best = np.argsort(dist, kind="stable")[:kq]
+                out.append((np.full(len(best), qid[i]), did[at[best]], dist[best]))
+        ids, nns, dists = (np.concatenate(c) for c in zip(*out))
+        return pd.DataFrame({"id": ids, "nn_id": nns, "dist": dists})
+
+    found = both.groupBy("cell", "qb", "db").applyInPandas(local, "id long, nn_id long, dist double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("dist", "nn_id")).cast("int"))
+    return ranked.filter(F.col("rank") <= k)

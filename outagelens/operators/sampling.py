@@ -174,12 +174,10 @@ def negatives(outages: DataFrame, n: int, windows: Sequence[int], seed: int = 42
               first_round: int = 3) -> DataFrame:
     """``n`` negative rows: hash-picked county, whole hour and window with no outage in ``[t, t+w)``.
 
-    Slot ``i`` has up to ``oversample`` attempts (the reference retries up to
-    20 times); the first attempt that passes the anti join fills it. Attempts
-    are evaluated in two rounds with the same result: the first
-    ``first_round`` attempts for every slot, then the remaining attempts only
-    for the slots still empty. ``spark.range`` generates attempts on the
-    executors.
+    The first attempt of a slot that passes the anti join fills it. Attempts are evaluated in rounds:
+    ``first_round`` attempts for every slot, then ever more only for the slots still empty, up to
+    ``oversample`` times ``first_round`` more rounds of doubling size; slots that no attempt could
+    fill raise an error instead of disappearing. ``spark.range`` generates attempts on the executors.
     """
     from .joins import without_future_event
 
@@ -212,10 +210,17 @@ def negatives(outages: DataFrame, n: int, windows: Sequence[int], seed: int = 42
 
     slots = spark.range(0, int(n)).withColumnRenamed("id", "slot")
     split = max(1, min(int(first_round), int(oversample)))
-    first = attempts(slots, 0, split)
-    if split < oversample:
-        rest = attempts(slots.join(first.select("slot"), "slot", "left_anti"), split, int(oversample))
-        first = first.unionByName(rest)
+    filled = attempts(slots, 0, split).persist(StorageLevel.MEMORY_AND_DISK)
+    a0, a1 = split, max(int(oversample), split)
+    # almost always over after one or two rounds: each round only sees the slots still empty
+    while (missing := int(n) - filled.count()) > 0:
+        if a0 >= a1:
+            if a1 > int(oversample) << 6:
+                raise ValueError(f"{missing} of {n} negatives found no free hour in {a1} attempts each: outages cover nearly all hours")
+            a1 *= 2
+        rest = attempts(slots.join(filled.select("slot"), "slot", "left_anti"), a0, a1)
+        filled, a0 = filled.unionByName(rest).persist(StorageLevel.MEMORY_AND_DISK), a1
+    first = filled
     return first.select(F.col(f"r.{key}").alias(key), "r.prediction_time", "r.window_hours",
                         F.lit(0).alias("target"))
 
@@ -269,7 +274,7 @@ def smote(df: DataFrame, features_col: str = "features", label: str = "target",
     if n_synth <= 0:  # already at or past the requested ratio
         return _combine(base, spark.createDataFrame([], "features array<double>, target int"))
     minority = base.filter(F.col("target") == mino)
-    nbrs = knn(minority, minority, k, seed=seed)
+    nbrs = knn(minority, minority, k, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)  # read twice
     synth = _interpolate(spark, _indexed(minority, seed), nbrs, minority, n_synth, seed, k, mino, "smote")
     return _combine(base, synth)
 
@@ -318,7 +323,7 @@ def adasyn(df: DataFrame, features_col: str = "features", label: str = "target",
     _c, mino, _majo = _counts(base, "target")
     per = adasyn_allocation(df, features_col, label, ratio, k, seed, id_col).filter("g > 0")
     minority = base.filter(F.col("target") == mino)
-    nbrs = knn(minority, minority, k, seed=seed)
+    nbrs = knn(minority, minority, k, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)  # read twice
     kmax = nbrs.groupBy("id").agg(F.max("rank").alias("_kmax"))
     rows = per.join(kmax, "id").select("id", "_kmax", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j"))
     rows = rows.select("id", "j", (F.pmod(row_hash(["id", "j"], seed, "adn"), F.col("_kmax")) + 1).cast("int")
@@ -354,7 +359,7 @@ def borderline_smote(df: DataFrame, features_col: str = "features", label: str =
     minority = base.filter(F.col("target") == mino)
     danger = borderline_danger(df, features_col, label, m, seed, id_col).filter("danger").select("id")
     bases = minority.join(danger, "id", "left_semi")
-    nbrs = knn(bases, minority, k, seed=seed)
+    nbrs = knn(bases, minority, k, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)  # read twice
     synth = _interpolate(spark, _indexed(bases, seed), nbrs, minority, n_synth, seed, k, mino, "border")
     return _combine(base, synth)
 

@@ -144,7 +144,7 @@ def train_compare(train: DataFrame, test: DataFrame, features: Sequence[str], ki
 
 def pick_best(metrics_table: DataFrame, by: str = "f1") -> str:
     """Name of the model with the best ``by`` (ties: first name alphabetically)."""
-    return metrics_table.agg(F.max_by("model", F.struct(F.col(by), -F.hash("model")))).first()[0]
+    return metrics_table.orderBy(F.col(by).desc(), "model").select("model").first()[0]
 
 
 def gains(metrics_table: DataFrame, baseline: str, by: Sequence[str] = ("precision", "recall", "f1", "roc_auc")) -> DataFrame:
