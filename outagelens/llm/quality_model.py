@@ -19,7 +19,7 @@ from .common import text_of
 
 #: Labelled rows that the fit uses at most (those with the smallest hash of their id).
 TRAIN_ROWS = 20_000
-TREES, DEPTH, RATE, BINS, RIDGE, LEAST_HESSIAN = 40, 4, 0.25, 32, 1.0, 2.0
+TREES, DEPTH, RATE, BINS, RIDGE, LEAST_HESSIAN = 60, 4, 0.25, 32, 0.5, 0.5
 PREDICT_AT = 0.3
 
 #: Bytes counted together.
