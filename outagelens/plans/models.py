@@ -22,20 +22,18 @@ from ..operators import evaluation as E
 from ..operators.sampling import class_weights, row_hash
 from ..session import checkpoint_dir
 
-# Reference hyper-parameters (full settings); queries() passes smaller ones.
+# Reference hyper-parameters. The registered queries of single models use them; the queries that fit many models
+# (stacking, voting, comparisons, the sampling study) pass STUDY_PARAMS, which only differ in the number and depth of trees.
 FULL_PARAMS = {
     "random_forest": {"numTrees": 200, "maxDepth": 15, "minInstancesPerNode": 5},
     "gbt_a": {"maxIter": 200, "maxDepth": 8, "stepSize": 0.05, "subsamplingRate": 0.8,
               "featureSubsetStrategy": "0.8"},
+    # the second library bounds its leaves: fewer, larger leaves and finer bins
     "gbt_b": {"maxIter": 200, "maxDepth": 8, "stepSize": 0.05, "subsamplingRate": 0.8,
-              "featureSubsetStrategy": "0.8", "maxBins": 64},
-}
-SMALL_PARAMS = {
-    "random_forest": {"numTrees": 20, "maxDepth": 5, "minInstancesPerNode": 5},
-    "gbt_a": {"maxIter": 10, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"},
-    "gbt_b": {"maxIter": 10, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8",
-              "maxBins": 64},
+              "featureSubsetStrategy": "0.8", "maxBins": 255, "minInstancesPerNode": 20},
 }
+_STUDY_SIZE = {"random_forest": {"numTrees": 20, "maxDepth": 5}, "gbt_a": {"maxIter": 10, "maxDepth": 4}, "gbt_b": {"maxIter": 10, "maxDepth": 4}}
+STUDY_PARAMS = {k: {**v, **_STUDY_SIZE[k]} for k, v in FULL_PARAMS.items()}
 KINDS = ("random_forest", "gbt_a", "gbt_b")
 
 
@@ -124,22 +122,35 @@ def _parallel(jobs: Mapping, parallelism: int) -> dict:
         return {key: fut.result() for key, fut in futures.items()}
 
 
-def train_compare(train: DataFrame, test: DataFrame, features: Sequence[str], kinds: Sequence[str] = KINDS,
-                  params: Mapping[str, Mapping] | None = None, label: str = "target", seed: int = 42,
-                  weight_col: str | None = None, parallelism: int = 3):
-    """Fit each kind (concurrently), score the test rows once, return (models, metrics DataFrame)."""
+def fit_all(train: DataFrame, features: Sequence[str], kinds: Sequence[str] = KINDS, params: Mapping[str, Mapping] | None = None,
+            label: str = "target", seed: int = 42, weight_col: str | None = None, parallelism: int = 3) -> dict[str, PipelineModel]:
+    """One model of each kind, fitted concurrently."""
     params = params or FULL_PARAMS
-    models = _parallel({k: (lambda k=k: fit(train, features, k, params.get(k), label, weight_col, seed, name=k))
-                        for k in kinds}, parallelism)
-    scored = test
+    return _parallel({k: (lambda k=k: fit(train, features, k, params.get(k), label, weight_col, seed, name=k))
+                      for k in kinds}, parallelism)
+
+
+def score_all(models: Mapping[str, PipelineModel], df: DataFrame) -> DataFrame:
+    """``p_<kind>`` of every model, scored once and checkpointed."""
     for k, m in models.items():
-        scored = probability(m, scored, k)
-    scored = materialize(scored)
+        df = probability(m, df, k)
+    return materialize(df)
+
+
+def metrics_table(scored: DataFrame, kinds: Sequence[str], label: str = "target") -> DataFrame:
     table = None
     for k in kinds:
         row = evaluate(scored, f"p_{k}", label).select(F.lit(k).alias("model"), "*")
         table = row if table is None else table.unionByName(row)
-    return models, table
+    return table
+
+
+def train_compare(train: DataFrame, test: DataFrame, features: Sequence[str], kinds: Sequence[str] = KINDS,
+                  params: Mapping[str, Mapping] | None = None, label: str = "target", seed: int = 42,
+                  weight_col: str | None = None, parallelism: int = 3):
+    """Fit each kind (concurrently), score the test rows once, return (models, metrics DataFrame)."""
+    models = fit_all(train, features, kinds, params, label, seed, weight_col, parallelism)
+    return models, metrics_table(score_all(models, test), kinds, label)
 
 
 def pick_best(metrics_table: DataFrame, by: str = "f1") -> str:
