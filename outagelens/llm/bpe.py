@@ -21,11 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import small_batches, text_of
 
-#: Words remembered by a worker in each of two generations (results don't depend on it), and texts handled at a time.
+#: Words remembered by a worker in each of two generations (results don't depend on it).
 REMEMBERED_WORDS = 150_000
-ROWS = 256
 
 
 def byte_letters() -> dict[int, str]:
@@ -166,12 +165,6 @@ def _tables(shared) -> Bpe:
     return store[key]
 
 
-def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            yield batch.slice(at, ROWS)
-
-
 def load(df: DataFrame, path: str):
     """Broadcast the tokenizer file at ``path`` (fixed size, a few MB)."""
     with open(path, "rb") as f:
@@ -188,7 +181,7 @@ def encode(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _tables(shared)
-        for batch in _small(batches):
+        for batch in small_batches(batches):
             ids = [bpe.encode(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                                              [*batch.schema.names[1:], "n_tokens", "ids"])
@@ -201,7 +194,7 @@ def decode(encoded: DataFrame, shared) -> DataFrame:
     """Adds ``decoded`` (string) to the rows of :func:`encode`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _tables(shared)
-        for batch in _small(batches):
+        for batch in small_batches(batches):
             texts = [bpe.decode(x or b"") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_of
+from .common import small_batches, staged, text_of
 from .shingles import _U64, mix, powers, text_buffer
 
 LENGTH = 400
@@ -145,7 +145,7 @@ def _place(rows: DataFrame, found: DataFrame, length: int) -> DataFrame:
         "t.doc_id", "t.key", "t.text", "f.accepted", "f.todo")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             out = {k: [] for k in ("n_bytes", "spans", "kept_sha256", "text", "accepted", "todo")}
             for text, accepted, todo in zip(*(batch.column(c).to_pylist() for c in ("text", "accepted", "todo"))):
                 data = text.encode()
@@ -172,8 +172,14 @@ def _contexts(todo: DataFrame, length: int) -> DataFrame:
     wide = WIDTHS[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
+        names = ["key", "p", "r", "d", "b", "witness", "lo", "bytes"]
+
+        def made(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+        rows = []
+        for batch in small_batches(batches, 64):
             for key, text, runs in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "todo"))):
                 data = text.encode()
                 for x in runs:
@@ -182,10 +188,11 @@ def _contexts(todo: DataFrame, length: int) -> DataFrame:
                     first = (x["d"] - x["r"] + 1) // wide * wide
                     lo, hi = max(0, anchor - last), min(len(data), anchor - first + length)
                     rows.append((key, x["p"], x["r"], x["d"], x["b"], x["witness"], lo - anchor, data[lo:hi]))
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
-            names = ["key", "p", "r", "d", "b", "witness", "lo", "bytes"]
-            cols = list(zip(*rows)) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
+                    if len(rows) == 2000:
+                        yield made(rows)
+                        rows = []
+        if rows:
+            yield made(rows)
 
     return todo.select("key", "text", "todo").mapInArrow(run, "key long, p int, r int, d int, b long, witness boolean, lo int, bytes binary")
 
@@ -196,7 +203,7 @@ def _cells(contexts: DataFrame, width: int, length: int) -> DataFrame:
     above = WIDTHS[WIDTHS.index(width) - 1] if width != WIDTHS[0] else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 1000):
             out = [[] for _ in range(7)]
             for x in batch.to_pylist():
                 low, high = x["d"] - x["r"] + 1, x["d"]  # distances of the run's windows from the anchor
@@ -287,7 +294,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
         "t.doc_id", "t.text", "t.spans", "f.more")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             out = [[], [], []]
             for text, spans, more in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "more"))):
                 data = text.encode()

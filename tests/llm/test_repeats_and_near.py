@@ -110,11 +110,10 @@ def near_rows():
 
 
 @pytest.mark.parametrize("leaf", [256, 8])
-def test_near_duplicates(frame, monkeypatch, leaf):
+def test_near_duplicates(frame, leaf):
     rows = near_rows()
-    whole = jaccard_join.block_links
-    monkeypatch.setattr(jaccard_join, "block_links", lambda sets, t: whole(sets, t, leaf))
-    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(frame([(*r, "en", "a") for r in rows])).collect()]
+    out = jaccard_join.near_duplicates(frame([(*r, "en", "a") for r in rows]), leaf=leaf)
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()]
     assert sorted(got) == sorted(near_components(rows))
 
 
