@@ -10,11 +10,12 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import optional_equals, pct_change, time_between, year_range
+from .evaluation import exact_quantiles
 
 # Fixed values that must equal the reference's: importance categories.
 IMPORTANCE_CATEGORIES = {
@@ -106,12 +107,29 @@ def by_event_type(outages: DataFrame, top: int | None = 15) -> DataFrame:
 
 
 # -- A7 -----------------------------------------------------------------------
-def by_region(outages: DataFrame, regions: DataFrame, state_col: str = "state") -> DataFrame:
-    """region -> outage count, mean and total customers; empty region gives 0.
+# Fixed values that must equal the reference's: the five regions and their states.
+REGION_STATES = {
+    "Northeast": ("Connecticut", "Maine", "Massachusetts", "New Hampshire", "Rhode Island", "Vermont", "New Jersey", "New York", "Pennsylvania"),
+    "Southeast": ("Delaware", "Florida", "Georgia", "Maryland", "North Carolina", "South Carolina", "Virginia", "West Virginia", "Alabama",
+                  "Kentucky", "Mississippi", "Tennessee", "Arkansas", "Louisiana"),
+    "Midwest": ("Illinois", "Indiana", "Michigan", "Ohio", "Wisconsin", "Iowa", "Kansas", "Minnesota", "Missouri", "Nebraska", "North Dakota", "South Dakota"),
+    "Southwest": ("Arizona", "New Mexico", "Oklahoma", "Texas"),
+    "West": ("Colorado", "Idaho", "Montana", "Nevada", "Utah", "Wyoming", "Alaska", "California", "Hawaii", "Oregon", "Washington"),
+}
+
+
+def region_dimension(spark: SparkSession) -> DataFrame:
+    """(state, region) of the 50 states."""
+    return spark.createDataFrame([(s, r) for r, states in REGION_STATES.items() for s in states], "state string, region string")
+
+
+def by_region(outages: DataFrame, regions: DataFrame | None = None, state_col: str = "state") -> DataFrame:
+    """region -> outage count, mean and total customers; empty region gives 0. Without ``regions``: the five regions of the 50 states.
 
     Outages are first reduced to one row per state (partial aggregation, no
     wide shuffle), then joined to the small region dimension.
     """
+    regions = region_dimension(outages.sparkSession) if regions is None else regions
     per_state = outages.groupBy(F.col(state_col).alias("state")).agg(
         F.count(F.lit(1)).alias("_n"),
         F.count("max_customers").alias("_nc"),
@@ -285,8 +303,9 @@ def extent(outages_raw: DataFrame, date_col: str = "date") -> DataFrame:
 # -- A21 / A22 ------------------------------------------------------------------------
 def quantile_value(df: DataFrame, col: str, q: float, approx: bool = False) -> DataFrame:
     """One-row frame with the q-quantile (exact linear interpolation by default)."""
-    expr = F.percentile_approx(col, q, 100000) if approx else F.percentile(F.col(col), F.lit(q))
-    return df.agg(expr.cast("double").alias("_q"))
+    if approx:
+        return df.agg(F.percentile_approx(col, q, 100000).cast("double").alias("_q"))
+    return df.sparkSession.range(1).select(F.lit(exact_quantiles(df, col, [q])[0]).cast("double").alias("_q"))
 
 
 def flag_above_quantile(df: DataFrame, col: str, out: str, q: float = 0.75, approx: bool = False) -> DataFrame:
@@ -296,8 +315,8 @@ def flag_above_quantile(df: DataFrame, col: str, out: str, q: float = 0.75, appr
 
 
 def impute_median(df: DataFrame, col: str) -> DataFrame:
-    med = df.agg(F.median(col).cast("double")).scalar()
-    return df.withColumn(col, F.coalesce(F.col(col), med))
+    med = exact_quantiles(df, col, [0.5])[0]
+    return df.withColumn(col, F.coalesce(F.col(col), F.lit(med).cast("double")))
 
 
 # -- A23 / A24 / A25 --------------------------------------------------------------------
@@ -328,11 +347,10 @@ def feature_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def score_profile(df: DataFrame, p: str = "p", label: str = "target") -> DataFrame:
     prob = F.col(p)
+    quarters = [F.lit(v).cast("double") for v in exact_quantiles(df, p, [0.25, 0.5, 0.75])]
     return df.agg(
         F.min(prob).alias("p_min"),
-        F.percentile(prob, F.lit(0.25)).alias("p25"),
-        F.percentile(prob, F.lit(0.5)).alias("p50"),
-        F.percentile(prob, F.lit(0.75)).alias("p75"),
+        *[F.first(v).alias(n) for v, n in zip(quarters, ("p25", "p50", "p75"))],
         F.max(prob).alias("p_max"),
         F.count_if(prob > 0.5).alias("n_above_50"),
         F.avg((prob > 0.5).cast("double")).alias("share_above_50"),

@@ -9,6 +9,9 @@ running sum is finished inside each range. The result is exact (not binned like
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
@@ -30,6 +33,32 @@ def in_ranges(df: DataFrame, col: str, out: str = "_bk", ranges: int = _RANGES)
             .withColumn(out, F.col("_range").cast("int")).drop("_range", "_range_of"))
 
 
+def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], freq: int = 1) -> list[float | None]:
+    """Exact quantiles (linear interpolation, as ``percentile``) of a column whose rows count ``freq`` times; nulls are ignored.
+
+    Distinct values are counted map-side and cut into ranges; running counts are finished inside each range, and
+    only the rows at the wanted ranks reach the driver. No task holds all distinct values.
+    """
+    counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("_v")).agg(
+        (F.count(F.lit(1)) * F.lit(int(freq))).alias("_n")).persist(StorageLevel.MEMORY_AND_DISK)
+    total = counts.agg(F.sum("_n")).first()[0]
+    if not total:
+        counts.unpersist()
+        return [None] * len(qs)
+    x = in_ranges(counts, "_v")
+    lower = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)  # <= 1,024 rows
+    hist = x.groupBy("_bk").agg(F.sum("_n").alias("_r")).select("_bk", F.coalesce(F.sum("_r").over(lower), F.lit(0)).alias("_below"))
+    inside = Window.partitionBy("_bk").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.join(F.broadcast(hist), "_bk").withColumn("_from", F.col("_below") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    places = [q * (total - 1) for q in qs]
+    ranks = sorted({r for at in places for r in (math.floor(at), math.ceil(at))})
+    hit = F.array(*[F.lit(r).cast("long") for r in ranks])
+    here = F.filter(hit, lambda r: (r >= F.col("_from")) & (r < F.col("_from") + F.col("_n")))
+    value = {r: row["_v"] for row in x.withColumn("_hit", here).filter(F.size("_hit") > 0).select("_v", "_hit").collect() for r in row["_hit"]}
+    counts.unpersist()
+    return [value[math.floor(at)] + (at - math.floor(at)) * (value[math.ceil(at)] - value[math.floor(at)]) for at in places]
+
+
 def score_counts(df: DataFrame, label: str = "target", prob: str = "p") -> DataFrame:
     """One row per distinct score: positives and negatives at that score."""
     y = F.col(label)

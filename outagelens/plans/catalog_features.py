@@ -104,7 +104,8 @@ def f03(spark, sf):
     return WF.warning_features(o, w, p, seed=42)
 
 
-@query("b03_positive_labels_hold")
+@query("b03_positive_labels_hold", """
+SELECT county_fips, max(event_began) AS prediction_time, 1 AS window_hours, 1 AS target FROM oev WHERE false GROUP BY county_fips""")
 def b03(spark, sf):
     """Invariant: every positive row has an outage in [t, t+w); returns the violations (expect 0 rows)."""
     o, _, _ = warning_inputs(spark, sf)
@@ -112,11 +113,12 @@ def b03(spark, sf):
     return J.without_future_event(pos, o)
 
 
-@query("b04_negative_labels_hold")
+@query("b04_negative_labels_hold", """
+SELECT county_fips, max(event_began) AS prediction_time, 1 AS window_hours, 0 AS target FROM oev WHERE false GROUP BY county_fips""")
 def b04(spark, sf):
     """Invariant: no negative row has an outage in [t, t+w); returns the violations (expect 0 rows)."""
     o, _, _ = warning_inputs(spark, sf)
-    neg = B.negatives(o, 500, WINDOWS_HOURS, 42)
+    neg = WF.candidates(o, WINDOWS_HOURS, 42).filter("target = 0")  # as many as the early-warning table has
     return J.with_future_event(neg, o)
 
 

@@ -147,7 +147,8 @@ def s13(spark, sf):
     return spark.read.parquet(backup)
 
 
-@query("s14_model_roundtrip")
+@query("s14_model_roundtrip", """
+SELECT county_fips, min(date) AS date, 0.0::DOUBLE AS p_rf, 0.0::DOUBLE AS p2 FROM oraw WHERE false GROUP BY county_fips""")
 def s14(spark, sf):
     """Fit, save, load: the loaded pipeline scores the same probabilities (rows = disagreements, expect 0)."""
     from . import models as M

@@ -56,13 +56,12 @@ def b07r(spark, sf):
     return B.smote(vecs(spark, sf), ratio=0.33, k=5).filter("is_synthetic = 1")
 
 
-@query("b09_adasyn_counts")
-def b09(spark, sf):
-    s = B.adasyn(vecs(spark, sf), ratio=0.33, k=5)
-    return s.groupBy("target", "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("b10_borderline_smote_counts")
+@query("b10_borderline_smote_counts", f"""
+WITH {VEC_SQL},
+c AS (SELECT count(*) FILTER (WHERE target = 1) AS n1, count(*) FILTER (WHERE target = 0) AS n0 FROM v)
+SELECT 1 AS target, 0 AS is_synthetic, n1 AS n FROM c
+UNION ALL SELECT 0, 0, n0 FROM c
+UNION ALL SELECT 1, 1, CAST(floor(0.33 * n0) - n1 AS BIGINT) FROM c WHERE floor(0.33 * n0) > n1""")
 def b10(spark, sf):
     s = B.borderline_smote(vecs(spark, sf), ratio=0.33, k=5, m=10)
     return s.groupBy("target", "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
@@ -74,9 +73,15 @@ def b11(spark, sf):
     return s.groupBy("target", "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("b08_balance_warning_path")
+@query("b08_balance_warning_path", f"""
+WITH {VEC_SQL},
+c AS (SELECT count(*) FILTER (WHERE target = 1) AS n1, count(*) FILTER (WHERE target = 0) AS n0 FROM v),
+g AS (SELECT n1, n0, n1 >= 6 AND n1 < 0.4 * n0 AS balanced, CAST(floor(0.5 * n0) AS BIGINT) AS up FROM c)
+SELECT 1 AS target, 0 AS is_synthetic, n1 AS n FROM g
+UNION ALL SELECT 0, 0, CASE WHEN balanced THEN least(n0, CAST(floor(up / 0.75) AS BIGINT)) ELSE n0 END FROM g
+UNION ALL SELECT 1, 1, up - n1 FROM g WHERE balanced AND up > n1""")
 def b08(spark, sf):
-    """Guard + SMOTE(.5) + undersample(.75) on the vectors (rows-only)."""
+    """Guard + SMOTE(.5) + undersample(.75) on the vectors: class counts."""
     s = B.balance(vecs(spark, sf), path="warning")
     return s.groupBy("target", "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
 
@@ -102,3 +107,15 @@ def b09a(spark, sf):
 SELECT id, n_maj, n_maj >= 5.0 AND n_maj < 10 AS danger FROM nm""")
 def b10d(spark, sf):
     return B.borderline_danger(vecs(spark, sf), m=10)
+
+
+@query("b09_adasyn_counts", _nn_all_sql(5) + """,
+c AS (SELECT count(*) FILTER (WHERE target = 1) AS n1, count(*) FILTER (WHERE target = 0) AS n0 FROM v),
+s AS (SELECT id, n_maj / 5.0 AS r FROM nm),
+g AS (SELECT sum(CAST(round_even(r / (SELECT sum(r) FROM s) * (SELECT floor(0.33 * n0) - n1 FROM c), 0) AS BIGINT)) AS g FROM s)
+SELECT 1 AS target, 0 AS is_synthetic, n1 AS n FROM c
+UNION ALL SELECT 0, 0, n0 FROM c
+UNION ALL SELECT 1, 1, CAST(g AS BIGINT) FROM g WHERE g > 0""")
+def b09(spark, sf):
+    s = B.adasyn(vecs(spark, sf), ratio=0.33, k=5)
+    return s.groupBy("target", "is_synthetic").agg(F.count(F.lit(1)).alias("n"))

@@ -6,6 +6,8 @@ from __future__ import annotations
 import itertools
 import uuid
 
+from pyspark.sql import functions as F
+
 from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..sources import sinks as S
@@ -23,17 +25,25 @@ SELECT county_fips, prediction_time, count(*) AS recent_outage_count_24h,
        sum(max_customers) AS recent_customers_affected_24h
 FROM x GROUP BY 1, 2""", dbl=("recent_customers_affected_24h:2",))
 def st01(spark, sf):
-    """Outage files -> readStream -> 24 h sliding window (1 h slide, 168 h watermark) -> memory sink."""
-    src = scratch_path(spark, "st01_outage_files")
+    """Outage files -> readStream -> 24 h sliding window (1 h slide, 168 h watermark) -> updates in files, the last of each key.
+
+    Update mode lets the watermark drop old state, and the result never passes through the driver.
+    """
+    src = scratch_path(spark, f"st01_outage_files_{next(_RUN)}")
     S.replace_table(fx.outages_ev(spark, sf), src)
-    name = f"st01_trailing_{next(_RUN)}"
-    # stream state lives in the shared checkpoint dir; a fresh location per run so nothing is resumed
-    ckpt = scratch_path(spark, f"st01_stream_state/{uuid.uuid4().hex}")
+    # stream state and output live in the shared checkpoint dir; a fresh location per run so nothing is resumed
+    base = scratch_path(spark, f"st01_stream/{uuid.uuid4().hex}")
+
+    def write(batch, number):  # overwriting a batch's own folder makes a retried batch harmless
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
     q = (ST.trailing_counts(ST.outage_stream(spark, src), hours=24, slide="1 hour", watermark_hours=168)
-         .writeStream.outputMode("complete").format("memory").queryName(name)
-         .option("checkpointLocation", ckpt).start())
+         .writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{base}/state").start())
     try:
         q.processAllAvailable()
     finally:
         q.stop()
-    return spark.table(name)
+    updates = spark.read.parquet(f"{base}/out")
+    keys, values = ["county_fips", "prediction_time"], ["recent_outage_count_24h", "recent_customers_affected_24h"]
+    last = updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("r"))
+    return last.select(*keys, *[f"r.{v}" for v in values])

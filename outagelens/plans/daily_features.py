@@ -22,6 +22,7 @@ from pyspark import StorageLevel
 
 from ..functions import columns as P
 from ..operators import aggregates as A
+from ..operators.evaluation import exact_quantiles
 from ..operators.sampling import sample_keys
 
 # Fixed values that must equal the reference's: feature order of the daily model.
@@ -120,24 +121,23 @@ def daily_features(outages_raw: DataFrame, weather_raw: DataFrame, population: D
     else:
         ct = ct.drop(*HISTORY_COLS)
     # Grid quantiles == quantiles over counties, each weighted by n_days.
-    freq = F.lit(max(n_days, 1))
-    s1 = ct.agg(F.percentile("latest_population", F.lit(0.5), freq).alias("med"),
-                *([] if as_of else [F.percentile("total_historical_outages", F.lit(0.75), freq).alias("q_out")])
-                ).first()
-    med = s1["med"]
+    freq = max(n_days, 1)
+    med = exact_quantiles(ct, "latest_population", [0.5], freq)[0]
+    q_out = None if as_of else exact_quantiles(ct, "total_historical_outages", [0.75], freq)[0]
     ct = ct.withColumn("latest_population", F.coalesce(F.col("latest_population"), F.lit(med).cast("double")))
-    q_pop = ct.agg(F.percentile("latest_population", F.lit(0.75), freq)).first()[0]
+    q_pop = exact_quantiles(ct, "latest_population", [0.75], freq)[0]
     ct = ct.withColumn("high_population_density", (F.col("latest_population") > F.lit(q_pop)).cast("int"))
     if not as_of:
-        ct = ct.withColumn("high_risk_county", (F.col("total_historical_outages") > F.lit(s1["q_out"])).cast("int"))
+        ct = ct.withColumn("high_risk_county", (F.col("total_historical_outages") > F.lit(q_out)).cast("int"))
 
     # spread the county rows so the day explode is generated by many tasks (~1M grid rows each)
     parts = max(1, -(-int(r["n"] or 0) * max(n_days, 1) // GRID_ROWS_PER_PARTITION))
     grid = county_day_grid(ct.repartition(parts, "county_fips"), F.lit(lo), F.lit(hi))
     if as_of:
         grid = _history_as_of(grid, daily).fillna(0, subset=HISTORY_COLS)
-        q_out = grid.agg(F.percentile("total_historical_outages", F.lit(0.75))).scalar()
-        grid = grid.withColumn("high_risk_county", (F.col("total_historical_outages") > q_out).cast("int"))
+        grid = grid.persist(StorageLevel.MEMORY_AND_DISK)
+        q_out = exact_quantiles(grid, "total_historical_outages", [0.75])[0]
+        grid = grid.withColumn("high_risk_county", (F.col("total_historical_outages") > F.lit(q_out)).cast("int"))
 
     days = daily.select("county_fips", "date", F.lit(1).alias("target"))
     grid = grid.join(days, ["county_fips", "date"], "left").withColumn(
