@@ -387,3 +387,50 @@ def a29(spark, sf):
 SELECT DISTINCT state FROM ocal WHERE state IS NOT NULL AND state <> '' ORDER BY state""")
 def a31(spark, sf):
     return A.states(ocal_flat(spark, sf))
+
+
+# -- the SQL view path and documented options ----------------------------------------------------
+@query("s01_sql_over_views", """
+SELECT o.state, o.outages, o.customers, coalesce(s.storms, 0) AS storms
+FROM (SELECT state, count(*) AS outages, sum(max_customers) AS customers FROM o1 GROUP BY state) o
+LEFT JOIN (SELECT state, count(*) AS storms FROM s1 GROUP BY state) s USING (state)""", dbl=("customers:2",))
+def s01_sql(spark, sf):
+    """A user's SQL over the registered views ``outages`` and ``storms``."""
+    L.register_views(spark, fx.outages_ev(spark, sf), fx.storms_ev(spark, sf))
+    return spark.sql("""
+        SELECT o.state, o.outages, o.customers, coalesce(s.storms, 0) AS storms
+        FROM (SELECT state, count(*) AS outages, sum(max_customers) AS customers FROM outages GROUP BY state) o
+        LEFT JOIN (SELECT state, count(*) AS storms FROM storms GROUP BY state) s USING (state)""")
+
+
+_STATE_OF = {f"NATION_{i}": s for i, s in enumerate(s for states in A.REGION_STATES.values() for s in states[:3])}
+
+
+@query("a07_by_default_region", "WITH m(state, region) AS (VALUES " + ", ".join(
+    f"('{n}', '{next(r for r, states in A.REGION_STATES.items() if s in states)}')" for n, s in _STATE_OF.items()) + """),
+ps AS (SELECT region, count(*) AS n, count(max_customers) AS nc, sum(max_customers) AS sc FROM ocal JOIN m USING (state) GROUP BY region),
+r(region) AS (VALUES ('Northeast'), ('Southeast'), ('Midwest'), ('Southwest'), ('West'))
+SELECT region, CAST(coalesce(n, 0) AS BIGINT) AS outage_count, coalesce(sc / nullif(nc, 0), 0.0) AS avg_customers_affected,
+       coalesce(sc, 0.0) AS total_customers_affected
+FROM r LEFT JOIN ps USING (region)""", dbl=("avg_customers_affected", "total_customers_affected:2"))
+def a07_default(spark, sf):
+    """The shipped five-region dimension; fixture nations stand for three states of each region."""
+    named = F.create_map(*[F.lit(x) for pair in _STATE_OF.items() for x in pair])
+    return A.by_region(ocal_flat(spark, sf).withColumn("state", F.element_at(named, F.col("state"))))
+
+
+@query("a26_period_kpis_closed_end", f"""
+WITH p AS ({PERIOD_SQL.replace("start_time <", "start_time <=")})
+SELECT count(*) AS outage_events, count(DISTINCT county_name) AS counties_affected, max(max_customers) AS peak_customers
+FROM p""", dbl=("peak_customers",))
+def a26_closed(spark, sf):
+    """P3 with ``compat_bounds``: the end is included."""
+    return A.period_kpis(A.state_period(ocal_flat(spark, sf), *PERIOD, compat_bounds=True))
+
+
+@query("a18_generators_by_name", """
+SELECT county AS county_name, coalesce(sum(nameplate_capacity_mw), 0.0) AS total_capacity_mw, avg(age_years) AS avg_generator_age
+FROM gens GROUP BY county""", dbl=("total_capacity_mw", "avg_generator_age"))
+def a18_name(spark, sf):
+    """A18 with the name-only key."""
+    return A.generators_by_county(fx.generators(spark, sf), keys=("county",))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import columns as P
 from ..functions.columns import WINDOWS_HOURS
 from ..operators import joins as J
 from ..operators import sampling as B
@@ -170,3 +171,11 @@ def b12(spark, sf):
 def b01(spark, sf):
     """100 counties in hash order (reference's county sample, reproducible)."""
     return B.sample_keys(oraw(spark, sf), "county_fips", 100, seed=42)
+
+
+@query("p19_season_flags_compat", """
+SELECT DISTINCT date, CAST(month(date) IN (3, 4, 5) AS INTEGER) AS is_summer, CAST(month(date) IN (9, 10, 11) AS INTEGER) AS is_winter FROM oraw""")
+def p19(spark, sf):
+    """P19 with ``compat``: the season codes 2 and 4, so the flags mark spring and fall."""
+    days = P.season_flags(P.calendar(oraw(spark, sf).select("date").distinct(), "date"), "season", compat=True)
+    return days.select("date", "is_summer", "is_winter")
