@@ -7,18 +7,17 @@ whole-stage codegen; none needs a Python UDF.
 from __future__ import annotations
 
 import datetime as _dt
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 __all__ = [
-    "as_col", "pad_fips", "default_text", "default_number", "fill_zero", "to_number",
+    "as_col", "pad_fips", "default_text", "default_number", "to_number",
     "to_time", "time_column", "year_range", "time_between", "optional_equals",
     "calendar", "hour_features", "season", "season_flags", "storm_season_quarter",
     "interactions", "polynomials", "flag_positive", "risk_label", "risk_bin",
-    "active_warning", "clamp01", "label_or_key", "pct_change", "drop_null_rows",
-    "select_renamed", "WINDOWS_HOURS", "RISK_LEVELS",
+    "active_warning", "clamp01", "label_or_key", "pct_change", "WINDOWS_HOURS", "RISK_LEVELS",
 ]
 
 # Fixed values that must equal the reference's.
@@ -48,11 +47,6 @@ def default_number(c: str | Column, default: float = 0.0) -> Column:
     return F.when(c.isNull() | (c == 0), F.lit(float(default))).otherwise(c)
 
 
-# -- P10: fill nulls with 0 on named columns ------------------------------
-def fill_zero(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.fillna(0, subset=list(columns))
-
-
 # -- P11 / N10: numeric coercion, unparseable -> 0 ------------------------
 def to_number(c: str | Column, default: float | None = 0.0) -> Column:
     parsed = F.expr(f"try_cast({_sql_ref(c)} AS DOUBLE)") if isinstance(c, str) else c.try_cast("double")
@@ -213,13 +207,3 @@ def pct_change(before: str | Column, after: str | Column) -> Column:
     """``(after - before) / before * 100``; NULL (reported N/A) when before is 0."""
     b, a = as_col(before).cast("double"), as_col(after).cast("double")
     return F.try_divide(a - b, F.nullif(b, F.lit(0.0))) * 100.0
-
-
-# -- P31 / P33 ---------------------------------------------------------------
-def drop_null_rows(df: DataFrame, subset: Iterable[str]) -> DataFrame:
-    return df.dropna(how="any", subset=list(subset))
-
-
-def select_renamed(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    """Select and rename in one step; order of ``mapping`` is the output order."""
-    return df.select([F.col(src).alias(dst) for src, dst in mapping.items()])

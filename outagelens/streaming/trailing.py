@@ -42,10 +42,3 @@ def trailing_counts(events: DataFrame, hours: int = 24, slide: str = "1 hour",
         .select("county_fips", F.col("w.end").alias("prediction_time"),
                 f"recent_outage_count_{hours}h", f"recent_customers_affected_{hours}h")
     )
-
-
-def start(events: DataFrame, sink_path: str, checkpoint_path: str, hours: int = 24, trigger: str = "1 minute"):
-    """Run the trailing counts into a parquet sink (append: a window is emitted once it is final)."""
-    return (trailing_counts(events, hours).writeStream.outputMode("append").format("parquet")
-            .option("path", sink_path).option("checkpointLocation", checkpoint_path)
-            .trigger(processingTime=trigger).start())
