@@ -126,7 +126,7 @@ def test_guests_meet_what_representatives_miss(spark):
             n += 1
     rows = [(0, i, len(s), np.sort(shingles.mix(s)).tobytes()) for i, s in sets]
     df = spark.createDataFrame([(b, i, m, bytearray(t)) for b, i, m, t in rows], "block long, sid long, n long, tokens binary")
-    links = jaccard_join.block_links(df, 80, leaf=4)
+    links = jaccard_join.block_links(df.withColumn("members", F.lit(len(sets)).cast("long")), 80, leaf=4)
     got = {r["node"]: r["component"] for r in components.components(links).collect()}
     parent = {i: i for i, _ in sets}
 
