@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from tests.conftest import SF_SMALL
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
-SKIP = ("m0", "m1", "s14", "a28", "p32", "st01", "b08", "b09_adasyn_counts", "b10_borderline_smote", "b11")
+SKIP = ("m0", "m1", "s14", "a28", "p32", "st01", "b08", "b09_adasyn_counts", "b10_borderline_smote", "b11",
+        "op", "pipeline")  # eager queries with tests of their own
 
 
 def test_no_pairwise_or_python_row_operators(spark):
