@@ -73,7 +73,10 @@ def sliding_least(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, length: int, gram: int) -> list[tuple[np.ndarray, ...]]:
-    """Runs of a text in segments: (first window, windows, anchor - first window, bucket, identifier of the whole extent)."""
+    """Runs of a text, found in segments: (first window, windows, anchor - first window, bucket, identifier of the whole extent).
+
+    Windows of two segments that share an anchor are one run: each (anchor, window) occurs once in a text.
+    """
     out = []
     for a in range(0, len(data) - length + 1, SEGMENT):
         part = data[a : min(len(data), a + SEGMENT + length - 1)]
@@ -85,7 +88,16 @@ def runs_of(data: np.ndarray, length: int, gram: int) -> list[tuple[np.ndarray,
         count = np.diff(np.r_[first, len(anchor)])
         at = anchor[first]
         out.append((first + a, count, at - first, grams[at].view(np.int64), ids.of(first, first + count - 1 + length).view(np.int64)))
-    return out
+    if len(out) < 2:
+        return out
+    first, count, d, bucket, whole = (np.concatenate(c) for c in zip(*out))
+    fresh = np.r_[True, (first + d)[1:] != (first + d)[:-1]]
+    at = np.flatnonzero(fresh)
+    first, total, d, bucket, whole = first[at], np.add.reduceat(count, at), d[at], bucket[at], whole[at]
+    for i in np.flatnonzero(total != count[at]):
+        part = data[first[i] : first[i] + total[i] - 1 + length]
+        whole[i] = Identifiers(part).of(np.array([0]), np.array([len(part)])).view(np.int64)[0]
+    return [(first, total, d, bucket, whole)]
 
 
 def removed_spans(n: int, starts: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:

@@ -70,6 +70,28 @@ def test_long_text_in_segments(monkeypatch):
     assert places.tolist() == list(range(len(data) - 399))
 
 
+def test_runs_do_not_depend_on_segments(monkeypatch):
+    data = np.frombuffer(prose(3, 900).encode(), np.uint8)
+    (whole,) = suffix_dedup.runs_of(data, 400, 64)
+    for segment in (700, 701, 350, 100):
+        monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
+        parts = [np.concatenate(c) for c in zip(*suffix_dedup.runs_of(data, 400, 64))]
+        assert all(a.tolist() == b.tolist() for a, b in zip(parts, whole))
+
+
+def test_text_longer_than_two_segments(frame):
+    edge = suffix_dedup.SEGMENT
+    unique = " ".join(f"{i:x}" for i in range(10**6, 10**6 + edge // 3))  # no string of 400 bytes occurs twice
+    assert len(unique) > 2 * edge + 1000
+    again = unique[: edge + 300] + " " + unique[edge - 300 : edge + 300]  # a true repeat over the first boundary
+    rows = [(1, unique, "en", "a")]
+    assert digest(suffix_dedup.repeated_spans(frame(rows))) == want(rows, 400)
+    assert want(rows, 400)[0][3:5] == (0, 0)
+    rows = [(1, again, "en", "a")]
+    assert digest(suffix_dedup.repeated_spans(frame(rows))) == want(rows, 400)
+    assert want(rows, 400)[0][3:5] == (1200, 2)
+
+
 def test_sliding_least():
     x = np.random.default_rng(1).integers(0, 2**63, 500).astype(np.uint64)
     for width in (1, 7, 337, 500):
