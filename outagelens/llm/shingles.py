@@ -100,7 +100,7 @@ def shingle_sets(col: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         words, row = word_hashes(data[lo : offsets[j]], rows)
         bounds = np.searchsorted(row, np.arange(j - i + 1))
         tokens = np.zeros(len(words), _U64)
-        for k in range(WORDS):
+        for k in range(min(WORDS, len(words))):
             tokens[: len(words) - k] += words[k:] * _PLACES[k]
         tokens = mix(tokens)
         for r in range(j - i):

@@ -110,6 +110,22 @@ def test_shingle_sets_as_sets_of_words():
             assert len(np.intersect1d(got[a], got[b])) == len(plain[a] & plain[b])
 
 
+def test_short_texts_alone_in_a_chunk():
+    import pyarrow as pa
+
+    def tokens(texts):
+        return [t.tolist() for _, t in shingles.shingle_sets(pa.array(texts, pa.string()))]
+
+    short = [" ".join("abcde"[:n]) for n in range(6)]
+    together = tokens([*short, prose(9, 50)])[:6]  # one chunk holds them all
+    assert [len(t) for t in together] == [0, 1, 1, 1, 1, 1]
+    assert [tokens([x])[0] for x in short] == together
+    long = prose(8, 300_000)
+    assert len(long) > shingles.CHUNK_BYTES
+    for x, t in zip(short, together):
+        assert tokens([long, x, long])[1] == t
+
+
 def near_rows():
     """A large group of near copies with different texts, a chain, documents that share a passage only, and edges of the threshold."""
     rng = random.Random(2)
