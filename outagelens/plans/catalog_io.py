@@ -156,7 +156,7 @@ def s14(spark, sf):
     from .daily_features import DAILY_FEATURES
 
     d = M.materialize(daily(spark, sf))
-    m = M.fit(d, DAILY_FEATURES, "random_forest", M.STUDY_PARAMS["random_forest"], name="rf")
+    m = M.fit(d, DAILY_FEATURES, "random_forest", name="rf")
     path = scratch_path(spark, "s14_model")
     M.save_model(m, path)
     a = M.probability(m, d, "rf").select("county_fips", "date", "p_rf")

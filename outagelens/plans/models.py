@@ -22,8 +22,7 @@ from ..operators import evaluation as E
 from ..operators.sampling import class_weights, row_hash
 from ..session import checkpoint_dir
 
-# Reference hyper-parameters. The registered queries of single models use them; the queries that fit many models
-# (stacking, voting, comparisons, the sampling study) pass STUDY_PARAMS, which only differ in the number and depth of trees.
+# Reference hyper-parameters. Every registered query fits with them.
 FULL_PARAMS = {
     "random_forest": {"numTrees": 200, "maxDepth": 15, "minInstancesPerNode": 5},
     "gbt_a": {"maxIter": 200, "maxDepth": 8, "stepSize": 0.05, "subsamplingRate": 0.8,
@@ -32,8 +31,6 @@ FULL_PARAMS = {
     "gbt_b": {"maxIter": 200, "maxDepth": 8, "stepSize": 0.05, "subsamplingRate": 0.8,
               "featureSubsetStrategy": "0.8", "maxBins": 255, "minInstancesPerNode": 20},
 }
-_STUDY_SIZE = {"random_forest": {"numTrees": 20, "maxDepth": 5}, "gbt_a": {"maxIter": 10, "maxDepth": 4}, "gbt_b": {"maxIter": 10, "maxDepth": 4}}
-STUDY_PARAMS = {k: {**v, **_STUDY_SIZE[k]} for k, v in FULL_PARAMS.items()}
 KINDS = ("random_forest", "gbt_a", "gbt_b")
 
 

@@ -114,3 +114,20 @@ def test_knn_heavy_duplicates_equal_brute_force(spark):  # a third of the rows o
     for a in range(len(pts)):
         order = np.lexsort((ids, d[a]))[:5]
         assert [got[(int(ids[a]), r + 1)][0] for r in range(5)] == [int(ids[b]) for b in order]
+
+
+def test_registered_queries_fit_the_full_settings():
+    """No registered query hands its models other settings than ``FULL_PARAMS``, the default."""
+    import ast
+    import inspect
+
+    from outagelens.plans import catalog_io, catalog_models
+
+    before = {"fit": 3, "fit_all": 3, "train_compare": 4, "stack": 4, "compare": 4}  # arguments ahead of ``params``
+    seen = set()
+    for module in (catalog_io, catalog_models):
+        for x in ast.walk(ast.parse(inspect.getsource(module))):
+            if isinstance(x, ast.Call) and isinstance(x.func, ast.Attribute) and getattr(x.func.value, "id", "") == "M" and x.func.attr in before:
+                assert len(x.args) <= before[x.func.attr] and "params" not in {k.arg for k in x.keywords}, f"{module.__name__}:{x.lineno}"
+                seen.add(x.func.attr)
+    assert seen == set(before)
