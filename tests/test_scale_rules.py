@@ -126,3 +126,13 @@ def test_a_cluster_without_a_shared_folder_is_refused():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(Fake())
+
+
+def test_every_nation_has_a_default_region(spark):
+    from outagelens.plans import catalog_aggregates as C
+    from tests.conftest import SF_SMALL
+
+    nations = spark.read.parquet(f"{SF_SMALL}/nation.parquet")
+    assert set(C._EVERY_STATE_OF) == {r["n_name"] for r in nations.collect()}
+    rows = C.a07_default(spark, SF_SMALL).collect()
+    assert len(rows) == 5 and sum(r["outage_count"] for r in rows) == C.ocal_flat(spark, SF_SMALL).filter("state IS NOT NULL").count()
