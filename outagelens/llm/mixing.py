@@ -2,7 +2,8 @@
 
 Each source's documents are put in a fixed shuffled order and cut into blocks of equally many tokens. Slot k of
 the schedule is the point frac(k / golden ratio) looked up in the cumulative target shares; slots are ranked per source, and the
-r-th slot of a source takes block r of its stream (starting over after the last). Slots stop where a source has its target.
+r-th slot of a source takes block r of its stream (starting over after the last). Slots stop where a source has its target; sources whose
+short last blocks need more slots than their share get them behind the schedule.
 """
 
 from __future__ import annotations
@@ -76,7 +77,19 @@ def schedule(plan: DataFrame, block: int = BLOCK, cells: int = CELLS) -> DataFra
     slots = slots.withColumn("step", F.floor(F.col("point") * STEPS)).join(shares, "step").filter("lo <= point AND point < hi")
     slots = (slots.select("slot", "source").withColumn("one", F.lit(1).cast("long"))
              .withColumn("cell", F.floor(F.col("slot") / F.lit(max(1, -(-n_slots // cells))))))
-    return offsets_in_order(slots, ["source"], "cell", ["slot"], "one", "rank").select("slot", "source", "rank")
+    slots = offsets_in_order(slots, ["source"], "cell", ["slot"], "one", "rank").select("slot", "source", "rank")
+
+    # each pass ends in a block that may be short: the slots that a source still lacks follow, one source after the other
+    want, length = F.floor("target").cast("long"), F.col("source_size")
+    need = F.floor(want / length) * F.ceil(length / block) + F.ceil((want % length) / block)
+    held = staged(slots, "mix_slots")
+    got = held.groupBy("source").agg(F.count(F.lit(1)).alias("got"))
+    lack = plan.filter("source_size > 0").select("source", need.cast("long").alias("need")).alias("p").join(
+        got.alias("g"), _same("p", "g", "source"), "left").select("p.source", "need", F.coalesce("got", F.lit(0)).alias("got")).filter("need > got")
+    ends = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lack = lack.withColumn("after", F.sum(F.col("need") - F.col("got")).over(ends) - F.col("need") + F.lit(n_slots))
+    more = lack.select("source", "after", F.explode(F.sequence("got", F.col("need") - 1)).alias("rank"))
+    return held.union(more.select((F.col("after") + F.col("rank")).alias("slot"), "source", "rank"))
 
 
 def shuffled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",

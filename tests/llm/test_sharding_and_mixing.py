@@ -84,6 +84,32 @@ def test_targets_and_taken(odd):
         assert abs(taken[s] - t) <= 16, (s, taken[s], t)
 
 
+def test_small_sources_reach_their_targets(frame):
+    rows = [(0, prose(0, 3000), "en", "big")]
+    for k, words in enumerate([5, 1, 10, 31, 32, 33, 40, 65] * 3):
+        rows.append((k + 1, prose(k + 1, words), "en", f"s{k:02d}"))
+    docs = frame(rows)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    goal = targets({s: len(x.split()) for _, x, _, s in rows})
+    for r in got:
+        assert abs(r["target"] - goal[rows[r["doc_id"]][3]]) < 1e-6 * r["target"]
+        assert r["taken"] == int(r["target"] + 1e-9), (r["size"], r["target"], r["taken"])
+    times = Counter(r["doc_id"] for r in mixing.take(docs).collect())
+    assert all(times[r["doc_id"]] == int(r["target"] / r["size"] + 0.5) for r in got if r["size"] >= 5)
+
+
+def test_slots_are_numbered_once_each(spark):
+    plan = spark.createDataFrame([("a", 3000, 6000.0), ("b", 5, 10.0), ("c", 40, 80.0), (None, 3, 6.0)], "source string, source_size long, target double")
+    slots = mixing.schedule(plan).orderBy("slot").collect()
+    assert [r["slot"] for r in slots] == list(range(len(slots)))
+    ranks = defaultdict(list)
+    for r in slots:
+        ranks[r["source"]].append(r["rank"])
+    assert all(x == list(range(len(x))) for x in ranks.values())
+    assert len(ranks["a"]) >= 188 and len(ranks["b"]) >= 2 and len(ranks["c"]) >= 4 and len(ranks[None]) >= 2
+
+
 def test_reruns_and_partitionings_agree(odd):
     a = mixing.mix(odd).groupBy("doc_id", "size", "taken").count()
     b = mixing.mix(odd.repartition(5, "text")).groupBy("doc_id", "size", "taken").count()
