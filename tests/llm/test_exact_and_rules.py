@@ -34,6 +34,15 @@ def test_same_prefix_and_length_but_other_text(frame):
     assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in got} == {1: (3, 2), 2: (2, 1), 3: (3, 2)}
 
 
+def test_exact_drop_with_null_and_repeated_ids(frame):
+    same = "x" * 300
+    rows = [(None, "only"), (None, "copy"), (7, "copy"), (None, "both null"), (None, "both null"), (8, "copy"), (8, "eight"), (7, "seven"),
+            (None, same + "1"), (None, same + "2"), (None, same + "2")]
+    kept = exact_dedup.drop_duplicates(frame([(*r, "en", "a") for r in rows])).collect()
+    assert sorted(r["text"] for r in kept) == sorted({x for _, x in rows})
+    assert {r["text"]: r["doc_id"] for r in kept}["copy"] == 8
+
+
 def test_exact_empty(empty):
     assert exact_dedup.duplicate_groups(empty).count() == exact_dedup.drop_duplicates(empty).count() == 0
 

@@ -190,6 +190,18 @@ def test_near_on_odd_rows(odd, empty):
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {1, 3, 4, 5, 6, 7, None, 10, 11, 12}
 
 
+def test_near_with_null_and_repeated_ids(frame):
+    words = prose(70, 100, 5000).split()
+    far, mid, near = (" ".join([f"c{j}" for j in range(k)] + words[k:]) for k in (0, 6, 12))  # far and near only link through mid
+    alone, other = prose(71, 60, 5000), prose(72, 60, 5000)
+    rows = [(1, far), (None, mid), (3, near), (None, alone), (4, prose(73, 60, 5000)), (4, far + " end"), (None, other), (None, other + " end")]
+    docs = frame([(*r, "en", "a") for r in rows])
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(docs).collect()]
+    assert sorted(got, key=str) == sorted(((i, n, c) for i, n, c in near_components(rows)), key=str)
+    kept = sorted(r["text"] for r in jaccard_join.keep_one(docs).collect())
+    assert len(kept) == 4 and {far, alone, rows[4][1]} < set(kept) and len({other, other + " end"} & set(kept)) == 1
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 4999), (4999, 5000), (7, 7)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
