@@ -113,3 +113,48 @@ def op1(spark, sf):
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return repeated_spans(documents(spark, sf)).select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query("op11_merkle_manifest", """
+WITH RECURSIVE
+coded AS (SELECT doc_id, source, text,
+    concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-'), coalesce(strlen(source) || ':' || source, '-'),
+           coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-')) AS front,
+    list_reduce(list_concat([4294967295], flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: list_transform(range(0, 8),
+        lambda k: (ascii(substr(doc_id::VARCHAR, i::INT, 1)) >> k::INT) & 1)))),
+        lambda c, bit: xor(c >> 1, CASE WHEN xor(c, bit) & 1 = 1 THEN 3988292384 ELSE 0 END)) AS crc
+  FROM documents),
+leaves AS (SELECT doc_id, source, sha256(front || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(front || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) AS changed,
+    xor(crc, 4294967295) % 2 = 0 AS tampered, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM coded),
+tree AS (SELECT source, 0 AS lvl, i, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM leaves
+  UNION ALL
+  SELECT source, lvl, i, h, count(*) OVER (PARTITION BY source) FROM (
+    SELECT source, lvl + 1 AS lvl, i // 3 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM tree WHERE n > 1 GROUP BY source, lvl, i // 3)),
+tops AS (SELECT source, lvl AS height, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM tree WHERE n = 1),
+crown AS (SELECT 0 AS lvl, s AS i, subroot AS h, count(*) OVER () AS n FROM tops
+  UNION ALL
+  SELECT lvl, i, h, count(*) OVER () FROM (
+    SELECT lvl + 1 AS lvl, i // 3 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM crown WHERE n > 1 GROUP BY lvl, i // 3)),
+nodes AS (SELECT t.s, lvl, i, h FROM tree JOIN tops t ON tree.source IS NOT DISTINCT FROM t.source WHERE n > 1),
+path AS (SELECT l.doc_id, n.lvl, n.i, n.h, l.i // (3 ** n.lvl)::BIGINT AS mine FROM leaves l JOIN tops t ON l.source IS NOT DISTINCT FROM t.source
+    JOIN nodes n ON n.s = t.s AND n.i // 3 = l.i // (3 ** (n.lvl + 1))::BIGINT
+  UNION ALL
+  SELECT l.doc_id, t.height + c.lvl, c.i, c.h, t.s // (3 ** c.lvl)::BIGINT FROM leaves l JOIN tops t ON l.source IS NOT DISTINCT FROM t.source
+    JOIN crown c ON c.n > 1 AND c.i // 3 = t.s // (3 ** (c.lvl + 1))::BIGINT),
+runs AS (SELECT doc_id, lvl, coalesce(string_agg(h, '' ORDER BY i) FILTER (i < mine), '') AS before,
+    coalesce(string_agg(h, '' ORDER BY i) FILTER (i > mine), '') AS after FROM path GROUP BY doc_id, lvl),
+proofs AS (SELECT doc_id, sha256(string_agg(before || after, '' ORDER BY lvl)) AS proof_sha256, max(lvl) + 1 AS steps FROM runs GROUP BY doc_id),
+folded AS (SELECT doc_id, 0::BIGINT AS lvl, CASE WHEN tampered THEN changed ELSE leaf END AS h FROM leaves
+  UNION ALL
+  SELECT f.doc_id, f.lvl + 1, sha256(r.before || f.h || r.after) FROM folded f JOIN runs r ON r.doc_id = f.doc_id AND r.lvl = f.lvl)
+SELECT l.doc_id, l.leaf, t.subroot, c.h AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = c.h AS verified
+FROM leaves l JOIN tops t ON l.source IS NOT DISTINCT FROM t.source JOIN crown c ON c.n = 1 LEFT JOIN proofs p ON p.doc_id = l.doc_id
+JOIN folded f ON f.doc_id = l.doc_id AND f.lvl = coalesce(p.steps, 0)""")
+def op11(spark, sf):
+    from .merkle import manifest
+
+    docs = documents(spark, sf)
+    tampered = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 2 == 0
+    rows = manifest(docs, tampered={"text": F.translate("text", "\n", "")}, where=tampered)
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(F.concat_ws("", "proof"), 256).alias("proof_sha256"), "folded_root", "verified")
