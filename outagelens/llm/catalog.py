@@ -158,3 +158,16 @@ def op11(spark, sf):
     tampered = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 2 == 0
     rows = manifest(docs, tampered={"text": F.translate("text", "\n", "")}, where=tampered)
     return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(F.concat_ws("", "proof"), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+@query("op12_byte_bpe")
+def op12(spark, sf):
+    import public_tokenizers
+
+    from . import byte_bpe
+
+    docs = documents(spark, sf)
+    shared = byte_bpe.load(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return byte_bpe.decode(byte_bpe.encode(docs, shared), shared).select(
+        "doc_id", "n_tokens", F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
