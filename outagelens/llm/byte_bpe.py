@@ -19,7 +19,10 @@ import json
 import sys
 import types
 import uuid
+import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +40,9 @@ DICTIONARY_BYTES = 64
 #: Buckets of the literal rank map.
 BUCKETS = 1 << 15
 #: Bytes of text whose arrays are held at a time; a longer text is cut before white space.
-SEGMENT = 4 << 20
+SEGMENT = 1 << 20
 #: Words outside the dictionary that a worker remembers in each of two generations, and words it counts before it hands them on.
-REMEMBERED, COUNTED = 200_000, 400_000
+REMEMBERED, COUNTED = 100_000, 200_000
 
 _NONE = 1 << 30
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
@@ -65,28 +68,38 @@ def _worker_store(key: str) -> dict:
     return sys.modules.setdefault("_byte_bpe", types.ModuleType("_byte_bpe")).__dict__.setdefault(key, {})
 
 
+@cache
 def code_point_classes() -> np.ndarray:
     """Of every code point: white space, letter, number or other, as the library's tables have them (Unicode 16.0)."""
+    table = np.full(0x110000, _OTHER, np.uint8)
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    for kind, what in ((_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}")):
+        table[[ord(c) for c in regex.findall(what, every)]] = kind
+    fresh = recent_letters()
+    if fresh:
+        table[[ord(c) for c in regex.findall(f"[{fresh}]", every)]] = _OTHER
+    for run in UNICODE_17.split(","):
+        lo, hi = (int(x, 16) for x in run.split("-"))
+        table[lo : hi + 1] = _OTHER
+    table[[ord(c) for c in WHITE_SPACE]] = _SPACE
+    return table
+
+
+@cache
+def packed_classes() -> bytes:
+    """The classes as a few KB that go to the tasks with the function they run."""
+    return zlib.compress(code_point_classes().tobytes())
+
+
+def unpacked_classes(packed: bytes) -> np.ndarray:
     store = _worker_store("classes")
     if "table" not in store:
-        table = np.full(0x110000, _OTHER, np.uint8)
-        every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-        for kind, what in ((_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}")):
-            table[[ord(c) for c in regex.findall(what, every)]] = kind
-        fresh = recent_letters()
-        if fresh:
-            table[[ord(c) for c in regex.findall(f"[{fresh}]", every)]] = _OTHER
-        for run in UNICODE_17.split(","):
-            lo, hi = (int(x, 16) for x in run.split("-"))
-            table[lo : hi + 1] = _OTHER
-        table[[ord(c) for c in WHITE_SPACE]] = _SPACE
-        store["table"] = table
+        store["table"] = np.frombuffer(zlib.decompress(packed), np.uint8)
     return store["table"]
 
 
-def byte_classes(data: np.ndarray) -> np.ndarray:
+def byte_classes(data: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The class of the character that each byte belongs to."""
-    table = code_point_classes()
     out = table[:256][data]
     at = np.flatnonzero(data >= 0xC0)
     if len(at):
@@ -103,7 +116,7 @@ def byte_classes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_starts(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def word_starts(data: np.ndarray, rows: np.ndarray, table: np.ndarray) -> np.ndarray:
     """First bytes of the words of texts laid end to end; ``rows`` are the texts' first bytes. Words cover the texts without gaps.
 
     A run of letters, of numbers or of other characters is a word, together with one space before it. Of white space
@@ -113,7 +126,7 @@ def word_starts(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
-    kind = byte_classes(data)
+    kind = byte_classes(data, table)
     edge = np.zeros(n + 1, bool)
     edge[1:n] = kind[1:] != kind[:-1]
     edge[rows[rows < n]] = True
@@ -206,11 +219,11 @@ def distinct(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[n
     return order[new], number
 
 
-def _cut(data: np.ndarray, offsets: np.ndarray):
+def _cut(data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
     """Of each segment: its rows, bytes, word starts, word sizes, one place of each distinct word, and each word's number."""
     for i, j, a, b in segments(data, offsets):
         part = data[a:b]
-        starts = word_starts(part, np.clip(offsets[i:j] - a, 0, b - a))
+        starts = word_starts(part, np.clip(offsets[i:j] - a, 0, b - a), table)
         sizes = np.diff(np.r_[starts, b - a])
         places, number = distinct(part, starts, sizes)
         yield i, j, a, part, starts, sizes, places, number
@@ -218,14 +231,17 @@ def _cut(data: np.ndarray, offsets: np.ndarray):
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """word (binary) and n: the distinct words of all texts and how often they occur."""
+    packed = packed_classes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[bytes, int] = {}
+        table = unpacked_classes(packed)
 
         def rows():
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for _, _, _, part, starts, sizes, places, number in _cut(*text_buffer(batch.column(0))):
+            for _, _, _, part, starts, sizes, places, number in _cut(*text_buffer(batch.column(0)), table):
                 times = np.bincount(number, minlength=len(places)).tolist()
                 raw, lo, size = part.tobytes(), starts[places].tolist(), sizes[places].tolist()
                 for k, at in enumerate(lo):
@@ -340,22 +356,32 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Shared:
-    """Ranks and dictionary, broadcast: both of bounded size. Workers unpack them once."""
+    """Ranks and dictionary, broadcast: both of bounded size. A worker unpacks what it needs once."""
 
-    def __init__(self, spark: SparkSession, ranks: dict[bytes, int], words: dict[bytes, list[int]]):
+    def __init__(self, spark: SparkSession, ranks: dict[bytes, int], words: dict[bytes, bytes]):
         self.key = uuid.uuid4().hex
-        self.value = spark.sparkContext.broadcast((ranks, words))
+        self.ranks = spark.sparkContext.broadcast(ranks)
+        self.words = spark.sparkContext.broadcast(words)
 
-    def tables(self) -> dict:
-        store = _worker_store(self.key)
+    def of_encoder(self) -> dict:
+        store = _worker_store(f"{self.key} words")
         if not store:
-            ranks, words = self.value.value
-            pieces = [b""] * (max(ranks.values(), default=-1) + 1)
-            for piece, rank in ranks.items():
-                pieces[rank] = piece
-            store.update(ranks=ranks, words=words, pieces=pieces, newer={}, older={})
+            store.update(ranks=self.ranks.value, words=self.words.value, newer={}, older={})
         return store
 
+    def pieces(self) -> list[bytes]:
+        store = _worker_store(f"{self.key} pieces")
+        if not store:
+            pieces = [b""] * (max(self.ranks.value.values(), default=-1) + 1)
+            for piece, rank in self.ranks.value.items():
+                pieces[rank] = piece
+            store["pieces"] = pieces
+        return store["pieces"]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
 
 def load(docs: DataFrame, path: str, text_col: str = "text", words: int = DICTIONARY_WORDS) -> Shared:
     """Reads the rank file at ``path`` and folds the merges over the most frequent words of the texts (at most ``words``, ties to the
@@ -366,12 +392,12 @@ def load(docs: DataFrame, path: str, text_col: str = "text", words: int = DICTIO
     # a single partition came out of the limit; the fold is the work
     spread = most.repartition(spark.sparkContext.defaultParallelism * 4, "word")
     known = spread.select("word", folded(F.col("word"), rank_buckets(spark, ranks)).alias("ids")).toArrow()
-    return Shared(spark, ranks, dict(zip(known.column("word").to_pylist(), known.column("ids").to_pylist())))
+    return Shared(spark, ranks, dict(zip(known.column("word").to_pylist(), map(_packed, known.column("ids").to_pylist()))))
 
 
 # ---- texts
 
-def _ids_of_words(tables: dict, words: list[bytes]) -> list[list[int]]:
+def _ids_of_words(tables: dict, words: list[bytes]) -> list[bytes]:
     known, newer, older, ranks = tables["words"].get, tables["newer"], tables["older"], tables["ranks"]
     out = []
     for word in words:
@@ -379,7 +405,7 @@ def _ids_of_words(tables: dict, words: list[bytes]) -> list[list[int]]:
         if ids is None:
             ids = newer.get(word)
             if ids is None:
-                ids = older.get(word) or merged(word, ranks)
+                ids = older.get(word) or _packed(merged(word, ranks))
                 if len(word) <= DICTIONARY_BYTES:
                     newer[word] = ids
         out.append(ids)
@@ -395,17 +421,18 @@ def encode(docs: DataFrame, shared: Shared, id_col: str = "doc_id", text_col: st
     empty result. Texts and words of any length are encoded whole.
     """
     rows = docs.select(text_of(text_col).alias("text"), F.col(id_col).alias("doc_id"))
+    packed = packed_classes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = shared.tables()
+        tables, classes = shared.of_encoder(), unpacked_classes(packed)
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
             held: list[np.ndarray] = []  # ids of a row that is cut
-            for i, j, a, part, starts, sizes, places, number in _cut(data, offsets):
+            for i, j, a, part, starts, sizes, places, number in _cut(data, offsets, classes):
                 raw, lo, size = part.tobytes(), starts[places].tolist(), sizes[places].tolist()
                 lists = _ids_of_words(tables, [raw[x : x + size[k]] for k, x in enumerate(lo)])
-                flat = np.array([x for ids in lists for x in ids], np.int32)
-                count = np.array([len(ids) for ids in lists], np.int64)
+                flat = np.frombuffer(b"".join(lists), np.int32)
+                count = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
                 begin = np.cumsum(count) - count
                 width = count[number]
                 upto = np.cumsum(width)
@@ -428,7 +455,7 @@ def encode(docs: DataFrame, shared: Shared, id_col: str = "doc_id", text_col: st
 def decode(encoded: DataFrame, shared: Shared) -> DataFrame:
     """Adds ``decoded`` (binary) to the rows of :func:`encode`: the pieces of the ids end to end. No ids give no bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = shared.tables()["pieces"].__getitem__
+        pieces = shared.pieces().__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
