@@ -171,3 +171,31 @@ def op12(spark, sf):
     return byte_bpe.decode(byte_bpe.encode(docs, shared), shared).select(
         "doc_id", "n_tokens", F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op13_collocations", r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+sequences AS (SELECT lang, regexp_extract_all(piece, '[^ \x09]+') AS w FROM pieces),
+grams AS (SELECT lang, k, array_to_string(list_slice(w, i::BIGINT, (i + k - 1)::BIGINT), ' ') AS phrase FROM (
+    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sequences, range(1, 5) t(k) WHERE len(w) >= k)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+inside AS (SELECT DISTINCT c.lang, c.phrase FROM (
+    SELECT lang, a, unnest(list_transform(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2), lambda i: [i, m]))),
+        lambda x: array_to_string(list_slice(w, x[1]::BIGINT, (x[1] + x[2] - 1)::BIGINT), ' '))) AS part FROM candidates WHERE k > 2) o
+    JOIN candidates c ON c.lang = o.lang AND c.phrase = o.part AND 100 * o.a >= 80 * c.a),
+frequent AS MATERIALIZED (SELECT lang, phrase, f FROM f WHERE f >= 30),
+cuts AS MATERIALIZED (SELECT lang, phrase, a, i, array_to_string(list_slice(w, 1, i::BIGINT), ' ') AS head,
+    array_to_string(list_slice(w, (i + 1)::BIGINT, k::BIGINT), ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS i FROM candidates)),
+scored AS (SELECT c.lang, c.phrase, c.a, c.i, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a // (x.f::HUGEINT + y.f))::BIGINT AS score FROM cuts c
+    JOIN frequent x ON x.lang = c.lang AND x.phrase = c.head JOIN frequent y ON y.lang = c.lang AND y.phrase = c.tail),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+kept AS (SELECT b.* FROM best b ANTI JOIN inside d ON d.lang = b.lang AND d.phrase = b.phrase)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept k JOIN totals t ON t.lang = k.lang QUALIFY rank <= 2000""")
+def op13(spark, sf):
+    from .collocations import collocations
+
+    return collocations(documents(spark, sf))
