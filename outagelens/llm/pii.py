@@ -147,9 +147,28 @@ _PLACE = {c: (alphabet, i) for alphabet in ALPHABETS for i, c in enumerate(alpha
 _HEX = {True: "0123456789abcdef", False: "0123456789ABCDEF"}
 
 
+#: Characters that are permuted together; longer values are permuted block by block.
+BLOCK = 64
+
+
 def permute_text(f: Feistel, kind: str, text: str) -> str:
-    """Each letter or digit stays in its alphabet, other characters stay; long hexadecimal strings stay hexadecimal."""
+    """Each letter or digit stays in its alphabet, other characters stay; long hexadecimal strings stay hexadecimal.
+
+    Beyond ``BLOCK`` characters each block is permuted under the digest of all before it: values that agree up to a block
+    and differ there get different blocks there, so distinct values stay distinct, and the work is linear.
+    """
     hexadecimal = next((h for h in _HEX.values() if len(text) >= 16 and set(text) <= set(h)), None)
+    if len(text) <= BLOCK:
+        return _permute_block(f, kind, text, hexadecimal)
+    before, out = hashlib.blake2b(digest_size=16), []
+    for at in range(0, len(text), BLOCK):
+        block = text[at : at + BLOCK]
+        out.append(_permute_block(f, f"{kind}:{before.hexdigest()}", block, hexadecimal))
+        before.update(block.encode())
+    return "".join(out)
+
+
+def _permute_block(f: Feistel, kind: str, text: str, hexadecimal: str | None) -> str:
     places = [(hexadecimal, hexadecimal.index(c)) if hexadecimal else _PLACE.get(c) for c in text]
     x, n = 0, 1
     for p in places:
@@ -166,7 +185,46 @@ def permute_text(f: Feistel, kind: str, text: str) -> str:
     return "".join(reversed(out))
 
 
-def _email(f: Feistel, m: re.Match) -> str | None:
+_DOMAIN = re.compile(r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
+
+
+class _Email:
+    """What a match is to the other kinds: its span, and the parts before and after the @."""
+
+    def __init__(self, text: str, start: int, at: int, end: int):
+        self._span, self._parts = (start, end), (text[start:end], text[start:at], text[at + 1 : end])
+
+    def span(self) -> tuple[int, int]:
+        return self._span
+
+    def __getitem__(self, k: int) -> str:
+        return self._parts[k]
+
+
+def _emails(text: str) -> Iterator[_Email]:
+    """From each @ that a domain follows, back over the characters of a name to the first letter or digit among them.
+
+    Each character is passed once: a name cannot reach beyond the @ or the address before it.
+    """
+    low, at = 0, text.find("@")
+    while at >= 0:
+        domain = _DOMAIN.match(text, at + 1)
+        if domain:
+            start, begin = at, None
+            while start > low and (text[start - 1].isalnum() or text[start - 1] in "_.+%-"):
+                start -= 1
+                if text[start].isalnum():
+                    begin = start
+            if begin is not None:
+                yield _Email(text, begin, at, domain.end())
+                low = domain.end()
+                at = text.find("@", low)
+                continue
+        low = at + 1
+        at = text.find("@", low)
+
+
+def _email(f: Feistel, m: _Email) -> str | None:
     return permute_text(f, "email", m[1]) + "@" + m[2]
 
 
@@ -174,16 +232,16 @@ def _secret(f: Feistel, m: re.Match) -> str | None:
     return m[1] + permute_text(f, "secret", m[2])
 
 
-#: Kind, what a text must hold for the pattern to be tried, the pattern and the pseudonym (null: not valid, stays).
-FINDERS: tuple[tuple[str, str, re.Pattern, Callable], ...] = (
-    ("email", "@", re.compile(r"([^\W_][\w.+%-]*)@((?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"), _email),
-    ("secret", "=:", re.compile(r"(?i)(\b(?:token|secret|password|passwd|api[_-]?key)\s*[=:]\s*[\"']?)([A-Za-z0-9+/_-]{12,})"), _secret),
-    ("iban", "0123456789", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), _iban),
-    ("card", "0123456789", re.compile(r"(?<!\w)(?:\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{4,5}|\d{13,19})(?!\w)"), _card),
-    ("ssn", "-", re.compile(r"(?<![\w-])(\d{3})-(\d{2})-(\d{4})(?![\w-])"), _ssn),
-    ("ip", ".", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"), _ip),
-    ("phone", "+(", re.compile(r"(?P<code>\+\d{1,3}[ .-]?|(?<![\w+])(?=\(\d{3}\)))(?P<rest>\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)|\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w))"), _phone),
-    ("date", "-/.", re.compile(r"(?<![\w/.-])(\d{4}|\d{2})([-/.])(\d{2})\2(\d{4}|\d{2})(?![\w/-])"), _date),
+#: Kind, what a text must hold for it to be searched, the search and the pseudonym (null: not valid, stays).
+FINDERS: tuple[tuple[str, str, Callable, Callable], ...] = (
+    ("email", "@", _emails, _email),
+    ("secret", "=:", re.compile(r"(?i)(\b(?:token|secret|password|passwd|api[_-]?key)\s*[=:]\s*[\"']?)([A-Za-z0-9+/_-]{12,})").finditer, _secret),
+    ("iban", "0123456789", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b").finditer, _iban),
+    ("card", "0123456789", re.compile(r"(?<!\w)(?:\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{4,5}|\d{13,19})(?!\w)").finditer, _card),
+    ("ssn", "-", re.compile(r"(?<![\w-])(\d{3})-(\d{2})-(\d{4})(?![\w-])").finditer, _ssn),
+    ("ip", ".", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)").finditer, _ip),
+    ("phone", "+(", re.compile(r"(?P<code>\+\d{1,3}[ .-]?|(?<![\w+])(?=\(\d{3}\)))(?P<rest>\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)|\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w))").finditer, _phone),
+    ("date", "-/.", re.compile(r"(?<![\w/.-])(\d{4}|\d{2})([-/.])(\d{2})\2(\d{4}|\d{2})(?![\w/-])").finditer, _date),
 )
 
 
@@ -191,19 +249,20 @@ def pseudonymise(f: Feistel, text: str) -> tuple[str, Counter]:
     """The text with its values replaced, and how many of each kind. A replaced stretch is not looked at again."""
     spans: list[tuple[int, int, str]] = []
     found: Counter = Counter()
-    taken: set[int] = set()
-    for kind, need, pattern, make in FINDERS:
+    taken = bytearray(len(text))
+    for kind, need, search, make in FINDERS:
         if not any(c in text for c in need):
             continue
-        for m in pattern.finditer(text):
-            if taken and not taken.isdisjoint(range(*m.span())):
+        for m in search(text):
+            start, end = m.span()
+            if taken.find(1, start, end) >= 0:
                 continue
             if kind == "date" and len(m[1]) == len(m[4]):
                 continue
             new = make(f, m)
             if new is not None:
-                spans.append((*m.span(), new))
-                taken.update(range(*m.span()))
+                spans.append((start, end, new))
+                taken[start:end] = b"\1" * (end - start)
                 found[kind] += 1
     out, at = [], 0
     for start, end, new in sorted(spans):

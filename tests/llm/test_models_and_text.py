@@ -129,3 +129,30 @@ def test_bpe_over_documents(spark, odd, empty, library):
             assert (r["n_tokens"], np.frombuffer(r["ids"], "<u4").tolist()) == (len(want), want)
             assert r["decoded"] == library.decode(want, skip_special_tokens=False)
     assert bpe.encode(empty, bpe.load(empty, PATH)).count() == 0
+
+
+def test_addresses_are_found_like_by_a_plain_pattern():
+    plain = re.compile(r"([^\W_][\w.+%-]*)@((?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})")
+    rng = np.random.default_rng(2)
+    for _ in range(5000):
+        text = "".join(rng.choice(list("ab_.+%-@@. é1"), size=rng.integers(0, 25)))
+        want = [(m.span(), m[0], m[1], m[2]) for m in plain.finditer(text)]
+        assert [(m.span(), m[0], m[1], m[2]) for m in pii._emails(text)] == want
+        new, found = pii.pseudonymise(pii.Feistel(b"k"), text)
+        assert found["email"] == len(want) and len(new) == len(text)
+        at = 0
+        for (start, end), _, name, domain in want:  # what is not an address's name stays
+            assert new[at:start] == text[at:start] and new[start + len(name):end] == "@" + domain
+            at = end
+
+
+def test_long_values_take_linear_time_and_stay_distinct():
+    import time
+
+    f, began = pii.Feistel(b"k"), time.perf_counter()
+    for text in ("a" * (1 << 20) + " x@y", "x@" + "a" * (1 << 20), "a.a-" * (1 << 18) + "@", "b" * 200_000 + "@c.org"):
+        pii.pseudonymise(f, text)
+    assert time.perf_counter() - began < 10
+    one, two = "q" * 200, "q" * 199 + "r"
+    new = [pii.permute_text(f, "email", x) for x in (one, one, two)]
+    assert new[0] == new[1] != new[2] and all(len(x) == 200 and x.isalpha() and x.islower() for x in new)
