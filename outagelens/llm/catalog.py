@@ -33,10 +33,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""")
 def op2(spark, sf):
     from .exact_dedup import duplicate_groups
 
-    docs = documents(spark, sf)
-    digests = docs.select(F.col("doc_id").alias("id"), F.sha2(text_of("text"), 256).alias("text_sha256"))
-    out = duplicate_groups(docs)
-    return out.join(digests, out.doc_id.eqNullSafe(digests.id)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return duplicate_groups(documents(spark, sf), digests=True)
 
 
 @query("op3_quality_rules")

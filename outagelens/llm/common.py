@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -57,13 +58,29 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterato
             yield batch.slice(at, rows)
 
 
-def prune_large_joins(spark: SparkSession) -> None:
-    """Let Spark put its runtime Bloom filter (of bounded size) before the shuffle of a joined table of any size.
+@contextmanager
+def session_options(spark: SparkSession, options: dict[str, str]) -> Iterator[None]:
+    """SQL options that hold for the actions inside; the session has its own again afterwards."""
+    before = {k: spark.conf.get(k, None) for k in options}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def large_joins_pruned(spark: SparkSession):
+    """Inside, Spark puts its runtime Bloom filter (of bounded size) before the shuffle of a joined table of any size.
 
     It applies where the other side carries a filter; results don't depend on it.
     """
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1g")
+    return session_options(spark, {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+                                   "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g"})
 
 
 def literal_table(spark: SparkSession, schema: str, rows: list[dict]) -> DataFrame:

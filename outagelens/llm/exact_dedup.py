@@ -17,39 +17,31 @@ PREFIX_CHARS = 256
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept.
+                     prefix_chars: int = PREFIX_CHARS, digests: bool = False) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept; with ``digests`` also text_sha256 (lowercase hex).
 
-    Equal texts (null counts as empty) form a group; its largest id stays. Rows that repeat an id together
-    with its text are counted in group_size and share one verdict. A null id never beats another id; where
-    all ids of a group are null, keep_id is null and the rows are kept. An empty table gives an empty result.
+    Equal texts (null counts as empty) form a group; its largest id stays. Each input row is judged by its own text: ids may
+    be null or repeat. Rows that repeat an id together with its text are counted in group_size and share one verdict. A null id never beats
+    another id; where all ids of a group are null, keep_id is null and the rows are kept. An empty table gives an empty result.
     """
     text = text_of(text_col)
-    light = staged(docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).alias("len"),
-                               F.xxhash64(F.substring(text, 1, prefix_chars)).alias("prefix")), "exact_light")
-    by_length = light.groupBy("len").count().filter("count > 1").select("len")
-    level2 = light.join(by_length, "len", "left_semi")
-    by_prefix = level2.groupBy("len", "prefix").count().filter("count > 1").select("len", "prefix")
-    level3 = level2.join(by_prefix, ["len", "prefix"], "left_semi").select("doc_id").distinct()
-
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.octet_length(text).alias("len"),
+                       F.xxhash64(F.substring(text, 1, prefix_chars)).alias("prefix"))
+    # both light levels on counts: one row per length and prefix, not per document
+    prefixes = staged(rows.groupBy("len", "prefix").agg(F.count(F.lit(1)).alias("n")), "exact_prefixes")
+    lengths = prefixes.groupBy("len").agg(F.sum("n").alias("held")).filter("held > 1").select("len")
+    several = staged(prefixes.filter("n > 1").join(lengths, "len", "left_semi").select("len", "prefix"), "exact_suspects")
+
+    sha = F.sha2("text", 256).alias("sha")
+    alone = rows.join(several, ["len", "prefix"], "left_anti")
+    alone = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), *([sha] if digests else []))
     # whole texts of the survivors only
-    src, ids = docs.alias("d"), level3.alias("s")
-    full = src.join(ids, F.col(f"d.{id_col}").eqNullSafe(F.col("s.doc_id")), "left_semi").select(
-        F.col(id_col).alias("doc_id"), F.octet_length(text).alias("len"),
-        F.xxhash64(F.substring(text, 1, prefix_chars)).alias("prefix"), F.sha2(text, 256).alias("sha"))
-    full = staged(full, "exact_full")
-    groups = (full.groupBy("len", "sha").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-              .filter("group_size > 1"))
-    members = full.join(groups, ["len", "sha"]).select("doc_id", "len", "prefix", "keep_id", "group_size").distinct()
-
-    l, m = light.alias("l"), members.alias("m")
-    same = (F.col("l.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("l.len") == F.col("m.len"))
-            & (F.col("l.prefix") == F.col("m.prefix")))
-    keep_id = F.when(F.col("m.group_size").isNull(), F.col("l.doc_id")).otherwise(F.col("m.keep_id"))
-    return l.join(m, same, "left").select(
-        F.col("l.doc_id").alias("doc_id"), keep_id.alias("keep_id"),
-        F.coalesce(F.col("m.group_size"), F.lit(1)).cast("long").alias("group_size"),
-        F.col("l.doc_id").eqNullSafe(keep_id).alias("kept"))
+    full = staged(rows.join(several, ["len", "prefix"], "left_semi").select("doc_id", "len", sha), "exact_full")
+    groups = full.groupBy("len", "sha").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    members = full.join(groups, ["len", "sha"]).select("doc_id", "keep_id", "group_size", *(["sha"] if digests else []))
+    return alone.union(members).select(
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        *([F.col("sha").alias("text_sha256")] if digests else []))
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

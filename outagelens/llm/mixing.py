@@ -94,20 +94,24 @@ def schedule(plan: DataFrame, block: int = BLOCK, cells: int = CELLS) -> DataFra
 
 def shuffled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
              seed: int = 11, cells: int = CELLS, extra: list[Column] | None = None) -> DataFrame:
-    """doc_id, source, size and start: the words before the document in its source's shuffled order.
+    """doc_id, source, size, row and start: the words before the document in its source's shuffled order.
 
-    The order is a seeded hash of id and text, so reruns and other partitionings agree.
+    The order is a seeded hash of id and text (row), so reruns and other partitionings agree.
     """
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"),
-                       F.xxhash64(F.lit(seed), F.col(id_col), text).alias("h"), *(extra or []))
-    rows = staged(rows.withColumn("cell", F.pmod("h", F.lit(cells))), "mix_rows")
-    return offsets_in_order(rows, ["source"], "cell", ["h", "doc_id", "size"], "size", "start").drop("cell", "h")
+                       _row_key(id_col, text_col, seed).alias("row"), *(extra or []))
+    rows = staged(rows.withColumn("cell", F.pmod("row", F.lit(cells))), "mix_rows")
+    return offsets_in_order(rows, ["source"], "cell", ["row", "doc_id", "size"], "size", "start").drop("cell")
+
+
+def _row_key(id_col: str, text_col: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(id_col), text_of(text_col))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK,
         weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 11) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, taken.
+    """One row per input row: doc_id, source, size, source_size, target, taken, row (key of id and text).
 
     taken counts the words of the document that the mix takes, repeats counted; it is at most ``most`` times its
     size rounded up to whole passes. Null texts have size 0 and take 0; a null source is a source of its own, last in order. Rows equal in every
@@ -141,15 +145,31 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
            .select("a.doc_id", "a.source", "a.start", (F.col("times") * (F.col("hi") - F.col("lo")) + part).alias("words"))
            .groupBy("doc_id", "source", "start").agg(F.sum("words").cast("long").alias("taken")))
     out = rows.alias("r").join(got.alias("g"), _same("r", "g", "doc_id", "source", "start") + [F.col("r.size") > 0], "left")
-    out = out.select("r.doc_id", "r.source", "r.size", F.coalesce("g.taken", F.lit(0)).cast("long").alias("taken"))
+    out = out.select("r.doc_id", "r.source", "r.size", "r.row", F.coalesce("g.taken", F.lit(0)).cast("long").alias("taken"))
     return (out.alias("o").join(plan.alias("p"), _same("o", "p", "source"))
-            .select("o.doc_id", "o.source", "o.size", "p.source_size", "p.target", "o.taken"))
+            .select("o.doc_id", "o.source", "o.size", "p.source_size", "p.target", "o.taken", "o.row"))
 
 
-def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mixed documents (all columns of ``docs``): each as often as the mix takes it, taken / size rounded to whole copies."""
-    copies = F.round(F.col("taken") / F.col("size")).cast("int")
-    mixed = mix(docs, id_col, text_col, source_col, **options).filter("taken > 0")
-    counted = mixed.groupBy(F.col("doc_id").alias("__id")).agg(F.max(copies).alias("__copies")).filter("__copies > 0")
-    joined = docs.join(staged(counted, "mix_copies"), docs[id_col].eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11, **options) -> DataFrame:
+    """The mixed documents (all columns of ``docs``): each as often as the mix takes it, taken / size rounded to whole copies.
+
+    Rows are told apart by id, text and source, null or repeated ids included; rows that agree in these are interchangeable and share
+    the copies of all of them. Null texts have no words and are not taken. An empty table gives an empty result.
+    """
+    copies = F.round(F.col("taken") / F.col("size")).cast("long")
+    mixed = mix(docs, id_col, text_col, source_col, seed=seed, **options).filter("size > 0")
+    planned = mixed.groupBy(F.col("row").alias("__row"), F.col("source").alias("__source")).agg(
+        F.sum(copies).alias("__copies"), F.count(F.lit(1)).alias("__rows")).filter("__copies > 0")
+    joined = docs.withColumn("__key", _row_key(id_col, text_col, seed)).join(
+        staged(planned, "mix_copies"), (F.col("__key") == F.col("__row")) & docs[source_col].cast("string").eqNullSafe(F.col("__source")))
+    alone = joined.filter("__rows = 1").select(*docs.columns, F.col("__copies").alias("__times"))
+
+    # rows that repeat: the copies dealt over them, in the order in which they are read
+    several = joined.filter("__rows > 1")
+    at = F.monotonically_increasing_id()
+    several = staged(several.withColumns({"__at": at, "__cell": F.shiftright(at, 33), "__one": F.lit(1).cast("long")}), "mix_repeated")
+    several = offsets_in_order(several, ["__key", "__source"], "__cell", ["__at"], "__one", "__rank")
+    share = F.expr("__copies div __rows") + (F.col("__rank") < F.col("__copies") % F.col("__rows")).cast("long")
+    several = several.select(*docs.columns, share.alias("__times"))
+    return (alone.union(several).filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
+            .select(*docs.columns))

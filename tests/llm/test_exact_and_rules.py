@@ -1,5 +1,6 @@
 """Exact dedup, quality rules, URL filter."""
 
+import hashlib
 import re
 
 from pyspark.sql import functions as F
@@ -106,3 +107,20 @@ def test_urls(spark):
     by = {urls[r["page_id"]]: r["verdict"] for r in got}
     assert by[urls[-2]] == "block" and by[urls[-1]] == "allow" and by[None] == "allow"
     assert url_filter.judge(pages.limit(0), model).count() == 0
+
+
+def test_exact_groups_with_null_and_repeated_ids(frame):
+    """Equal length and prefix, equal ids, other texts: each row is judged by its own text."""
+    long = "x" * 300
+    rows = [(1, long + "a", "", ""), (1, long + "b", "", ""), (1, long + "a", "", ""), (None, long + "b", "", ""), (None, long + "c", "", ""),
+            (None, long + "d", "", ""), (2, long + "d", "", ""), (3, "", "", ""), (None, None, "", ""), (4, "same", "", ""), (4, "same", "", "")]
+    groups = {}
+    for i, t, *_ in rows:
+        groups.setdefault(t or "", []).append(i)
+    want = []
+    for i, t, *_ in rows:
+        members = groups[t or ""]
+        keep = max((x for x in members if x is not None), default=None)
+        want.append((i, keep, len(members), i == keep, hashlib.sha256((t or "").encode()).hexdigest()))
+    got = [tuple(r) for r in exact_dedup.duplicate_groups(frame(rows), digests=True).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -137,3 +137,16 @@ def test_take_repeats_and_drops(frame):
 
 def test_mixing_empty(empty):
     assert mixing.mix(empty).count() == 0 and mixing.take(empty).count() == 0
+
+
+def test_take_with_null_and_repeated_ids(frame):
+    """The copies of each text are those the mix plans for its rows, whatever their ids."""
+    rows = [(1, prose(i, 40), "en", "a") for i in range(20)] + [(None, prose(50 + i % 3, 30), "en", None) for i in range(9)]
+    rows += [(7, prose(99, 25), "en", "b")] * 8 + [(7, prose(99, 25), "en", "a")] * 3
+    docs = frame(rows)
+    planned = Counter()
+    for r in mixing.mix(docs).join(mixing.shuffled(docs, extra=[F.col("text").alias("t")]).select("row", "source", "t").distinct().withColumnRenamed("source", "s"),
+                                   "row").filter("source <=> s").collect():
+        planned[r["t"], r["source"]] += int(r["taken"] / r["size"] + 0.5)
+    taken = Counter((r["text"], r["source"]) for r in mixing.take(docs).collect())
+    assert taken == +planned and sum(taken.values()) > 40
