@@ -31,12 +31,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import recent_letters
-from .common import staged, text_of
+from .common import small_arrow_batches, staged, text_of
 from .shingles import mix, text_buffer
 
-#: Words of the dictionary, and the bytes of its longest one; with at most four bytes per id it holds 84 MB at the very most.
+#: Words of the dictionary, and the bytes of its longest one: with keys and at most 16 ids a word it holds 30 MB at the very most.
 DICTIONARY_WORDS = 1 << 18
-DICTIONARY_BYTES = 64
+SHORT = 16
 #: Buckets of the literal rank map.
 BUCKETS = 1 << 15
 #: Bytes of text whose arrays are held at a time; a longer text is cut before white space.
@@ -194,19 +194,20 @@ def segments(data: np.ndarray, offsets: np.ndarray, most: int = SEGMENT) -> Iter
         i = j
 
 
-def distinct(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of one occurrence of each distinct word, number of each word's distinct word)."""
+def distinct(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Place of one occurrence of each distinct word, number of each word's distinct word, and the keys of the distinct words."""
     if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return none, none, tuple(np.zeros(0, _U64) for _ in range(4))
     padded = np.r_[data, np.zeros(24, np.uint8)]
     eight = np.ndarray(len(padded) - 7, "<u8", padded.data, strides=(1,))
     low = eight[starts] & _MASKS[np.minimum(sizes, 8)]
     high = eight[starts + 8] & _MASKS[np.clip(sizes - 8, 0, 8)]
     size = sizes.astype(_U64)
     seen: dict[bytes, int] = {}
-    for i in np.flatnonzero(sizes > 16).tolist():  # longer words by their whole bytes
+    for i in np.flatnonzero(sizes > SHORT).tolist():  # longer words by their whole bytes
         low[i] = seen.setdefault(data[starts[i] : starts[i] + sizes[i]].tobytes(), len(seen))
-        high[i], size[i] = 0, 17
+        high[i], size[i] = 0, SHORT + 1
     key = mix(low * _U64(0x9E3779B97F4A7C15) + mix(high + size * _U64(0xD1342543DE82EF95)))
     order = np.argsort(key, kind="stable")
     new = np.r_[True, key[order][1:] != key[order][:-1]]
@@ -216,17 +217,42 @@ def distinct(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[n
         new = np.r_[True, np.any([c[order][1:] != c[order][:-1] for c in (low, high, size)], axis=0)]
     number = np.empty(len(starts), np.int64)
     number[order] = np.cumsum(new) - 1
-    return order[new], number
+    at = order[new]
+    return at, number, (key[at], low[at], high[at], size[at])
+
+
+class Dictionary:
+    """Short words and their ids as arrays: a few MB, and no object for a word."""
+
+    def __init__(self, words: list[bytes], ids: list[list[int]]):
+        data = np.frombuffer(b"".join(words), np.uint8)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        at, _, keys = distinct(data, np.cumsum(sizes) - sizes, sizes)
+        order = np.argsort(keys[0], kind="stable")
+        self.keys = tuple(k[order] for k in keys)
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        begin = np.cumsum(count) - count
+        self.count, self.begin = count[at][order], begin[at][order]
+        self.flat = np.array([x for one in ids for x in one], np.int32)
+
+    def find(self, keys: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Places of the words with these keys, -1 where there is none."""
+        if not len(self.count):
+            return np.full(len(keys[0]), -1)
+        at = np.minimum(np.searchsorted(self.keys[0], keys[0]), len(self.count) - 1)
+        same = keys[3] <= _U64(SHORT)
+        for mine, theirs in zip(self.keys, keys):
+            same &= mine[at] == theirs
+        return np.where(same, at, -1)
 
 
 def _cut(data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
-    """Of each segment: its rows, bytes, word starts, word sizes, one place of each distinct word, and each word's number."""
+    """Of each segment: its rows, bytes, word starts, word sizes, one place of each distinct word, each word's number, and the keys."""
     for i, j, a, b in segments(data, offsets):
         part = data[a:b]
         starts = word_starts(part, np.clip(offsets[i:j] - a, 0, b - a), table)
         sizes = np.diff(np.r_[starts, b - a])
-        places, number = distinct(part, starts, sizes)
-        yield i, j, a, part, starts, sizes, places, number
+        yield i, j, a, part, starts, sizes, *distinct(part, starts, sizes)
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -241,7 +267,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for _, _, _, part, starts, sizes, places, number in _cut(*text_buffer(batch.column(0)), table):
+            for _, _, _, part, starts, sizes, places, number, _ in _cut(*text_buffer(batch.column(0)), table):
                 times = np.bincount(number, minlength=len(places)).tolist()
                 raw, lo, size = part.tobytes(), starts[places].tolist(), sizes[places].tolist()
                 for k, at in enumerate(lo):
@@ -358,7 +384,7 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Shared:
     """Ranks and dictionary, broadcast: both of bounded size. A worker unpacks what it needs once."""
 
-    def __init__(self, spark: SparkSession, ranks: dict[bytes, int], words: dict[bytes, bytes]):
+    def __init__(self, spark: SparkSession, ranks: dict[bytes, int], words: Dictionary):
         self.key = uuid.uuid4().hex
         self.ranks = spark.sparkContext.broadcast(ranks)
         self.words = spark.sparkContext.broadcast(words)
@@ -387,27 +413,27 @@ def load(docs: DataFrame, path: str, text_col: str = "text", words: int = DICTIO
     """Reads the rank file at ``path`` and folds the merges over the most frequent words of the texts (at most ``words``, ties to the
     smaller word). The dictionary only saves work: ids don't depend on it."""
     spark, ranks = docs.sparkSession, read_ranks(path)
-    most = word_counts(docs, text_col).filter(F.octet_length("word") <= DICTIONARY_BYTES).orderBy(F.desc("n"), "word").limit(words)
-    most = staged(most.select("word"), "byte_bpe_words")
+    most = word_counts(docs, text_col).filter(F.octet_length("word") <= SHORT).orderBy(F.desc("n"), "word").limit(words)
+    with small_arrow_batches(spark):
+        most = staged(most.select("word"), "byte_bpe_words")
     # a single partition came out of the limit; the fold is the work
     spread = most.repartition(spark.sparkContext.defaultParallelism * 4, "word")
     known = spread.select("word", folded(F.col("word"), rank_buckets(spark, ranks)).alias("ids")).toArrow()
-    return Shared(spark, ranks, dict(zip(known.column("word").to_pylist(), map(_packed, known.column("ids").to_pylist()))))
+    return Shared(spark, ranks, Dictionary(known.column("word").to_pylist(), known.column("ids").to_pylist()))
 
 
 # ---- texts
 
 def _ids_of_words(tables: dict, words: list[bytes]) -> list[bytes]:
-    known, newer, older, ranks = tables["words"].get, tables["newer"], tables["older"], tables["ranks"]
+    """Ids (as bytes) of words outside the dictionary."""
+    newer, older, ranks = tables["newer"], tables["older"], tables["ranks"]
     out = []
     for word in words:
-        ids = known(word)
+        ids = newer.get(word)
         if ids is None:
-            ids = newer.get(word)
-            if ids is None:
-                ids = older.get(word) or _packed(merged(word, ranks))
-                if len(word) <= DICTIONARY_BYTES:
-                    newer[word] = ids
+            ids = older.get(word) or _packed(merged(word, ranks))
+            if len(word) <= 4 * SHORT:
+                newer[word] = ids
         out.append(ids)
     if len(newer) > REMEMBERED:
         tables["older"], tables["newer"] = newer, {}
@@ -425,15 +451,20 @@ def encode(docs: DataFrame, shared: Shared, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, classes = shared.of_encoder(), unpacked_classes(packed)
+        dictionary = tables["words"]
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
             held: list[np.ndarray] = []  # ids of a row that is cut
-            for i, j, a, part, starts, sizes, places, number in _cut(data, offsets, classes):
-                raw, lo, size = part.tobytes(), starts[places].tolist(), sizes[places].tolist()
-                lists = _ids_of_words(tables, [raw[x : x + size[k]] for k, x in enumerate(lo)])
-                flat = np.frombuffer(b"".join(lists), np.int32)
-                count = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
-                begin = np.cumsum(count) - count
+            for i, j, a, part, starts, sizes, places, number, keys in _cut(data, offsets, classes):
+                known = dictionary.find(keys)
+                rest = np.flatnonzero(known < 0)
+                raw = part.tobytes()
+                lists = _ids_of_words(tables, [raw[x : x + n] for x, n in zip(starts[places[rest]].tolist(), sizes[places[rest]].tolist())])
+                # the ids of the dictionary, then those of the other words
+                flat = np.concatenate([dictionary.flat, np.frombuffer(b"".join(lists), np.int32)])
+                count, begin = (x[known] if len(x) else np.zeros(len(known), np.int64) for x in (dictionary.count, dictionary.begin))
+                count[rest] = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+                begin[rest] = len(dictionary.flat) + np.cumsum(count[rest]) - count[rest]
                 width = count[number]
                 upto = np.cumsum(width)
                 ids = flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(begin[number] - upto + width, width)]

@@ -74,6 +74,11 @@ def session_options(spark: SparkSession, options: dict[str, str]) -> Iterator[No
                 spark.conf.set(k, v)
 
 
+def small_arrow_batches(spark: SparkSession, rows: int = 1000):
+    """Inside, Spark hands texts to Python in batches of few rows: the buffers of both sides stay small."""
+    return session_options(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)})
+
+
 def large_joins_pruned(spark: SparkSession):
     """Inside, Spark puts its runtime Bloom filter (of bounded size) before the shuffle of a joined table of any size.
 

@@ -25,7 +25,7 @@ def words(texts):
     """What the operator cuts the texts into, per text."""
     data, offsets = text_buffer(pa.array(texts, pa.string()))
     out = [[] for _ in texts]
-    for i, j, a, part, starts, sizes, places, number in byte_bpe._cut(data, offsets, byte_bpe.code_point_classes()):
+    for i, j, a, part, starts, sizes, places, number, _ in byte_bpe._cut(data, offsets, byte_bpe.code_point_classes()):
         for s, n, k in zip(starts.tolist(), sizes.tolist(), number.tolist()):
             row = i + int(np.searchsorted(offsets[i + 1:j + 1], a + s, side="right"))
             out[row].append(part[s:s + n].tobytes().decode())
