@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, text_of
+from .common import small_arrow_batches, staged, text_of
 from .shingles import mix, powers, text_buffer
 
 #: A candidate's least count, words of the longest one, and percent of its count that a longer one must have to take its place.
@@ -34,7 +34,7 @@ NO_LANG = "und"
 #: Bits of the bitmap of an order's frequent phrases (16 MB, whatever the corpus), and of one of its pieces.
 BITS, PIECE = 1 << 27, 1 << 15
 #: Bytes of text whose arrays are held at a time, and phrases that a task counts before it hands them on.
-SEGMENT, COUNTED = 2 << 20, 400_000
+SEGMENT, COUNTED = 1 << 19, 100_000
 
 _U64 = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(13))
@@ -206,7 +206,7 @@ def bitmap(phrases: DataFrame, k: int) -> bytes:
 
     marked = phrases.select("lang", "phrase").mapInArrow(places, "piece long, place long").distinct()
     out = bytearray(BITS // 8)
-    for row in marked.groupBy("piece").applyInArrow(piece, "piece long, bits binary").toLocalIterator():
+    for row in marked.groupBy("piece").applyInArrow(piece, "piece long, bits binary").collect():
         out[row["piece"] * PIECE // 8 : (row["piece"] + 1) * PIECE // 8] = row["bits"]
     return bytes(out)
 
@@ -215,14 +215,15 @@ def count_streams(docs: DataFrame, least: int = LEAST, text_col: str = "text", l
     """(lang, phrase, f, k) of all phrases of up to ``LONGEST`` words that occur ``least`` times, and (lang, n): all words of a language."""
     spark: SparkSession = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), text_of(text_col).alias("text"))
-    words = staged(phrase_counts(texts, 1), "colloc_words")
-    totals = words.groupBy("lang").agg(F.sum("f").cast("long").alias("n"))
-    order = words.filter(F.col("f") >= least)
-    streams = order.withColumn("k", F.lit(1))
-    for k in range(2, LONGEST + 1):
-        shared = spark.sparkContext.broadcast(bitmap(order, k - 1))
-        order = staged(phrase_counts(texts, k, shared).filter(F.col("f") >= least), f"colloc_{k}")
-        streams = streams.union(order.withColumn("k", F.lit(k)))
+    with small_arrow_batches(spark):
+        words = staged(phrase_counts(texts, 1), "colloc_words")
+        totals = words.groupBy("lang").agg(F.sum("f").cast("long").alias("n"))
+        order = words.filter(F.col("f") >= least)
+        streams = order.withColumn("k", F.lit(1))
+        for k in range(2, LONGEST + 1):
+            shared = spark.sparkContext.broadcast(bitmap(order, k - 1))
+            order = staged(phrase_counts(texts, k, shared).filter(F.col("f") >= least), f"colloc_{k}")
+            streams = streams.union(order.withColumn("k", F.lit(k)))
     return streams, totals
 
 
