@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged, text_of
+from .common import small_arrow_batches, small_batches, staged, text_of
 from .shingles import _U64, mix, powers, text_buffer
 
 LENGTH = 400
@@ -153,7 +153,8 @@ def _place(rows: DataFrame, found: DataFrame, length: int) -> DataFrame:
     per_doc = found.groupBy("key").agg(
         F.collect_list(F.when(F.col("accepted"), F.struct("p", "r"))).alias("accepted"),
         F.collect_list(F.when(F.col("open") | F.col("witness"), F.struct("p", "r", "d", "b", "witness"))).alias("todo"))
-    joined = rows.alias("t").join(per_doc.alias("f"), F.col("t.key") == F.col("f.key"), "left").select(
+    # texts stream past the runs of their partition: they are not sorted
+    joined = rows.alias("t").join(per_doc.hint("shuffle_hash").alias("f"), F.col("t.key") == F.col("f.key"), "left").select(
         "t.doc_id", "t.key", "t.text", "f.accepted", "f.todo")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,6 +280,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     """
     if not WIDTHS[0] < gram + WIDTHS[0] <= length - WIDTHS[0]:
         raise ValueError("the string must be longer than its anchor and two cells")
+    with small_arrow_batches(docs.sparkSession, 256):
+        return _repeated_spans(docs, length, gram, id_col, text_col)
+
+
+def _repeated_spans(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str) -> DataFrame:
     text = text_of(text_col)
     # rows that agree in id and text have the same spans and may share a key
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("key"))
@@ -286,8 +292,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     found = staged(_settle(runs, ["b"], ["b", "r", "d", "u"], F.lit(True)), "runs_settled")
     placed = staged(_place(rows, found, length), "placed")
 
+    # rows that agree in id and text share a key: one of them stands for all (few rows, so the others move no text)
     todo = placed.filter("text IS NOT NULL")
-    contexts = staged(_contexts(todo, length).dropDuplicates(["key", "p"]), "contexts")
+    shared = staged(todo.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared_keys")
+    if not shared.isEmpty():
+        todo = todo.join(shared, "key", "left_anti").unionByName(todo.join(shared, "key", "left_semi").dropDuplicates(["key"]))
+    contexts = staged(_contexts(todo, length), "contexts")
     live, covered = contexts.withColumn("parents", F.lit(None).cast("array<struct<cell: int, witness: boolean>>")), None
     for width in WIDTHS:
         cells = staged(_cells(live, width, length), f"cells_{width}")
@@ -302,7 +312,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
         "h.key", (F.col("h.p") + F.greatest(F.lit(0), F.col("d") - ((F.col("cell") + 1) * F.col("width") - 1))).alias("p"),
         (F.col("h.p") + F.least(F.col("r") - 1, F.col("d") - F.col("cell") * F.col("width"))).alias("last"))
     ranges = ranges.select("key", "p", (F.col("last") - F.col("p") + 1).alias("r")).groupBy("key").agg(F.collect_list(F.struct("p", "r")).alias("more"))
-    rest = placed.filter("kept_sha256 IS NULL").alias("t").join(ranges.alias("f"), F.col("t.key") == F.col("f.key"), "left").select(
+    rest = placed.filter("kept_sha256 IS NULL").alias("t").join(ranges.hint("shuffle_hash").alias("f"), F.col("t.key") == F.col("f.key"), "left").select(
         "t.doc_id", "t.text", "t.spans", "f.more")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +330,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
                                              ["doc_id", "n_bytes", "spans", "kept_sha256"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    finished = rest.mapInArrow(finish, f"doc_id {kind}, {_RESULT}")
+    finished = staged(rest.mapInArrow(finish, f"doc_id {kind}, {_RESULT}"), "finished")
     return placed.filter("kept_sha256 IS NOT NULL").select("doc_id", "n_bytes", "spans", "kept_sha256").union(finished)
 
 
