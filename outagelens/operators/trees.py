@@ -142,27 +142,21 @@ def routed(codes: np.ndarray, tree: tuple[np.ndarray, ...]) -> np.ndarray:
 # ---- one step
 
 def best_splits(spec: Spec, hist: np.ndarray) -> list[Split | None]:
-    """The best split of each node (nodes x features x bins x 3); ties to the first feature and code."""
-    below = np.cumsum(hist, axis=2)[:, :, :-1]
-    total = hist.sum(axis=2)[:, :, None]  # per feature: a column that a node did not draw is empty and splits nothing
-    above = total - below
-    l2 = spec.l2 * _ONE
-
-    def score(x):
-        weight = x[..., 1] + l2
-        return np.divide(x[..., 0] ** 2, weight, out=np.zeros(weight.shape), where=weight > 0)
-
-    gain = score(below) + score(above) - score(total)
-    least = spec.min_weight * _ONE
-    ok = (below[..., 2] >= spec.min_leaf) & (above[..., 2] >= spec.min_leaf) & (total[..., 2] >= spec.min_split)
-    ok &= (below[..., 1] >= least) & (above[..., 1] >= least)
-    gain = np.where(ok, gain, 0.0) / _ONE
-    flat = gain.reshape(len(gain), -1)
+    """The best split of each node (3 x nodes x features x bins); ties to the first feature and code."""
+    below = np.cumsum(hist, axis=3)
+    g, h, n = below[..., :-1]
+    all_g, all_h, all_n = below[..., -1:]  # per feature: a column that a node did not draw is empty and splits nothing
+    rest_g, rest_h, rest_n = all_g - g, all_h - h, all_n - n
+    l2, least = spec.l2 * _ONE, spec.min_weight * _ONE
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = g * g / (h + l2) + rest_g * rest_g / (rest_h + l2) - all_g * all_g / (all_h + l2)
+    ok = (n >= max(1, spec.min_leaf)) & (rest_n >= max(1, spec.min_leaf)) & (all_n >= spec.min_split) & (h >= least) & (rest_h >= least) & (h > 0) & (rest_h > 0)
+    flat = np.where(ok, gain, 0.0).reshape(gain.shape[0], -1) / _ONE
     at = flat.argmax(axis=1)
     out: list[Split | None] = []
     for k, (where, best) in enumerate(zip(at.tolist(), flat[np.arange(len(at)), at].tolist())):
-        f, c = divmod(where, hist.shape[2] - 1)
-        out.append(Split(best, f, c, tuple(below[k, f, c].tolist())) if best > 1e-9 else None)
+        f, c = divmod(where, hist.shape[3] - 1)
+        out.append(Split(best, f, c, (float(g[k, f, c]), float(h[k, f, c]), float(n[k, f, c]))) if best > 1e-9 else None)
     return out
 
 
@@ -186,8 +180,14 @@ def _partial(block: dict, asked: list, n_features: int) -> Iterator[tuple[tuple,
             columns = np.broadcast_to(features_of_tree(spec, tree, n_features), (len(slot), max(1, int(spec.columns * n_features))))
         value = np.stack([np.rint(g * _ONE), np.rint(h * _ONE), np.ones(len(g))])
         cell = ((slot[:, None] * n_features + columns) * BINS + np.take_along_axis(codes, columns, axis=1)).reshape(-1)
-        held, place = np.unique(cell, return_inverse=True)
-        sums = np.stack([np.bincount(place, np.repeat(v, columns.shape[1]), len(held)) for v in value])
+        size = len(nodes) * n_features * BINS
+        if size <= 4 * len(cell):
+            sums = np.stack([np.bincount(cell, np.repeat(v, columns.shape[1]), size) for v in value])
+            held = np.flatnonzero(sums[2])
+            sums = sums[:, held]
+        else:
+            held, place = np.unique(cell, return_inverse=True)
+            sums = np.stack([np.bincount(place, np.repeat(v, columns.shape[1]), len(held)) for v in value])
         share = held // (n_features * BINS) // 32
         for s in np.unique(share).tolist():
             mine = share == s
@@ -201,11 +201,11 @@ def _added(a: tuple, b: tuple) -> tuple:
 
 
 def _dense(part: tuple, share: int, nodes: int, n_features: int) -> np.ndarray:
-    """The histograms of a share's nodes (nodes x features x bins x 3)."""
+    """The histograms of a share's nodes (3 x nodes x features x bins)."""
     cells, sums = part
-    out = np.zeros((nodes * n_features * BINS, 3))
-    out[cells - share * 32 * n_features * BINS] = sums.T
-    return out.reshape(nodes, n_features, BINS, 3)
+    out = np.zeros((3, nodes * n_features * BINS))
+    out[:, cells - share * 32 * n_features * BINS] = sums
+    return out.reshape(3, nodes, n_features, BINS)
 
 
 # ---- models
@@ -370,7 +370,10 @@ def fit_many(df: DataFrame, features: Sequence[str], specs: Mapping[str, Spec],
             updates = [(names.index(n), t.arrays(), np.array([specs[n].rate * g / (h + specs[n].l2 * _ONE) for g, h, _ in t.sums])) for n, t in grown.items()]
             for n, t in grown.items():
                 models[n].append(t)
-            state = _moved(state, lambda block, updates=updates: _advanced(block, updates), write=r % KEEP_EVERY == KEEP_EVERY - 1)
+            before, state = state, _moved(state, lambda block, updates=updates: _advanced(block, updates), write=r % KEEP_EVERY == KEEP_EVERY - 1)
+            if r:
+                older.unpersist()  # the state before is there since this round's first step
+            older = before
     state.unpersist()
     df.unpersist()
     return {n: TreeModel.made(specs[n], features, bounds, start[n], models[n]) for n in names}
@@ -384,22 +387,35 @@ def _advanced(block: dict, updates: list) -> dict:
 
 
 def _moved(state, step, write: bool = False):
-    """The next state; the one before is released once this one is there."""
+    """The next state, computed by the next step that reads it."""
     after = state.map(step).persist(StorageLevel.MEMORY_AND_DISK)
     if write:
         after.checkpoint()
-    after.count()
-    state.unpersist()
     return after
 
 
-def _ask(state, asked: list, n_features: int, finish=None) -> dict:
-    """Sums by (model, tree, share) of the asked nodes."""
+def _of_task(blocks: Iterator[dict], asked: list, n_features: int) -> Iterator[dict]:
+    total: dict = {}
+    for block in blocks:
+        for key, part in _partial(block, asked, n_features):
+            total[key] = _added(total[key], part) if key in total else part
+    yield total
+
+
+def _merged(a: dict, b: dict) -> dict:
+    return {k: _added(a[k], b[k]) if k in a and k in b else a.get(k) or b[k] for k in {**a, **b}}
+
+
+def _sums(state, asked: list, n_features: int) -> dict:
+    """Sums by (model, tree, share) of the asked nodes: added up in a tree of tasks, of a size that nodes, features and bins bound."""
+    return state.mapPartitions(lambda blocks: _of_task(blocks, asked, n_features)).treeAggregate({}, _merged, _merged)
+
+
+def _found(state, asked: list, n_features: int, finish) -> dict:
+    """What ``finish`` makes of the sums of each (model, tree, share), where they meet."""
     shared = state.context.broadcast(asked)
-    counted = state.flatMap(lambda block: _partial(block, shared.value, n_features))
-    out = counted.reduceByKey(_added, min(state.getNumPartitions(), len(asked)))
-    out = out.map(finish) if finish else out
-    result = dict(out.collect())
+    counted = state.mapPartitions(lambda blocks: (x for part in _of_task(blocks, shared.value, n_features) for x in part.items()))
+    result = dict(counted.reduceByKey(_added, min(state.context.defaultParallelism, len(asked))).map(finish).collect())
     shared.unpersist()
     return result
 
@@ -414,14 +430,14 @@ def _grow_round(state, names: list[str], specs: dict[str, Spec], r: int, n_featu
     final: dict[str, list[int]] = {}
     while any(wanted.values()):
         asked = [(names.index(n), specs[n], r, trees[n].arrays(), nodes) for n, nodes in wanted.items() if nodes]
-        sums = _ask(state, asked, n_features)
+        sums = _sums(state, asked, n_features)
         for n, nodes in wanted.items():
             found = []
             for k, node in enumerate(nodes):
                 part = sums.get((names.index(n), r, k // 32))
                 if k % 32 == 0:
-                    dense = _dense(part, k // 32, min(32, len(nodes) - k), n_features) if part else np.zeros((min(32, len(nodes) - k), n_features, BINS, 3))
-                hists[n, node] = dense[k % 32]
+                    dense = _dense(part, k // 32, min(32, len(nodes) - k), n_features) if part else np.zeros((3, min(32, len(nodes) - k), n_features, BINS))
+                hists[n, node] = dense[:, k % 32]
                 found.append(node)
                 if (n, node) in pairs:
                     sibling, parent = pairs.pop((n, node))
@@ -430,8 +446,8 @@ def _grow_round(state, names: list[str], specs: dict[str, Spec], r: int, n_featu
             if found:
                 if trees[n].depth[found[0]] == 0:
                     column = features_of_tree(specs[n], r, n_features)[0]
-                    trees[n].sums[0] = tuple(hists[n, 0][column].sum(axis=0).tolist())
-                for node, split in zip(found, best_splits(specs[n], np.stack([hists[n, x] for x in found]))):
+                    trees[n].sums[0] = tuple(hists[n, 0][:, column].sum(axis=1).tolist())
+                for node, split in zip(found, best_splits(specs[n], np.stack([hists[n, x] for x in found], 1))):
                     splits[n, node] = split
         for n, spec in specs.items():
             if n in final:
@@ -501,11 +517,11 @@ def _grow_forests(state, names: list[str], specs: dict[str, Spec], models: dict[
         def finish(item, sizes=sizes):
             (m, t, share), part = item
             hist = _dense(part, share, min(32, sizes[m, t] - share * 32), n_features)
-            per_column = hist.sum(axis=2)
-            column = per_column[..., 1].argmax(axis=1)
-            return (m, t, share), (best_splits(by_number[m], hist), per_column[np.arange(len(hist)), column].tolist())
+            per_column = hist.sum(axis=3)
+            column = per_column[1].argmax(axis=1)
+            return (m, t, share), (best_splits(by_number[m], hist), per_column[:, np.arange(len(column)), column].T.tolist())
 
-        found = _ask(state, asked, n_features, finish)
+        found = _found(state, asked, n_features, finish)
         after: dict[tuple[int, int], list[int]] = {}
         for (m, t), nodes in opened.items():
             tree, spec = models[names[m]][t], by_number[m]

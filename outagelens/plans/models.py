@@ -1,6 +1,7 @@
-"""Tree models, ensembles, scoring and model metadata on MLlib.
+"""Tree models, ensembles, scoring and model metadata.
 
-Training sets are materialised once (reliable ``checkpoint`` into the
+Forests and both families of boosted trees come from ``operators.trees``, which grows all models of a query together; the logistic
+meta-learner is MLlib's. Training sets are materialised once (reliable ``checkpoint`` into the
 cluster's shared checkpoint directory) so every fit, fold and scoring pass
 reads the same rows without recomputing the feature plan, and a lost
 executor recomputes from the checkpoint rather than from the raw tables.
@@ -11,27 +12,32 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import pct_change, risk_bin
 from ..operators import evaluation as E
+from ..operators import trees as T
 from ..operators.sampling import class_weights, row_hash
 from ..session import checkpoint_dir
 
-# Reference hyper-parameters. Every registered query fits with them.
+# The reference's settings. Every registered query fits with them; the first library grows by level, the second leaf by leaf.
 FULL_PARAMS = {
-    "random_forest": {"numTrees": 200, "maxDepth": 15, "minInstancesPerNode": 5},
-    "gbt_a": {"maxIter": 200, "maxDepth": 8, "stepSize": 0.05, "subsamplingRate": 0.8,
-              "featureSubsetStrategy": "0.8"},
-    # the second library bounds its leaves: fewer, larger leaves and finer bins
-    "gbt_b": {"maxIter": 200, "maxDepth": 8, "stepSize": 0.05, "subsamplingRate": 0.8,
-              "featureSubsetStrategy": "0.8", "maxBins": 255, "minInstancesPerNode": 20},
+    "random_forest": {"kind": "forest", "trees": 200, "depth": 15, "min_leaf": 5, "min_split": 10, "min_weight": 0.0, "l2": 0.0},
+    "gbt_a": {"kind": "level", "trees": 200, "depth": 8, "rate": 0.05, "rows": 0.8, "columns": 0.8},
+    "gbt_b": {"kind": "leaf", "trees": 200, "depth": 8, "leaves": 31, "rate": 0.05, "rows": 0.8, "columns": 0.8, "min_leaf": 20,
+              "min_weight": 0.001, "l2": 0.0},
+}
+# The settings of the sampling studies. The first study fits forests, the second boosted trees.
+STUDY_PARAMS = {
+    "forest": {"kind": "forest", "trees": 100, "depth": 10, "min_weight": 0.0, "l2": 0.0},
+    "boosted": {"kind": "level", "trees": 200, "depth": 8, "rate": 0.05, "rows": 0.8, "columns": 0.8},
 }
 KINDS = ("random_forest", "gbt_a", "gbt_b")
+Model = T.TreeModel | PipelineModel
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -40,41 +46,38 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _classifier(kind: str, params: Mapping, label: str, name: str, weight_col: str | None, seed: int):
-    common = dict(featuresCol="features", labelCol=label, predictionCol=f"pred_{name}")
-    if kind == "random_forest":
-        clf = RandomForestClassifier(**common, seed=seed, **params)
-    elif kind.startswith("gbt"):
-        clf = GBTClassifier(**common, seed=seed, **params)
-    elif kind == "logistic":
-        clf = LogisticRegression(**common, **params)
-    else:
-        raise ValueError(f"unknown model kind {kind!r}")
-    clf.setProbabilityCol(f"prob_{name}").setRawPredictionCol(f"raw_{name}")
-    if weight_col:
-        clf.setWeightCol(weight_col)
-    return clf
+def spec(kind: str, params: Mapping | None = None, seed: int = 42) -> T.Spec:
+    return T.Spec(seed=seed, **{**FULL_PARAMS[kind], **(params or {})})
 
 
 def fit(df: DataFrame, features: Sequence[str], kind: str, params: Mapping | None = None, label: str = "target",
-        weight_col: str | None = None, seed: int = 42, name: str | None = None) -> PipelineModel:
-    """Assemble ``features`` (in order) and fit one classifier; the feature list travels with the model."""
+        weight_col: str | None = None, seed: int = 42, name: str | None = None) -> Model:
+    """Fit one model; the feature list (in order) travels with it. ``params`` overrides single settings of ``FULL_PARAMS``."""
+    if kind in FULL_PARAMS:
+        weights = {"m": F.col(weight_col)} if weight_col else None
+        return T.fit_many(df, features, {"m": spec(kind, params, seed)}, label, weights)["m"]
+    if kind != "logistic":
+        raise ValueError(f"unknown model kind {kind!r}")
     name = name or kind
-    params = dict(FULL_PARAMS.get(kind, {}) if params is None else params)
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    clf = _classifier(kind, params, label, name, weight_col, seed)
+    clf = LogisticRegression(featuresCol="features", labelCol=label, predictionCol=f"pred_{name}", probabilityCol=f"prob_{name}",
+                             rawPredictionCol=f"raw_{name}", **(params or {}))
+    if weight_col:
+        clf.setWeightCol(weight_col)
     return Pipeline(stages=[assembler, clf]).fit(df.withColumn(label, F.col(label).cast("double")))
 
 
-def probability(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
-    """Add ``p_<name>`` = P(class 1) from a fitted pipeline, dropping the vector columns."""
+def probability(model: Model, df: DataFrame, name: str) -> DataFrame:
+    """Add ``p_<name>`` = P(class 1) from a fitted model."""
+    if isinstance(model, T.TreeModel):
+        return T.scored(df, {name: model})
     out = model.transform(df)
     return (out.withColumn(f"p_{name}", vector_to_array(F.col(f"prob_{name}"))[1])
             .drop("features", f"prob_{name}", f"raw_{name}", f"pred_{name}"))
 
 
 # -- M7 -----------------------------------------------------------------------------------
-def score(model: PipelineModel, df: DataFrame, name: str, model_used: str, version: str,
+def score(model: Model, df: DataFrame, name: str, model_used: str, version: str,
           keys: Sequence[str], threshold: float = 0.5, with_risk: bool = False) -> DataFrame:
     """Batch-score every row: class, P(1), model name and version (+ P25 risk bin)."""
     x = probability(model, df, name)
@@ -88,14 +91,10 @@ def score(model: PipelineModel, df: DataFrame, name: str, model_used: str, versi
 
 
 # -- M6 -----------------------------------------------------------------------------------
-def importances(model: PipelineModel, features: Sequence[str]) -> DataFrame:
+def importances(model: Model, features: Sequence[str]) -> DataFrame:
     """(feature, importance) sorted descending; zeros when the model has none."""
-    clf = model.stages[-1]
     spark = SparkSession.getActiveSession()
-    if hasattr(clf, "featureImportances"):
-        vals = clf.featureImportances.toArray().tolist()
-    else:
-        vals = [0.0] * len(features)
+    vals = model.importances() if isinstance(model, T.TreeModel) else [0.0] * len(features)
     rows = [(f, float(v)) for f, v in zip(features, vals)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(
         F.col("importance").desc(), F.col("feature"))
@@ -108,30 +107,16 @@ def evaluate(scored: DataFrame, prob_col: str, label: str = "target", threshold:
     return E.metrics(x, "target", "pred", "p")
 
 
-def _parallel(jobs: Mapping, parallelism: int) -> dict:
-    """Run independent fits concurrently (as ``CrossValidator(parallelism=..)`` does); keys keep their order."""
-    if parallelism <= 1 or len(jobs) <= 1:
-        return {key: fn() for key, fn in jobs.items()}
-    from concurrent.futures import ThreadPoolExecutor
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        futures = {key: pool.submit(fn) for key, fn in jobs.items()}
-        return {key: fut.result() for key, fut in futures.items()}
-
-
 def fit_all(train: DataFrame, features: Sequence[str], kinds: Sequence[str] = KINDS, params: Mapping[str, Mapping] | None = None,
-            label: str = "target", seed: int = 42, weight_col: str | None = None, parallelism: int = 3) -> dict[str, PipelineModel]:
-    """One model of each kind, fitted concurrently."""
-    params = params or FULL_PARAMS
-    return _parallel({k: (lambda k=k: fit(train, features, k, params.get(k), label, weight_col, seed, name=k))
-                      for k in kinds}, parallelism)
+            label: str = "target", seed: int = 42, weight_col: str | None = None) -> dict[str, T.TreeModel]:
+    """One model of each kind, grown together."""
+    specs = {k: spec(k, (params or {}).get(k), seed) for k in kinds}
+    return T.fit_many(train, features, specs, label, {k: F.col(weight_col) for k in kinds} if weight_col else None)
 
 
-def score_all(models: Mapping[str, PipelineModel], df: DataFrame) -> DataFrame:
-    """``p_<kind>`` of every model, scored once and checkpointed."""
-    for k, m in models.items():
-        df = probability(m, df, k)
-    return materialize(df)
+def score_all(models: Mapping[str, T.TreeModel], df: DataFrame) -> DataFrame:
+    """``p_<kind>`` of every model, scored in one pass and checkpointed."""
+    return materialize(T.scored(df, models))
 
 
 def metrics_table(scored: DataFrame, kinds: Sequence[str], label: str = "target") -> DataFrame:
@@ -144,9 +129,9 @@ def metrics_table(scored: DataFrame, kinds: Sequence[str], label: str = "target"
 
 def train_compare(train: DataFrame, test: DataFrame, features: Sequence[str], kinds: Sequence[str] = KINDS,
                   params: Mapping[str, Mapping] | None = None, label: str = "target", seed: int = 42,
-                  weight_col: str | None = None, parallelism: int = 3):
-    """Fit each kind (concurrently), score the test rows once, return (models, metrics DataFrame)."""
-    models = fit_all(train, features, kinds, params, label, seed, weight_col, parallelism)
+                  weight_col: str | None = None):
+    """Fit each kind (in one pass), score the test rows once, return (models, metrics DataFrame)."""
+    models = fit_all(train, features, kinds, params, label, seed, weight_col)
     return models, metrics_table(score_all(models, test), kinds, label)
 
 
@@ -181,52 +166,55 @@ def vote(scored: DataFrame, prob_cols: Sequence[str], weights: Sequence[float],
 
 # -- M3 ---------------------------------------------------------------------------------------
 def stack(train: DataFrame, features: Sequence[str], key: Sequence[str], kinds: Sequence[str] = KINDS,
-          params: Mapping[str, Mapping] | None = None, folds: int = 5, label: str = "target", seed: int = 42,
-          parallelism: int = 4):
+          params: Mapping[str, Mapping] | None = None, folds: int = 5, label: str = "target", seed: int = 42):
     """Stacking: out-of-fold base probabilities (hash folds) -> balanced logistic meta-learner.
 
-    Returns ``(base_models, meta_model)``; bases are refit on all training rows.
-    The folds x kinds fits (and the final refits) are independent and run
-    ``parallelism`` at a time.
+    Returns ``(base_models, meta_model)``; bases are refit on all training rows. The folds x kinds fits and the final ones
+    share one binned matrix: a fold is a weight of 0 on its rows.
     """
-    params = params or FULL_PARAMS
     t = materialize(train.withColumn("_fold", F.pmod(row_hash(list(key), seed, "fold"), F.lit(folds))))
-    fold_fits = _parallel({
-        (f, k): (lambda f=f, k=k: fit(t.filter(F.col("_fold") != f), features, k, params.get(k), label, None,
-                                      seed, name=k))
-        for f in range(folds) for k in kinds}, parallelism)
+    specs: dict[str, T.Spec] = {}
+    weights: dict[str, Column] = {}
+    for k in kinds:
+        for f in [*range(folds), None]:
+            name = k if f is None else f"{k}/{f}"
+            specs[name] = spec(k, (params or {}).get(k), seed)
+            weights[name] = F.lit(1.0) if f is None else (F.col("_fold") != f).cast("double")
+    models = T.fit_many(t, features, specs, label, weights)
     oof = None
     for f in range(folds):
-        hold = t.filter(F.col("_fold") == f)
-        for k in kinds:
-            hold = probability(fold_fits[(f, k)], hold, k)
+        hold = T.scored(t.filter(F.col("_fold") == f), {k: models[f"{k}/{f}"] for k in kinds})
         oof = hold if oof is None else oof.unionByName(hold)
     oof = materialize(class_weights(oof, label, "_w"))
     meta = fit(oof, [f"p_{k}" for k in kinds], "logistic", {"maxIter": 1000}, label, "_w", seed, name="meta")
-    bases = _parallel({k: (lambda k=k: fit(t, features, k, params.get(k), label, None, seed, name=k))
-                       for k in kinds}, parallelism)
-    return bases, meta
+    return {k: models[k] for k in kinds}, meta
 
 
-def stack_score(bases: Mapping[str, PipelineModel], meta: PipelineModel, df: DataFrame) -> DataFrame:
-    x = df
-    for k, m in bases.items():
-        x = probability(m, x, k)
-    return probability(meta, x, "meta").withColumnRenamed("p_meta", "p_stack")
+def stack_score(bases: Mapping[str, T.TreeModel], meta: PipelineModel, df: DataFrame) -> DataFrame:
+    return probability(meta, T.scored(df, bases), "meta").withColumnRenamed("p_meta", "p_stack")
 
 
 # -- M8 ---------------------------------------------------------------------------------------
-def compare(strategies: Mapping[str, DataFrame], test: DataFrame, features: Sequence[str],
-            kind: str = "random_forest", params: Mapping | None = None, label: str = "target",
-            seed: int = 42, weight_cols: Mapping[str, str] | None = None) -> DataFrame:
-    """Train one model per resampled training set and evaluate on the same test rows."""
-    weight_cols = weight_cols or {}
-    table = None
+def compare(strategies: Mapping[str, DataFrame], test: DataFrame, features: Sequence[str], studies: Mapping[str, str],
+            label: str = "target", seed: int = 42, weight_cols: Mapping[str, str] | None = None) -> DataFrame:
+    """One model per resampled training set, all grown in one pass and evaluated on the same test rows.
+
+    ``studies`` names the settings (of ``STUDY_PARAMS``) of each strategy. A strategy's rows have its weight, the others' rows weight 0.
+    """
+    weight_cols, rows = weight_cols or {}, None
     for name, train in strategies.items():
-        n = train.count()
-        m = fit(train, features, kind, params, label, weight_cols.get(name), seed, name="s")
-        row = evaluate(probability(m, test, "s"), "p_s", label).select(
-            F.lit(name).alias("strategy"), "*", F.lit(n).alias("train_rows"))
+        w = F.col(weight_cols[name]).cast("double") if name in weight_cols else F.lit(1.0)
+        part = train.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("int").alias(label),
+                            F.lit(name).alias("_strategy"), w.alias("_weight"))
+        rows = part if rows is None else rows.unionByName(part)
+    rows = materialize(rows)
+    counts = {r["_strategy"]: r["count"] for r in rows.groupBy("_strategy").count().collect()}
+    models = T.fit_many(rows, features, {n: T.Spec(seed=seed, **STUDY_PARAMS[studies[n]]) for n in strategies}, label,
+                        {n: F.when(F.col("_strategy") == n, F.col("_weight")).otherwise(0.0) for n in strategies})
+    scores = materialize(T.scored(test, models))
+    table = None
+    for name in strategies:
+        row = evaluate(scores, f"p_{name}", label).select(F.lit(name).alias("strategy"), "*", F.lit(counts.get(name, 0)).alias("train_rows"))
         table = row if table is None else table.unionByName(row)
     return table
 
@@ -273,10 +261,13 @@ def from_vectors(df: DataFrame, features: Sequence[str], label: str = "target")
                      F.col(label).alias(label), "is_synthetic")
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """Persist a fitted pipeline (the assembler keeps the feature order)."""
-    model.write().overwrite().save(path)
+def save_model(model: Model, path: str) -> None:
+    """Persist a fitted model with its feature order."""
+    if isinstance(model, T.TreeModel):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> T.TreeModel:
+    return T.TreeModel.load(path)

@@ -46,7 +46,7 @@ def test_model_save_load_same_scores(spark, tmp_path):  # M1, S14
     from outagelens.plans import models as M
 
     df = _frame(spark, 400).withColumn("y2", F.col("x") % 7)
-    m = M.fit(df, ["x", "y2"], "random_forest", {"numTrees": 5, "maxDepth": 3}, name="rf")
+    m = M.fit(df, ["x", "y2"], "random_forest", {"trees": 5, "depth": 3}, name="rf")
     M.save_model(m, str(tmp_path / "rf"))
     m2 = M.load_model(str(tmp_path / "rf"))
     a = M.probability(m, df, "rf").select("id", "p_rf")
@@ -123,7 +123,7 @@ def test_registered_queries_fit_the_full_settings():
 
     from outagelens.plans import catalog_io, catalog_models
 
-    before = {"fit": 3, "fit_all": 3, "train_compare": 4, "stack": 4, "compare": 4}  # arguments ahead of ``params``
+    before = {"fit": 3, "fit_all": 3, "train_compare": 4, "stack": 4, "compare": 4}  # compare: by the name of a study  # arguments ahead of ``params``
     seen = set()
     for module in (catalog_io, catalog_models):
         for x in ast.walk(ast.parse(inspect.getsource(module))):
