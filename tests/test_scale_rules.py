@@ -50,6 +50,33 @@ def test_running_sums_equal_frames(spark, closed):
         assert r["m24"] == pytest.approx(sum(held) / len(held) if held else 0.0, abs=1e-6)
 
 
+def test_small_values_survive_large_ones(spark):
+    """A large value that has left the frame, or lies ahead of it, takes nothing from a sum."""
+    ev = [("a", hours(1), 1e16), ("a", hours(20), 1.0), ("a", hours(31), 1e16), ("a", hours(70), 0.5)]
+    ca = [("a", hours(30)), ("a", hours(30)), ("a", hours(90)), (None, hours(30)), ("a", None)]
+    specs = [W.Trail("s24", "sum", 24, "v"), W.Trail("m24", "mean", 24, "v"), W.Trail("lo", "min", 24, "v"), W.Trail("hi", "max", 72, "v"), W.Trail("n", "count", 24)]
+    e = spark.createDataFrame(ev, "county_fips string, event_time timestamp, v double")
+    c = spark.createDataFrame(ca, "county_fips string, prediction_time timestamp")
+    for chunk in (None, 7, 100):
+        got = [tuple(r)[2:] for r in W.trailing(c, e, specs, chunk_hours=chunk).orderBy("prediction_time", "county_fips").collect()]
+        assert got == [(0.0, 0.0, None, None, 0), (0.0, 0.0, None, None, 0), (1.0, 1.0, 1.0, 1e16, 1), (1.0, 1.0, 1.0, 1e16, 1), (0.5, 0.5, 0.5, 1e16, 1)]
+
+
+@pytest.mark.parametrize("closed, chunk", [(False, None), (True, 10)])
+def test_least_and_largest_equal_frames(spark, closed, chunk):
+    rng = random.Random(8)
+    ev = [("ab"[rng.randrange(2)], hours(rng.randrange(0, 300)), rng.choice([None, rng.random()])) for _ in range(200)]
+    ca = [("ab"[rng.randrange(2)], hours(rng.randrange(-10, 400))) for _ in range(150)]
+    specs = [W.Trail("lo", "min", 24, "v"), W.Trail("hi", "max", 72, "v"), W.Trail("s", "sum", 72, "v")]
+    for r in W.trailing(spark.createDataFrame(ca, "county_fips string, prediction_time timestamp"),
+                        spark.createDataFrame(ev, "county_fips string, event_time timestamp, v double"), specs, chunk_hours=chunk, closed_end=closed).collect():
+        def frame(h):
+            lo, hi = r["prediction_time"] - dt.timedelta(hours=h), r["prediction_time"]
+            return [v for k, t, v in ev if k == r["county_fips"] and lo <= t and (t <= hi if closed else t < hi) and v is not None]
+        assert r["lo"] == min(frame(24), default=None) and r["hi"] == max(frame(72), default=None)
+        assert r["s"] == pytest.approx(sum(frame(72)), rel=1e-12)
+
+
 def test_storm_lift_counts_without_pairs(spark):
     o = spark.createDataFrame([("a", hours(h)) for h in range(0, 400, 5)] + [(None, hours(1)), ("b", None)], "county_fips string, start_time timestamp")
     s = spark.createDataFrame([("a", hours(h), "wind" if h % 2 else "hail") for h in range(-200, 400, 7)] + [("b", hours(1), "hail"), ("a", None, "wind")],
