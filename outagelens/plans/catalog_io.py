@@ -25,7 +25,7 @@ def s10(spark, sf):
     path = scratch_path(spark, "s10_outages")
     S.replace_table(o1(spark, sf), path)
     S.replace_table(o1(spark, sf), path)  # replacing twice leaves one copy
-    return spark.read.parquet(path)
+    return S.read_table(spark, path)
 
 
 @query("s11_keyed_replace", """
@@ -34,7 +34,7 @@ UNION ALL SELECT * EXCLUDE (model_version), 'fixture_v2' AS model_version FROM p
 def s11(spark, sf):
     path = scratch_path(spark, "s11_predictions")
     pev = fx.predictions_ev(spark, sf)
-    S.replace_table(pev.limit(0), path)
+    pev.limit(0).write.mode("overwrite").parquet(path)
     S.replace_keyed(pev, path, "model_version")
     S.replace_keyed(pev.filter("window_hours = 24").withColumn("model_version", F.lit("fixture_v2")), path,
                     "model_version")
@@ -57,14 +57,14 @@ def s12(spark, sf):
 def s08(spark, sf):
     path = scratch_path(spark, "s08_snapshot")
     S.write_snapshot(o1(spark, sf), path, at=_NOW - dt.timedelta(hours=3))
-    return S.fresh(spark.read.parquet(path), now=_NOW, hours=24).drop("snapshot_ts")
+    return S.fresh(S.read_table(spark, path), now=_NOW, hours=24).drop("snapshot_ts")
 
 
 @query("s09_stale_snapshot", "SELECT * FROM o1 WHERE false")
 def s09(spark, sf):
     path = scratch_path(spark, "s09_snapshot")
     S.write_snapshot(o1(spark, sf), path, at=_NOW - dt.timedelta(hours=25))
-    return S.fresh(spark.read.parquet(path), now=_NOW, hours=24).drop("snapshot_ts")
+    return S.fresh(S.read_table(spark, path), now=_NOW, hours=24).drop("snapshot_ts")
 
 
 @query("s07_read_or_snapshot", "SELECT * FROM o1")
@@ -144,7 +144,7 @@ def p30(spark, sf):
 def s13(spark, sf):
     primary, backup = scratch_path(spark, "s13_primary"), scratch_path(spark, "s13_backup")
     S.write_backup(o1(spark, sf), primary, backup)
-    return spark.read.parquet(backup)
+    return S.read_table(spark, backup)
 
 
 @query("s14_model_roundtrip", """

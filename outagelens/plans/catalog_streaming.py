@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources import fixtures as fx
-from ..sources import sinks as S
 from ..streaming import trailing as ST
 from .registry import query
 
@@ -30,7 +29,7 @@ def st01(spark, sf):
     Update mode lets the watermark drop old state, and the result never passes through the driver.
     """
     src = scratch_path(spark, f"st01_outage_files_{next(_RUN)}")
-    S.replace_table(fx.outages_ev(spark, sf), src)
+    fx.outages_ev(spark, sf).write.mode("overwrite").parquet(src)
     # stream state and output live in the shared checkpoint dir; a fresh location per run so nothing is resumed
     base = scratch_path(spark, f"st01_stream/{uuid.uuid4().hex}")
 

@@ -124,9 +124,69 @@ def test_a_failed_replace_leaves_the_old_table(spark, tmp_path):
     sinks.replace_table(spark.range(5), path)
     with pytest.raises(Exception, match="broken"):
         sinks.replace_table(spark.range(5).select(F.raise_error(F.lit("broken")).cast("long").alias("id")), path)
-    assert spark.read.parquet(path).count() == 5
-    sinks.replace_table(spark.read.parquet(path).filter("id < 2"), path)  # of itself
-    assert spark.read.parquet(path).count() == 2
+    assert sinks.read_table(spark, path).count() == 5
+    sinks.replace_table(sinks.read_table(spark, path).filter("id < 2"), path)  # of itself
+    assert sinks.read_table(spark, path).count() == 2
+
+
+def test_readers_survive_replaces(spark, tmp_path):
+    """A reader in a loop always finds one whole version, and never an older one after a newer one."""
+    import threading
+
+    path, seen, stop = str(tmp_path / "t"), [], threading.Event()
+    sinks.replace_table(spark.range(100).withColumn("v", F.lit(0)), path)
+
+    def read():
+        while not stop.is_set():
+            seen.append(tuple(sinks.read_table(spark, path).agg(F.count("id"), F.min("v"), F.max("v")).first()))
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    try:
+        for v in range(1, 21):
+            sinks.replace_table(spark.range(100).withColumn("v", F.lit(v)), path)
+    finally:
+        stop.set()
+        reader.join()
+    assert len(seen) > 3 and all(n == 100 and lo == hi for n, lo, hi in seen) and [x[1] for x in seen] == sorted(x[1] for x in seen)
+    assert sinks.read_table(spark, path).first()["v"] == 20
+
+
+def test_a_writer_killed_before_the_pointer_leaves_the_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    sinks.replace_table(spark.range(3), path)
+    real = sinks._files
+
+    class Killed(Exception):
+        pass
+
+    class NoPointer:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def create(self, *_):
+            raise Killed
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+    monkeypatch.setattr(sinks, "_files", lambda spark, path: (NoPointer(real(spark, path)[0]), real(spark, path)[1]))
+    with pytest.raises(Killed):
+        sinks.replace_table(spark.range(9), path)
+    monkeypatch.undo()
+    assert sinks.read_table(spark, path).count() == 3
+    sinks.replace_table(spark.range(4), path)
+    assert sinks.read_table(spark, path).count() == 4
+
+
+def test_replaced_versions_go_after_a_while(spark, tmp_path):
+    path = tmp_path / "t"
+    for n in range(4):
+        sinks.replace_table(spark.range(n), str(path), retain_hours=-1.0)
+    assert len(list((path / "data").iterdir())) == len(sinks.table_versions(spark, str(path))) == 1
+    for n in range(3):
+        sinks.replace_table(spark.range(n), str(path))
+    assert len(list((path / "data").iterdir())) == 4 and sinks.read_table(spark, str(path)).count() == 2
 
 
 def test_only_a_missing_table_falls_back(spark, tmp_path):
