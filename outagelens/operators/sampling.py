@@ -169,60 +169,62 @@ def indexed_keys(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return hash_rank(keys, [], [key], seed, out="idx")
 
 
-def negatives(outages: DataFrame, n: int, windows: Sequence[int], seed: int = 42, oversample: int = 20,
-              key: str = "county_fips", ts: str = "event_time", max_window_hours: int | None = None,
-              first_round: int = 3) -> DataFrame:
-    """``n`` negative rows: hash-picked county, whole hour and window with no outage in ``[t, t+w)``.
+def free_hours(outages: DataFrame, windows: Sequence[int], key: str = "county_fips", ts: str = "event_time",
+               max_window_hours: int | None = None) -> DataFrame:
+    """key, window_hours, first, hours, lo_us: the maximal runs of whole hours t (counted from the first outage at ``lo_us``) with no outage of the
+    key in ``[t, t + window)``, up to the last outage less the longest window.
 
-    The first attempt of a slot that passes the anti join fills it. Attempts are evaluated in rounds:
-    ``first_round`` attempts for every slot, then ever more only for the slots still empty, up to
-    ``oversample`` times ``first_round`` more rounds of doubling size; slots that no attempt could
-    fill raise an error instead of disappearing. ``spark.range`` generates attempts on the executors.
+    An outage in hour k takes the hours k - window + 1 .. k, so a key's runs lie between neighbours among its distinct hours: the
+    rows of a key that meet are as many as hours, however many outages there are.
     """
-    from .joins import without_future_event
-
-    spark = outages.sparkSession
     max_w = int(max_window_hours or max(windows))
-    counties = indexed_keys(outages, key, seed)
-    # three scalars in one aggregate; they enter the plan as literals
-    st = outages.agg(F.count_distinct(key).alias("n"), F.unix_micros(F.min(ts)).alias("lo"),
-                     F.unix_micros(F.max(ts)).alias("hi")).first()
-    n_counties = F.lit(max(int(st["n"] or 0), 1))
+    st = outages.agg(F.unix_micros(F.min(ts)).alias("lo"), F.unix_micros(F.max(ts)).alias("hi")).first()
     lo_us = int(st["lo"] or 0)
-    total_hours = F.lit(max(1, (int(st["hi"] or 0) - max_w * _US_PER_HOUR - lo_us) // _US_PER_HOUR))
-    lo = F.timestamp_micros(F.lit(lo_us))
-    win = F.array(*[F.lit(int(w)) for w in windows])
-
-    def attempts(slots: DataFrame, a0: int, a1: int) -> DataFrame:
-        att = slots.select("slot", F.explode(F.sequence(F.lit(a0), F.lit(a1 - 1))).alias("attempt"))
-        att = att.select(
-            "slot", "attempt",
-            F.pmod(row_hash(["slot", "attempt"], seed, "county"), n_counties).alias("idx"),
-            F.timestamp_micros(F.unix_micros(lo) + F.pmod(row_hash(["slot", "attempt"], seed, "hour"), total_hours)
-                               * F.lit(_US_PER_HOUR)).alias("prediction_time"),
-            F.element_at(win, (F.pmod(row_hash(["slot", "attempt"], seed, "window"), F.lit(len(windows))) + 1)
-                         .cast("int")).alias("window_hours"),
-        ).join(counties, "idx", "inner").drop("idx")
-        ok = without_future_event(att, outages, key=key, ts="prediction_time", window_col="window_hours",
-                                  event_ts=ts, max_window_hours=max_w)
-        return ok.groupBy("slot").agg(
-            F.min_by(F.struct(key, "prediction_time", "window_hours"), "attempt").alias("r"))
-
-    slots = spark.range(0, int(n)).withColumnRenamed("id", "slot")
-    split = max(1, min(int(first_round), int(oversample)))
-    filled = attempts(slots, 0, split).persist(StorageLevel.MEMORY_AND_DISK)
-    a0, a1 = split, max(int(oversample), split)
-    # almost always over after one or two rounds: each round only sees the slots still empty
-    while (missing := int(n) - filled.count()) > 0:
-        if a0 >= a1:
-            if a1 > int(oversample) << 6:
-                raise ValueError(f"{missing} of {n} negatives found no free hour in {a1} attempts each: outages cover nearly all hours")
-            a1 *= 2
-        rest = attempts(slots.join(filled.select("slot"), "slot", "left_anti"), a0, a1)
-        filled, a0 = filled.unionByName(rest).persist(StorageLevel.MEMORY_AND_DISK), a1
-    first = filled
-    return first.select(F.col(f"r.{key}").alias(key), "r.prediction_time", "r.window_hours",
-                        F.lit(0).alias("target"))
+    total = max(1, (int(st["hi"] or 0) - max_w * _US_PER_HOUR - lo_us) // _US_PER_HOUR)
+    hour = F.floor((F.unix_micros(ts) - F.lit(lo_us)) / F.lit(_US_PER_HOUR)).cast("long")
+    taken = outages.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).alias(key), hour.alias("hour")).distinct()
+    by_hour = Window.partitionBy(key).orderBy("hour")
+    taken = taken.select(key, "hour", F.coalesce(F.lag("hour").over(by_hour), F.lit(-1)).alias("after"), F.lead("hour").over(by_hour).isNull().alias("last"))
+    # before each taken hour, and behind the last one
+    gap = F.struct(F.col("after").alias("after"), F.col("hour").alias("until"), F.lit(True).alias("shrinks"))
+    tail = F.struct(F.col("hour").alias("after"), F.lit(total).cast("long").alias("until"), F.lit(False).alias("shrinks"))
+    gaps = taken.select(key, F.explode(F.when(F.col("last"), F.array(gap, tail)).otherwise(F.array(gap))).alias("g"))
+    gaps = gaps.select(key, "g.*", F.explode(F.array(*[F.lit(int(w)) for w in dict.fromkeys(windows)])).alias("window_hours"))
+    first = F.col("after") + 1
+    end = F.least(F.when(F.col("shrinks"), F.col("until") - F.col("window_hours") + 1).otherwise(F.col("until")), F.lit(total).cast("long"))
+    return gaps.select(key, "window_hours", first.alias("first"), (end - first).alias("hours"), F.lit(lo_us).cast("long").alias("lo_us")).filter("hours > 0")
+
+
+def negatives(outages: DataFrame, n: int, windows: Sequence[int], seed: int = 42,
+              key: str = "county_fips", ts: str = "event_time", max_window_hours: int | None = None) -> DataFrame:
+    """``n`` negative rows: hash-picked county, whole hour and window with no outage in ``[t, t+w)``.
+
+    Every (county, hour, window) that is free is equally likely, as if others had been drawn and rejected, but each draw is mapped
+    straight into the free hours: their runs are laid end to end (prefix sums), and a draw is a place on that line. One
+    round fills every slot however dense the outages are; without any free hour it is an error.
+    """
+    spark = outages.sparkSession
+    gaps = free_hours(outages, windows, key, ts, max_window_hours)
+    # a run's place on the line: totals of 2^16 hash buckets of keys, then inside a bucket
+    gaps = gaps.withColumn("_bk", F.shiftright(row_hash([key], seed, "line"), _HASH_BITS - _BUCKET_BITS)).persist(StorageLevel.MEMORY_AND_DISK)
+    free = int(gaps.agg(F.sum("hours")).first()[0] or 0)
+    if n and not free:
+        raise ValueError(f"no free hour for {n} negatives: outages cover all hours")
+    before = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = gaps.groupBy("_bk").agg(F.sum("hours").alias("_sum")).select("_bk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_bk").orderBy(key, "window_hours", "first").rowsBetween(Window.unboundedPreceding, -1)
+    line = gaps.join(buckets, "_bk").withColumn("_at", F.col("_off") + F.coalesce(F.sum("hours").over(inside), F.lit(0)))
+
+    # draws meet runs in equal cells of the line
+    cells = max(1, min(int(n), 1 << _BUCKET_BITS))
+    width = -(-max(free, 1) // cells)
+    cell = F.explode(F.sequence(F.expr(f"_at div {width}"), F.expr(f"(_at + hours - 1) div {width}")))
+    line = line.select(key, "window_hours", "first", "hours", "lo_us", "_at", cell.alias("_cell"))
+    draws = spark.range(0, int(n)).select(F.pmod(row_hash(["id"], seed, "free"), F.lit(max(free, 1))).alias("_u")).withColumn("_cell", F.expr(f"_u div {width}"))
+    hit = draws.join(line, "_cell").filter("_u >= _at AND _u < _at + hours")
+    hour = F.col("first") + F.col("_u") - F.col("_at")
+    return hit.select(F.col(key).alias(key), F.timestamp_micros(F.col("lo_us") + hour * F.lit(_US_PER_HOUR)).alias("prediction_time"), "window_hours",
+                      F.lit(0).alias("target"))
 
 
 # -- B7 / B9 / B10 / B11: synthetic minority rows over exact neighbours -----------------------

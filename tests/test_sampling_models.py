@@ -1,5 +1,6 @@
 """Sampling invariants (reproducible, exact counts) and model round trips."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from outagelens.operators import sampling as B
@@ -131,3 +132,40 @@ def test_registered_queries_fit_the_full_settings():
                 assert len(x.args) <= before[x.func.attr] and "params" not in {k.arg for k in x.keywords}, f"{module.__name__}:{x.lineno}"
                 seen.add(x.func.attr)
     assert seen == set(before)
+
+
+def test_negatives_are_all_free_hours(spark):  # B4: the free (county, hour, window) triples, each as likely
+    import datetime as dt
+    import random
+    from collections import Counter
+
+    from outagelens.operators import sampling as S
+
+    rng, t0 = random.Random(4), dt.datetime(2021, 1, 1, 0, 20)
+    ev = [("a", t0)] + [("ab"[rng.randrange(2)], t0 + dt.timedelta(minutes=rng.randrange(0, 60 * 120))) for _ in range(40)]
+    ev += [("c", t0 + dt.timedelta(hours=h, minutes=7)) for h in range(130) if h not in (13, 14, 15, 90)] + [("c", None), (None, t0)]
+    windows = (1, 3, 12)
+    lo = min(t for c, t in ev if t)
+    total = int((max(t for c, t in ev if t) - lo).total_seconds() // 3600) - 12
+    free = {(c, lo + dt.timedelta(hours=h), w) for c in "abc" for h in range(total) for w in windows
+            if not any(k == c and t and lo + dt.timedelta(hours=h) <= t < lo + dt.timedelta(hours=h + w) for k, t in ev)}
+    df = spark.createDataFrame(ev, "county_fips string, event_time timestamp")
+    n = 40 * len(free)
+    got = Counter((r.county_fips, r.prediction_time, r.window_hours) for r in S.negatives(df, n, windows).collect())
+    assert set(got) == free and sum(got.values()) == n
+    assert max(got.values()) < 100 and min(got.values()) > 8
+    assert S.negatives(df, 5, windows).exceptAll(S.negatives(df.repartition(5), 5, windows)).count() == 0
+
+
+def test_negatives_where_nearly_all_hours_are_taken(spark):
+    import datetime as dt
+
+    from outagelens.operators import sampling as S
+
+    t0 = dt.datetime(2021, 1, 1)
+    dense = [("a", t0 + dt.timedelta(hours=h)) for h in range(2000) if h not in (77, 1500)]  # 99.9 % of the hours
+    rows = S.negatives(spark.createDataFrame(dense, "county_fips string, event_time timestamp"), 500, (1,)).collect()
+    assert len(rows) == 500 and {r.prediction_time for r in rows} == {t0 + dt.timedelta(hours=77), t0 + dt.timedelta(hours=1500)}
+    full = [("a", t0 + dt.timedelta(hours=h)) for h in range(50)]
+    with pytest.raises(ValueError, match="no free hour"):
+        S.negatives(spark.createDataFrame(full, "county_fips string, event_time timestamp"), 5, (1,))
