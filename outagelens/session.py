@@ -21,8 +21,16 @@ _SQL_DEFAULTS = {
 }
 
 
+# Rows that Spark hands to Python at a time, where the session still has Spark's default of 10,000: with whole texts
+# the buffers of such a batch, on both sides and for each task, outweigh the data that is worked on.
+_ARROW_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "500")
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Pin the options the library's semantics depend on (idempotent)."""
+    name, default, rows = _ARROW_ROWS
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, rows)
     for key, value in _SQL_DEFAULTS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
