@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import WINDOWS_HOURS
@@ -55,6 +55,58 @@ def storm_pairs(outages: DataFrame, storms: DataFrame, days: int = 7, key: str =
     return o.join(s, cond, "inner").select("storm_event_type", "county_fips", "start_time", "storm_time")
 
 
+def outage_ranks(outages: DataFrame, key: str = "county_fips", ts: str = "start_time", block_hours: int = 168) -> DataFrame:
+    """county_fips, start_time, rank: the outages of a county in time order, from 0. Null keys and times have no rank.
+
+    Ranks are taken inside blocks of time, behind the counts of the blocks before: a county of any size spreads over its blocks.
+    """
+    o = outages.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(
+        F.col(key).alias("county_fips"), F.col(ts).alias("start_time"), _bucket(ts, block_hours * _US_PER_HOUR).alias("_b"))
+    inside = F.row_number().over(Window.partitionBy("county_fips", "_b").orderBy("start_time")) - 1
+    return o.withColumn("_in", inside).join(_offsets(o.withColumn("_one", F.lit(1))), ["county_fips", "_b"]).select(
+        "county_fips", "start_time", (F.col("_before") + F.col("_in")).alias("rank"))
+
+
+def _offsets(rows: DataFrame) -> DataFrame:
+    """county_fips, _b, _before: the sum of ``_one`` over the county's earlier blocks; a county has a row for each of its blocks."""
+    earlier = Window.partitionBy("county_fips").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.groupBy("county_fips", "_b").agg(F.sum("_one").alias("_n")).select(
+        "county_fips", "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+
+
+def storm_ranges(outages: DataFrame, storms: DataFrame, days: int = 7, key: str = "county_fips", block_hours: int = 168) -> DataFrame:
+    """The interval join as rank ranges: the storms (all rows and columns) with first_rank and last_rank.
+
+    The outages of the storm's county in ``[storm_time, storm_time + days]`` are those of rank first_rank .. last_rank - 1 in
+    :func:`outage_ranks`: one row per storm, however many pairs there are. Storms without key or time have the empty range 0, 0.
+    """
+    span, width = days * 24 * _US_PER_HOUR, block_hours * _US_PER_HOUR
+    asked = storms.filter(F.col(key).isNotNull() & F.col("storm_time").isNotNull()).select(
+        F.col(key).alias("county_fips"), F.unix_micros("storm_time").alias("_s")).distinct()
+    # a storm asks how many outages lie before it, and how many up to its end
+    ends = F.array(F.struct(F.col("_s").alias("t"), F.lit(False).alias("last")), F.struct((F.col("_s") + F.lit(span)).alias("t"), F.lit(True).alias("last")))
+    asked = asked.select("county_fips", "_s", F.explode(ends).alias("e")).select("county_fips", F.col("e.t").alias("_t"), "_s", F.col("e.last").alias("_last"), F.lit(0).alias("_one"))
+    o = outages.filter(F.col(key).isNotNull() & F.col("start_time").isNotNull()).select(
+        F.col(key).alias("county_fips"), F.unix_micros("start_time").alias("_t"), F.lit(None).cast("long").alias("_s"), F.lit(None).cast("boolean").alias("_last"), F.lit(1).alias("_one"))
+    both = o.union(asked).withColumn("_b", F.floor(F.col("_t") / F.lit(width)).cast("long"))
+    by_time = Window.partitionBy("county_fips", "_b").orderBy("_t")
+    before = F.coalesce(F.sum("_one").over(by_time.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    upto = F.sum("_one").over(by_time.rangeBetween(Window.unboundedPreceding, 0))
+    placed = both.withColumns({"_lt": before, "_le": upto}).filter("_s IS NOT NULL").join(_offsets(both), ["county_fips", "_b"])
+    found = placed.groupBy("county_fips", "_s").agg(
+        F.max(F.when(~F.col("_last"), F.col("_before") + F.col("_lt"))).alias("first_rank"), F.max(F.when(F.col("_last"), F.col("_before") + F.col("_le"))).alias("last_rank"))
+    s, f = storms.withColumn("_at", F.unix_micros("storm_time")).alias("s"), found.alias("f")
+    joined = s.join(f, (F.col(f"s.{key}") == F.col("f.county_fips")) & (F.col("s._at") == F.col("f._s")), "left")
+    return joined.select(*(f"s.{c}" for c in storms.columns), *(F.coalesce(f"f.{c}", F.lit(0)).cast("long").alias(c) for c in ("first_rank", "last_rank")))
+
+
+def expand_ranges(ranges: DataFrame, ranks: DataFrame, key: str = "county_fips") -> DataFrame:
+    """The pairs of rank ranges on demand: storm_event_type, county_fips, start_time, storm_time. Dealt by (county, rank), so no county is one task."""
+    each = ranges.filter("last_rank > first_rank").select(
+        F.col(key).alias("county_fips"), "storm_time", "storm_event_type", F.explode(F.sequence(F.col("first_rank"), F.col("last_rank") - 1)).alias("rank"))
+    return each.join(ranks, ["county_fips", "rank"]).select("storm_event_type", "county_fips", "start_time", "storm_time")
+
+
 def storm_lift(outages: DataFrame, storms: DataFrame, days: int = 7, bucket_hours: int | None = None) -> DataFrame:
     """Storm type -> pairings and distinct counties, busiest first.
 

@@ -22,6 +22,26 @@ def j01(spark, sf):
     return J.storm_pairs(o1(spark, sf), s1(spark, sf), days=7)
 
 
+@query("j01_storm_ranges", """
+SELECT s.county_fips, s.storm_time, s.storm_event_type,
+  (SELECT count(*) FROM o1 o WHERE o.county_fips = s.county_fips AND o.start_time < s.storm_time) AS first_rank,
+  (SELECT count(*) FROM o1 o WHERE o.county_fips = s.county_fips AND o.start_time <= s.storm_time + INTERVAL 7 DAYS) AS last_rank
+FROM s1 s""")
+def j01r(spark, sf):
+    """J1 without its pairs: each storm with the range of its county's outages, in time order."""
+    return J.storm_ranges(o1(spark, sf), s1(spark, sf), days=7).select("county_fips", "storm_time", "storm_event_type", "first_rank", "last_rank")
+
+
+@query("j01_storm_pairs_of_ranges", """
+SELECT s.storm_event_type, o.county_fips, o.start_time, s.storm_time
+FROM o1 o JOIN s1 s ON o.county_fips = s.county_fips
+ AND s.storm_time <= o.start_time AND s.storm_time >= o.start_time - INTERVAL 7 DAYS""")
+def j01x(spark, sf):
+    """J1's pairs, expanded from the rank ranges."""
+    o, s = o1(spark, sf), s1(spark, sf)
+    return J.expand_ranges(J.storm_ranges(o, s, days=7), J.outage_ranks(o))
+
+
 @query("a04_storm_lift", """
 WITH p AS (
   SELECT s.storm_event_type, o.county_fips FROM o1 o JOIN s1 s ON o.county_fips = s.county_fips

@@ -87,6 +87,22 @@ def test_storm_lift_counts_without_pairs(spark):
     assert "Join" not in lift._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("block", [1, 50, 168])
+def test_rank_ranges_expand_to_the_pairs(spark, block):
+    """A county with most rows, ties, both closed ends, storms outside all blocks, null keys and times."""
+    rng = random.Random(block)
+    o = [("a", hours(rng.randrange(0, 300))) for _ in range(120)] + [("b", hours(9)), ("b", hours(9)), (None, hours(9)), ("b", None), ("c", hours(5))]
+    s = [("a", hours(rng.randrange(-300, 500)), rng.choice(["wind", "hail"])) for _ in range(60)]
+    s += [("b", hours(9), "wind"), ("b", hours(9 - 168), "hail"), ("b", hours(10), "hail"), ("x", hours(1), "wind"), (None, hours(9), "wind"), ("b", None, "wind")] * 2
+    o = spark.createDataFrame(o, "county_fips string, start_time timestamp")
+    s = spark.createDataFrame(s, "county_fips string, storm_time timestamp, storm_event_type string")
+    ranges, ranks = J.storm_ranges(o, s, block_hours=block), J.outage_ranks(o, block_hours=block)
+    assert ranges.count() == s.count()
+    assert sorted(map(tuple, J.expand_ranges(ranges, ranks).collect())) == sorted(map(tuple, J.storm_pairs(o, s).collect()))
+    a = [r["rank"] for r in ranks.filter("county_fips = 'a'").orderBy("start_time", "rank").collect()]
+    assert a == list(range(120))
+
+
 def test_rows_without_a_label_stay(spark):
     df = spark.createDataFrame([(i, [0, 1, None][i % 3]) for i in range(60)], "id long, target int")
     split = S.stratified_split(df, "target", (0.8, 0.2), names=["train", "test"])
