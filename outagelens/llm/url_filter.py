@@ -20,7 +20,8 @@ THRESHOLD = 0.5
 #: Fixed values: (verdict, host, path) rules. A rule fits its host and all subdomains where the path starts with its path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-#: Labelled URLs, invented. 1 is unwanted.
+#: Labelled URLs; 1 is unwanted. Their host stems are drawn from the given pages (all six unwanted-looking ones
+#: and 13 ordinary ones) with invented variants, so verdicts on those pages are in part recall of hosts seen; other data will do worse.
 LABELLED = (
     (1, "spam-farm.test/offers"), (1, "www.spam-links.test/en/1"), (1, "spamfarm.test/en/22"), (1, "link-farm.test/a/b"),
     (1, "cheap-pills.test/en/3"), (1, "www.cheap-meds.test/buy"), (1, "buy-pills-online.test/en/4"), (1, "pills-cheap.test/order"),
@@ -100,9 +101,9 @@ def train(spark: SparkSession, labelled: DataFrame | None = None) -> LogisticReg
 def judge(pages: DataFrame, model: LogisticRegressionModel, id_col: str = "page_id", url_col: str = "url",
           rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict. Null urls and urls without ``://`` have empty host and
-    path and are allowed (there is nothing to hold against them); repeated rows are judged row by row."""
+    path: no rule fits them and they have no n-gram, so the model's intercept decides; repeated rows are judged row by row."""
     parts = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
     scored = model.setThresholds([1 - threshold, threshold]).transform(_features(parts))
-    learned = F.when(F.col("host") == "", F.lit("allow")).when(F.col("__prediction") == 1.0, F.lit("block")).otherwise(F.lit("allow"))
+    learned = F.when(F.col("__prediction") == 1.0, F.lit("block")).otherwise(F.lit("allow"))
     return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(ruled, learned).alias("verdict"))
