@@ -47,17 +47,14 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` (all its columns) that stay: one row of each group of equal texts, with its largest id.
 
-    Rows are told apart by id, length and prefix, then by their whole text: ids may be null or repeat.
+    Rows are judged by their own text: ids may be null or repeat. Of rows that agree in text and id, one stays. Null texts count as empty.
     """
     text = text_of(text_col)
     keyed = docs.withColumns({"__len": F.octet_length(text), "__prefix": F.xxhash64(F.substring(text, 1, PREFIX_CHARS))})
-    light = staged(keyed.select(F.col(id_col).alias("__id"), "__len", "__prefix"), "exact_keys")
-    several = light.groupBy("__len", "__prefix").count().filter("count > 1").select("__len", "__prefix")
-    suspects = staged(light.join(several, ["__len", "__prefix"], "left_semi").distinct(), "exact_suspects")
-    l, r = keyed.alias("l"), suspects.alias("r")
-    same = (F.col(f"l.{id_col}").eqNullSafe(F.col("r.__id")) & (F.col("l.__len") == F.col("r.__len"))
-            & (F.col("l.__prefix") == F.col("r.__prefix")))
-    alone = l.join(r, same, "left_anti").select(*docs.columns)
-    some = l.join(r, same, "left_semi").withColumn("__sha", F.sha2(text, 256))
+    # a row per group of suspects, not per suspect
+    several = keyed.groupBy("__len", "__prefix").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__len", "__prefix")
+    several = staged(several, "exact_suspects")
+    alone = keyed.join(several, ["__len", "__prefix"], "left_anti").select(*docs.columns)
+    some = keyed.join(several, ["__len", "__prefix"], "left_semi").withColumn("__sha", F.sha2(text, 256))
     kept = some.groupBy("__len", "__sha").agg(F.max_by(F.struct(*docs.columns), F.struct(id_col)).alias("row")).select("row.*")
     return alone.unionByName(kept)

@@ -160,16 +160,23 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     mixed = mix(docs, id_col, text_col, source_col, seed=seed, **options).filter("size > 0")
     planned = mixed.groupBy(F.col("row").alias("__row"), F.col("source").alias("__source")).agg(
         F.sum(copies).alias("__copies"), F.count(F.lit(1)).alias("__rows")).filter("__copies > 0")
-    joined = docs.withColumn("__key", _row_key(id_col, text_col, seed)).join(
-        staged(planned, "mix_copies"), (F.col("__key") == F.col("__row")) & docs[source_col].cast("string").eqNullSafe(F.col("__source")))
-    alone = joined.filter("__rows = 1").select(*docs.columns, F.col("__copies").alias("__times"))
+    planned = staged(planned, "mix_copies")
+    keyed = docs.withColumn("__key", _row_key(id_col, text_col, seed))
+
+    def with_copies(plan: DataFrame) -> DataFrame:
+        return keyed.join(plan, (F.col("__key") == F.col("__row")) & docs[source_col].cast("string").eqNullSafe(F.col("__source")))
+
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))
+    alone = with_copies(planned.filter("__rows = 1")).select(*docs.columns, F.col("__copies").alias("__times"))
+    repeated = staged(planned.filter("__rows > 1"), "mix_repeats")
+    if repeated.isEmpty():
+        return alone.withColumn("__copy", times).select(*docs.columns)
 
     # rows that repeat: the copies dealt over them, in the order in which they are read
-    several = joined.filter("__rows > 1")
+    several = with_copies(repeated)
     at = F.monotonically_increasing_id()
     several = staged(several.withColumns({"__at": at, "__cell": F.shiftright(at, 33), "__one": F.lit(1).cast("long")}), "mix_repeated")
     several = offsets_in_order(several, ["__key", "__source"], "__cell", ["__at"], "__one", "__rank")
     share = F.expr("__copies div __rows") + (F.col("__rank") < F.col("__copies") % F.col("__rows")).cast("long")
     several = several.select(*docs.columns, share.alias("__times"))
-    return (alone.union(several).filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
-            .select(*docs.columns))
+    return alone.union(several).filter("__times > 0").withColumn("__copy", times).select(*docs.columns)
