@@ -15,6 +15,7 @@ copies of each row per tree, and for each node the features it may split on; a n
 
 from __future__ import annotations
 
+import copy
 import heapq
 import math
 from collections.abc import Iterator, Mapping, Sequence
@@ -43,6 +44,8 @@ LOCAL_ROWS, LOCAL_TOTAL = 65_536, 1_000_000
 FOREST_ROWS, FOREST_BYTES, FOREST_CELLS = 1_000_000, 512 << 20, 1 << 18
 #: Boosting rounds after which the state is written to the checkpoint folder.
 KEEP_EVERY = 25
+#: Nodes of a saved model that pass between the driver and the tasks at a time (some 50 bytes each), unless one tree has more when it is read; tasks that write them.
+SAVE_NODES, SAVE_TASKS = 1 << 20, 8
 _ONE = float(1 << 20)
 _U64 = np.uint64
 
@@ -314,9 +317,13 @@ class TreeModel:
         self.roots = np.searchsorted(self.tree, np.unique(self.tree))
 
     @classmethod
-    def made(cls, spec: Spec, features: Sequence[str], bounds: list[np.ndarray], start: float, trees: Sequence[Tree | ForestTree]) -> "TreeModel":
+    def made(cls, spec: Spec, features: Sequence[str], bounds: list[np.ndarray], start: float, trees: list[Tree | ForestTree]) -> "TreeModel":
+        """The model of grown trees, which are taken out of ``trees`` one by one: the driver holds the nodes of a large forest once."""
         columns: list[list] = [[] for _ in range(9)]
-        for t, tree in enumerate(trees):
+        kinds = (np.int32, np.int32, np.int32, float, np.int32, np.int32, float, float, float)
+        trees.reverse()
+        for t in range(len(trees)):
+            tree = trees.pop()
             feature, code, left, right = tree.arrays()
             sums, threshold = np.asarray(tree.sums, float), np.zeros(len(feature))
             g, h, n = sums.T
@@ -327,10 +334,15 @@ class TreeModel:
             for f in np.unique(feature[feature >= 0]).tolist():
                 threshold[feature == f] = bounds[f][code[feature == f]]
             row = (np.full(len(feature), t), np.arange(len(feature)), feature, threshold, left, right, value, tree.gain, n)
-            for c, v in zip(columns, row):
-                c.append(v)
-        kinds = (np.int32, np.int32, np.int32, float, np.int32, np.int32, float, float, float)
-        return cls(spec.kind, features, start, [np.concatenate([np.zeros(0), *c]).astype(k) for c, k in zip(columns, kinds)])
+            for c, v, k in zip(columns, row, kinds):
+                c.append(np.asarray(v, k))
+        return cls(spec.kind, features, start, [_joined(c, k) for c, k in zip(columns, kinds)])
+
+    def for_scoring(self) -> "TreeModel":
+        """The model with what ``score`` reads only: every worker holds a copy of it."""
+        out = copy.copy(self)
+        out.tree = out.node = out.gain = out.rows = np.zeros(0)
+        return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """P(class 1) of rows (missing values go left)."""
@@ -355,15 +367,30 @@ class TreeModel:
         total = np.bincount(self.feature[inner], self.gain[inner], len(self.features))
         return (total / total.sum() if total.sum() > 0 else total).tolist()
 
+    def _columns(self) -> dict[str, np.ndarray]:
+        return {c.split()[0]: getattr(self, c.split()[0]) for c in self.COLUMNS.split(", ")}
+
     def table(self, spark: SparkSession) -> DataFrame:
-        columns = (self.tree, self.node, self.feature, self.threshold, self.left, self.right, self.value, self.gain, self.rows)
-        names = [c.split()[0] for c in self.COLUMNS.split(", ")]
-        return spark.createDataFrame(pa.table({n: pa.array(c) for n, c in zip(names, columns)}))
+        return spark.createDataFrame(pa.table({n: pa.array(c) for n, c in self._columns().items()}))
 
     def save(self, path: str) -> None:
-        """Two Parquet tables: the nodes, and one row with what else the model is made of."""
+        """Two Parquet tables: the nodes, and one row with what else the model is made of.
+
+        Rows of a local table are part of the plan and of the tasks, whose size is bounded; so the nodes are broadcast and written part by part.
+        """
         spark = SparkSession.getActiveSession()
-        self.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
+        for at in range(0, max(1, len(self.tree)), SAVE_NODES):
+            held = {n: c[at : at + SAVE_NODES] for n, c in self._columns().items()}
+            shared, step = spark.sparkContext.broadcast(held), max(1, -(-len(held["tree"]) // SAVE_TASKS))
+
+            def part(batches: Iterator[pa.RecordBatch], shared=shared, step=step) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for first in batch.column(0).to_pylist():
+                        yield pa.RecordBatch.from_pydict({n: c[first : first + step] for n, c in shared.value.items()})
+
+            tasks = max(1, -(-len(held["tree"]) // step))
+            spark.range(0, tasks * step, step, tasks).mapInArrow(part, self.COLUMNS).write.mode("append" if at else "overwrite").parquet(f"{path}/nodes")
+            shared.destroy()
         spark.createDataFrame([(self.kind, self.features, float(self.start))], "kind string, features array<string>, start double").coalesce(1).write.mode(
             "overwrite").parquet(f"{path}/model")
 
@@ -371,13 +398,30 @@ class TreeModel:
     def load(cls, path: str) -> "TreeModel":
         spark = SparkSession.getActiveSession()
         head = spark.read.parquet(f"{path}/model").first()
-        nodes = spark.read.parquet(f"{path}/nodes").orderBy("tree", "node").toArrow()
-        return cls(head["kind"], head["features"], head["start"], [c.to_numpy() for c in nodes.columns])
+        nodes, parts = spark.read.parquet(f"{path}/nodes"), [[-1, -1, 0]]  # first and last tree, nodes
+        for r in nodes.groupBy("tree").count().orderBy("tree").collect():
+            if parts[-1][2] + r["count"] > SAVE_NODES:
+                parts.append([r["tree"], r["tree"], 0])
+            parts[-1][1], parts[-1][2] = r["tree"], parts[-1][2] + r["count"]
+        columns: list[list] = [[] for _ in nodes.columns]
+        for first, last, _ in parts:
+            part = nodes.filter(F.col("tree").between(first, last)).toArrow()
+            order = np.lexsort((part.column("node"), part.column("tree")))
+            for c, values in zip(columns, part.columns):
+                c.append(values.to_numpy()[order])
+        return cls(head["kind"], head["features"], head["start"], [_joined(c, c[0].dtype) for c in columns])
+
+
+def _joined(parts: list[np.ndarray], kind) -> np.ndarray:
+    """The parts in one array; the list is emptied."""
+    out = np.concatenate([np.zeros(0, kind), *parts])
+    parts.clear()
+    return out
 
 
 def scored(df: DataFrame, models: Mapping[str, TreeModel]) -> DataFrame:
     """Adds ``p_<name>`` of every model to the rows, in one pass."""
-    shared = df.sparkSession.sparkContext.broadcast(dict(models))
+    shared = df.sparkSession.sparkContext.broadcast({n: m.for_scoring() for n, m in models.items()})
     columns = sorted({f for m in models.values() for f in m.features})
     given = df.withColumn("__x", F.array(*[F.col(c).cast("double") for c in columns]))
 
@@ -501,7 +545,7 @@ def fit_many(df: DataFrame, features: Sequence[str], specs: Mapping[str, Spec],
             older = before
     state.unpersist()
     df.unpersist()
-    return {n: TreeModel.made(specs[n], features, bounds, start[n], models[n]) for n in names}
+    return {n: TreeModel.made(specs[n], features, bounds, start[n], models.pop(n)) for n in names}
 
 
 def _of_models(block: dict, models: list[int], offsets: np.ndarray) -> dict:

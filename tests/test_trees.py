@@ -243,3 +243,25 @@ def test_small_nodes_count_the_smaller_child_and_are_dealt_by_size(monkeypatch):
     assert len(leaf) < len(level) and all(level[k] == split for k, split in leaf.items())
     task_of = T._dealt({(0, 1): 500, (0, 2): 490, (1, 1): 480, (1, 2): 10, (1, 3): 5}, 3)
     assert len({task_of[k] for k in ((0, 1), (0, 2), (1, 1))}) == 3
+
+
+def test_large_models_are_saved_and_read_in_parts(spark, tmp_path, monkeypatch):
+    trees, nodes = 6, 31
+    rng, n = np.random.default_rng(3), 6 * 31
+    node = np.tile(np.arange(nodes), trees)
+    inner = node < 15
+    columns = [np.repeat(np.arange(trees), nodes), node, np.where(inner, rng.integers(0, 4, n), -1), rng.normal(size=n), np.where(inner, 2 * node + 1, -1),
+               np.where(inner, 2 * node + 2, -1), rng.random(n), rng.random(n), rng.random(n)]
+    kinds = [np.float64 if c.split()[1] == "double" else np.int32 for c in T.TreeModel.COLUMNS.split(", ")]
+    model = T.TreeModel("forest", COLS, 0.0, [c.astype(k) for c, k in zip(columns, kinds)])
+    monkeypatch.setattr(T, "SAVE_NODES", 70)
+    model.save(str(tmp_path / "m"))
+    written = [spark.read.parquet(str(f)).count() for f in (tmp_path / "m" / "nodes").glob("*.parquet")]
+    assert sum(written) == n and max(written) <= 70  # one task would carry all nodes
+    loaded = T.TreeModel.load(str(tmp_path / "m"))
+    for name in (c.split()[0] for c in T.TreeModel.COLUMNS.split(", ")):
+        assert getattr(loaded, name).dtype == getattr(model, name).dtype and np.array_equal(getattr(loaded, name), getattr(model, name))
+    x = rng.normal(size=(50, 4))
+    assert np.array_equal(model.for_scoring().score(x), loaded.score(x))
+    T.TreeModel("forest", COLS, 0.0, [c[:0] for c in loaded._columns().values()]).save(str(tmp_path / "none"))
+    assert T.TreeModel.load(str(tmp_path / "none")).score(x).tolist() == [0.0] * 50
